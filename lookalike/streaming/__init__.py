@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysis this library rebuilds is a single batch run: it has no stream,
+watermark, window-over-time or state store.  Nothing is built here on purpose;
+every operator works on any DataFrame, so a ``foreachBatch`` sink can call them
+per micro-batch if a user needs that.
+"""
