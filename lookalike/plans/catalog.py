@@ -18,7 +18,7 @@ from lookalike.functions.columns import feature_columns, unpivot_features
 from lookalike.operators import clean, evaluate, match, profile, project, report, segments
 from lookalike.operators.scale import fit_standardizer, weight_features
 from lookalike.operators.similarity import topk_similarity
-from lookalike.session import ensure_checkpoint_dir
+from lookalike.session import cut_lineage, ensure_checkpoint_dir
 from lookalike.sources import readers, tables, writers
 from lookalike.sources.tables import ENTITY_FEATURES, LINE_FEATURES, ORDER_LINE_FEATURES
 
@@ -498,3 +498,164 @@ QUERIES = {
     "profile_radar": q_profile_radar,
     "outlier_map_table": q_outlier_map_table,
 }
+
+
+# ---------------- operators checked by invariants (no exact SQL statement) ----------------
+
+from lookalike.config import AnalysisConfig  # noqa: E402
+from lookalike.operators import classify, impute, ml, outliers  # noqa: E402
+from lookalike.plans import pipeline  # noqa: E402
+
+SMALL = AnalysisConfig(sweep_ks=(2, 3, 4), candidate_ks=(3, 4), first_k=3, kmeans_starts=2, forest_trees=20,
+                       isolation_trees=50, folds=3, attribution_rows=100, iterative_rounds=3, pseudo_label_k=3)
+TINY_GRID = {"maxIter": [3], "maxDepth": [2]}
+
+
+def _std_vecs(spark, d):
+    return ml.standardized_vectors(_ef(spark, d), ENTITY_FEATURES, keep=["entity_id", "region", "segment"])
+
+
+def q_knn_impute(spark, d):
+    wide = tables.entity_pivot(spark, d, "status")
+    return _round(impute.knn_imputations(wide, feature_columns(wide)), value=MONEY)
+
+
+def q_iterative_impute(spark, d):
+    wide = tables.entity_pivot(spark, d, "priority")
+    feats = feature_columns(wide)
+    filled = impute.iterative_impute(wide, feats, SMALL)
+    return _round(unpivot_features(filled, ["entity_id"], feats), value=MONEY)
+
+
+def q_isolation_forest(spark, d):
+    return _round(outliers.isolation_forest(_ef(spark, d), ENTITY_FEATURES, SMALL))
+
+
+def q_kmeans_sweep(spark, d):
+    sw = ml.kmeans_sweep(_std_vecs(spark, d), cfg=SMALL, ks=SMALL.sweep_ks)
+    return _round(sw.curve(spark), 4)
+
+
+def q_pseudo_labels(spark, d):
+    return ml.pseudo_labels(_std_vecs(spark, d), cfg=SMALL).select("entity_id", "label")
+
+
+def q_forest_importance(spark, d):
+    lab = ml.pseudo_labels(_std_vecs(spark, d), cfg=SMALL)
+    return _round(ml.forest_importance(lab, ENTITY_FEATURES, SMALL))
+
+
+def q_pca_scores(spark, d):
+    v = _std_vecs(spark, d)
+    return _round(ml.pca_fit(v, ENTITY_FEATURES).scores(v))
+
+
+def q_pca_loadings(spark, d):
+    v = _std_vecs(spark, d)
+    return _round(ml.pca_fit(v, ENTITY_FEATURES).loadings(spark))
+
+
+def q_gmm_segments(spark, d):
+    return ml.gmm_segments(_std_vecs(spark, d), 3, SMALL)
+
+
+def q_assign_segments(spark, d):
+    v = _std_vecs(spark, d)
+    sw = ml.kmeans_sweep(v, ks=(3,), starts=1, cfg=SMALL)
+    rows, prof = ml.assign_segments(_ef(spark, d), sw.models[3], v, ENTITY_FEATURES)
+    return _round(prof, mean=MONEY)
+
+
+def _labelled(spark, d):
+    v = _std_vecs(spark, d)
+    lab = ml.pseudo_labels(v, cfg=SMALL)
+    return cut_lineage(evaluate.stratified_folds(lab, "label", SMALL))
+
+
+def q_boosted_segment_classifier(spark, d):
+    data = _labelled(spark, d)
+    model = classify.boosted_segment_classifier(SMALL, maxIter=5, maxDepth=3).fit(data)
+    return model.transform(data).select("entity_id", F.col("label").cast("int").alias("label"),
+                                        F.col("prediction").cast("int").alias("prediction"))
+
+
+def q_grid_search(spark, d):
+    res = classify.grid_search(_labelled(spark, d), TINY_GRID, SMALL)
+    return _round(spark.createDataFrame([(str(res.params), float(res.score))], "params string, f1_weighted double"))
+
+
+def q_model_importance(spark, d):
+    data = _labelled(spark, d)
+    model = classify.boosted_segment_classifier(SMALL, maxIter=5, maxDepth=3).fit(data)
+    return _round(classify.model_importance(model, ENTITY_FEATURES, spark))
+
+
+def q_class_attributions(spark, d):
+    data = _labelled(spark, d)
+    model = classify.boosted_segment_classifier(SMALL, maxIter=5, maxDepth=3).fit(data)
+    return _round(classify.class_attributions(model, data, ENTITY_FEATURES, n_rows=50, permutations=2, cfg=SMALL))
+
+
+def _mixed(spark, d):
+    st = tables.entity_pivot(spark, d, "status")
+    pr = tables.entity_pivot(spark, d, "priority").drop("region", "segment")
+    return st.join(pr, "entity_id")
+
+
+def q_preprocess(spark, d):
+    pre = pipeline.preprocess(_mixed(spark, d), SMALL)
+    return _round(unpivot_features(pre.table, ["entity_id"], pre.features), value=MONEY)
+
+
+def q_run_segmentation(spark, d):
+    res = pipeline.run_segmentation(_ef(spark, d).drop("name"), SMALL, grid=TINY_GRID)
+    return res.summary.drop("runtime_seconds")
+
+
+def q_build_report_tables(spark, d):
+    ef = _ef(spark, d)
+    v = _std_vecs(spark, d)
+    sw = ml.kmeans_sweep(v, ks=(3,), starts=1, cfg=SMALL)
+    rows, prof = ml.assign_segments(ef, sw.models[3], v, ENTITY_FEATURES)
+    art = {"assignments_3": rows.select("entity_id", "region", "segment"), "segment_profiles_3": prof,
+           "missing_profile": profile.missing_profile(ef, ENTITY_FEATURES)}
+    out = pipeline.build_report_tables(art, cfg=SMALL)
+    return out["profile_radar"].select("rank", "feature", F.col("segment").cast("string").alias("segment"),
+                                       "normalized").transform(_round)
+
+
+def q_run_summary(spark, d):
+    ef = _ef(spark, d)
+    n = ef.count()
+    return writers.run_summary(spark, {"n_rows": n, "n_input_features": len(ENTITY_FEATURES)})
+
+
+def q_save_model(spark, d):
+    data = _labelled(spark, d)
+    model = classify.boosted_segment_classifier(SMALL, maxIter=3, maxDepth=2).fit(data)
+    path = _scratch(spark)
+    writers.save_model(model, path, {"num_features": len(ENTITY_FEATURES)}, spark)
+    return spark.read.json(f"{path}/config")
+
+
+QUERIES.update({
+    "knn_impute": q_knn_impute,
+    "iterative_impute": q_iterative_impute,
+    "isolation_forest": q_isolation_forest,
+    "kmeans_sweep": q_kmeans_sweep,
+    "pseudo_labels": q_pseudo_labels,
+    "forest_importance": q_forest_importance,
+    "pca_scores": q_pca_scores,
+    "pca_loadings": q_pca_loadings,
+    "gmm_segments": q_gmm_segments,
+    "assign_segments": q_assign_segments,
+    "boosted_segment_classifier": q_boosted_segment_classifier,
+    "grid_search": q_grid_search,
+    "model_importance": q_model_importance,
+    "class_attributions": q_class_attributions,
+    "preprocess": q_preprocess,
+    "run_segmentation": q_run_segmentation,
+    "build_report_tables": q_build_report_tables,
+    "run_summary": q_run_summary,
+    "save_model": q_save_model,
+})

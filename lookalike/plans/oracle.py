@@ -445,4 +445,22 @@ FROM p JOIN t ON t.feature = p.feature WHERE t.rank <= 5"""
     q["outlier_map_table"] = with_(EF, FLAG_SCORES, ASSIGN) + f"""SELECT CAST(asg.entity_id AS BIGINT) AS entity_id, region_code, {R('sc.score')} AS score
 FROM asg LEFT JOIN (SELECT * FROM sc WHERE score < 0) sc ON sc.entity_id = CAST(asg.entity_id AS BIGINT)
 WHERE region_code IS NULL OR region_code NOT IN {EXCLUDED}"""
+    q["knn_impute"] = with_(cells("status"), grid()) + f""", cnt AS (SELECT count(DISTINCT feature) AS d FROM grid),
+miss AS (SELECT entity_id AS a_id, feature FROM grid WHERE value IS NULL),
+inc AS (SELECT DISTINCT a_id FROM miss),
+pr AS (SELECT a.entity_id AS a_id, b.entity_id AS b_id, sum((a.value - b.value) * (a.value - b.value)) AS ss,
+              count(*) AS nb
+       FROM grid a JOIN grid b ON a.feature = b.feature AND a.value IS NOT NULL AND b.value IS NOT NULL
+       WHERE a.entity_id IN (SELECT a_id FROM inc) GROUP BY 1, 2),
+dist AS (SELECT a_id, b_id, sqrt(ss * cnt.d / nb) AS dist FROM pr, cnt),
+cand AS (SELECT m.a_id, m.feature, d.b_id, d.dist, g.value FROM miss m JOIN dist d ON d.a_id = m.a_id
+         JOIN grid g ON g.entity_id = d.b_id AND g.feature = m.feature AND g.value IS NOT NULL),
+top AS (SELECT *, row_number() OVER (PARTITION BY a_id, feature ORDER BY dist, b_id) AS rn FROM cand),
+w AS (SELECT a_id, feature, max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) AS z,
+             avg(CASE WHEN dist = 0 THEN value END) AS zm,
+             sum(CASE WHEN dist > 0 THEN value / dist END) / sum(CASE WHEN dist > 0 THEN 1.0 / dist END) AS wm
+      FROM top WHERE rn <= 5 GROUP BY 1, 2),
+means AS (SELECT feature, avg(value) AS m FROM grid GROUP BY feature)
+SELECT m.a_id AS entity_id, m.feature, {R('coalesce(CASE WHEN w.z = 1 THEN w.zm ELSE w.wm END, means.m)', MONEY)} AS value
+FROM miss m LEFT JOIN w ON w.a_id = m.a_id AND w.feature = m.feature LEFT JOIN means ON means.feature = m.feature"""
     return q
