@@ -659,3 +659,101 @@ QUERIES.update({
     "run_summary": q_run_summary,
     "save_model": q_save_model,
 })
+
+
+# ---------------- files: GeoJSON, GeoPackage, gzip text ----------------
+
+from lookalike.sources import geopackage  # noqa: E402
+
+
+def _points(spark, d):
+    """Customers as points: x = account balance, y = nation key (a stand-in geometry)."""
+    c = tables.customers(spark, d)
+    geom = F.to_json(F.struct(F.lit("Point").alias("type"),
+                              F.array(F.col("acctbal"), F.col("region").cast("double")).alias("coordinates")))
+    return c.select("entity_id", "segment", geom.alias("geometry"))
+
+
+def q_write_geojson_lines(spark, d):
+    path = _scratch(spark)
+    writers.write_geojson_lines(_points(spark, d), path)
+    return spark.read.text(path)
+
+
+def q_read_geojson(spark, d):
+    path = _scratch(spark)
+    writers.write_geojson_lines(_points(spark, d), path)
+    feats = readers.read_geojson(spark, path)
+    coords = F.from_json("geometry", "type string, coordinates array<double>")["coordinates"]
+    out = feats.select(F.col("properties")["entity_id"].cast("long").alias("entity_id"),
+                       F.col("properties")["segment"].alias("segment"),
+                       coords[0].alias("x"), coords[1].alias("y"))
+    return _round(out, x=MONEY)
+
+
+def q_read_gpkg_files(spark, d):
+    c = tables.customers(spark, d).select("entity_id", "segment", F.col("acctbal").alias("x"),
+                                           F.col("region").cast("double").alias("y"))
+
+    def to_files(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"path": [f"part-{int(pdf['entity_id'].min())}.gpkg"],
+                                    "content": [geopackage.build_gpkg(pdf)]})
+
+    files = c.mapInPandas(to_files, schema="path string, content binary")
+    feats = geopackage.parse_gpkg(files)
+    return feats.select(F.col("properties")["entity_id"].cast("long").alias("entity_id"),
+                        F.col("properties")["segment"].alias("segment"), F.length("geometry").alias("wkb_bytes"))
+
+
+def q_ingest_gzip_text(spark, d):
+    path = _scratch(spark)
+    docs = readers.read_table(spark, d, "documents").select("text")
+    docs.write.option("compression", "gzip").text(path)
+    lines, _ = readers.ingest_gzip_text(spark, f"{path}/*.gz", out=f"{path}_expanded", partitions=8)
+    return lines.select(F.trim("value").alias("value"))
+
+
+import pandas as pd  # noqa: E402
+
+QUERIES.update({
+    "write_geojson_lines": q_write_geojson_lines,
+    "read_geojson": q_read_geojson,
+    "read_gpkg_files": q_read_gpkg_files,
+    "ingest_gzip_text": q_ingest_gzip_text,
+})
+
+
+# ---------------- graph-shaped operators ----------------
+
+from lookalike.operators import graph  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+
+def _std_arrays(spark, d):
+    return _std_vecs(spark, d).select("entity_id", vector_to_array(ml.VEC).alias("features"))
+
+
+def q_density_segments(spark, d):
+    return graph.density_segments(_std_arrays(spark, d), eps=0.6, min_samples=5)
+
+
+def q_neighbor_graph_2d(spark, d):
+    return _round(graph.neighbor_graph_2d(tables.vectors(spark, d), k=15, iterations=8), 4)
+
+
+def q_silhouette_fast(spark, d):
+    v = _std_vecs(spark, d)
+    sw = ml.kmeans_sweep(v, ks=(2, 3), starts=1, cfg=SMALL)
+    rows = []
+    for k, m in sorted(sw.models.items()):
+        rows.append((int(k), float(evaluate.fast_silhouette(m.transform(v), ml.VEC))))
+    return _round(spark.createDataFrame(rows, "k int, silhouette double"))
+
+
+QUERIES.update({
+    "density_segments": q_density_segments,
+    "neighbor_graph_2d": q_neighbor_graph_2d,
+    "silhouette_fast": q_silhouette_fast,
+})

@@ -463,4 +463,6 @@ w AS (SELECT a_id, feature, max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) AS z,
 means AS (SELECT feature, avg(value) AS m FROM grid GROUP BY feature)
 SELECT m.a_id AS entity_id, m.feature, {R('coalesce(CASE WHEN w.z = 1 THEN w.zm ELSE w.wm END, means.m)', MONEY)} AS value
 FROM miss m LEFT JOIN w ON w.a_id = m.a_id AND w.feature = m.feature LEFT JOIN means ON means.feature = m.feature"""
+    q["read_geojson"] = f"""SELECT c_custkey AS entity_id, c_mktsegment AS segment, {R('c_acctbal', MONEY)} AS x,
+       {R('CAST(c_nationkey AS DOUBLE)')} AS y FROM customer"""
     return q
