@@ -108,19 +108,16 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """
     pos = {f: i for i, f in enumerate(features)}
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    if pairs:
-        upper = []
-        for chunk in _chunks(pairs, 200):
-            row = df.agg(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                            _pair_r(a, b).alias("r")) for a, b in chunk]).alias("s"))
-            upper.append(row.select(F.inline("s")))
-        up = upper[0]
-        for u in upper[1:]:
-            up = up.unionByName(u)
-        both = up.unionByName(up.select(F.col("feature_b").alias("feature_a"),
-                                        F.col("feature_a").alias("feature_b"), "r"))
-    else:
-        both = None
+    both = None
+    for chunk in _chunks(pairs, 200):
+        # one aggregate per chunk; each r is emitted in both directions by a generator
+        row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _pair_r(a, b).alias("r"))
+                                for a, b in chunk]).alias("s"))
+        part = row.select(F.explode("s").alias("p")).select(F.explode(F.array(
+            F.struct(F.col("p.a").alias("feature_a"), F.col("p.b").alias("feature_b"), F.col("p.r").alias("r")),
+            F.struct(F.col("p.b").alias("feature_a"), F.col("p.a").alias("feature_b"), F.col("p.r").alias("r")),
+        )).alias("e")).select("e.*")
+        both = part if both is None else both.unionByName(part)
     spark = df.sparkSession
     diag = spark.createDataFrame([(f, f, 1.0) for f in features], "feature_a string, feature_b string, r double")
     full = diag if both is None else both.unionByName(diag)

@@ -56,3 +56,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_for_compute(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition the input of a compute-heavy grouped Arrow function by its group keys.
+
+    Adaptive execution sizes partitions by *bytes*, so a few MB of vectors that feed seconds of
+    NumPy work per group would be coalesced into one task.  An explicit ``repartition(n, keys)``
+    is kept as is by AQE; the following ``groupBy(keys)`` reuses it without a second shuffle.
+    ``n`` is the session's shuffle-partition count (sized for the cluster).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, *keys)
