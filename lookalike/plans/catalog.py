@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lookalike.config import DEFAULT
+from lookalike.config import DEFAULT, AnalysisConfig
 from lookalike.functions.columns import feature_columns, unpivot_features
-from lookalike.operators import clean, evaluate, match, profile, project, report, segments
+from lookalike.operators import (classify, clean, evaluate, graph, impute, match, ml, outliers, profile, project,
+                                 report, segments)
+from lookalike.plans import pipeline
 from lookalike.operators.scale import fit_standardizer, weight_features
 from lookalike.operators.similarity import topk_similarity
 from lookalike.session import cut_lineage, ensure_checkpoint_dir
-from lookalike.sources import readers, tables, writers
+from lookalike.sources import geopackage, readers, tables, writers
 from lookalike.sources.tables import ENTITY_FEATURES, LINE_FEATURES, ORDER_LINE_FEATURES
 
 
@@ -502,9 +506,6 @@ QUERIES = {
 
 # ---------------- operators checked by invariants (no exact SQL statement) ----------------
 
-from lookalike.config import AnalysisConfig  # noqa: E402
-from lookalike.operators import classify, impute, ml, outliers  # noqa: E402
-from lookalike.plans import pipeline  # noqa: E402
 
 SMALL = AnalysisConfig(sweep_ks=(2, 3, 4), candidate_ks=(3, 4), first_k=3, kmeans_starts=2, forest_trees=20,
                        isolation_trees=50, folds=3, attribution_rows=100, iterative_rounds=3, pseudo_label_k=3)
@@ -663,7 +664,6 @@ QUERIES.update({
 
 # ---------------- files: GeoJSON, GeoPackage, gzip text ----------------
 
-from lookalike.sources import geopackage  # noqa: E402
 
 
 def _points(spark, d):
@@ -715,7 +715,6 @@ def q_ingest_gzip_text(spark, d):
     return lines.select(F.trim("value").alias("value"))
 
 
-import pandas as pd  # noqa: E402
 
 QUERIES.update({
     "write_geojson_lines": q_write_geojson_lines,
@@ -727,8 +726,6 @@ QUERIES.update({
 
 # ---------------- graph-shaped operators ----------------
 
-from lookalike.operators import graph  # noqa: E402
-from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 
 def _std_arrays(spark, d):

@@ -465,4 +465,7 @@ SELECT m.a_id AS entity_id, m.feature, {R('coalesce(CASE WHEN w.z = 1 THEN w.zm
 FROM miss m LEFT JOIN w ON w.a_id = m.a_id AND w.feature = m.feature LEFT JOIN means ON means.feature = m.feature"""
     q["read_geojson"] = f"""SELECT c_custkey AS entity_id, c_mktsegment AS segment, {R('c_acctbal', MONEY)} AS x,
        {R('CAST(c_nationkey AS DOUBLE)')} AS y FROM customer"""
+    q["run_summary"] = "SELECT CAST(6 AS BIGINT) AS n_input_features, CAST(count(*) AS BIGINT) AS n_rows FROM customer"
+    q["read_gpkg_files"] = "SELECT c_custkey AS entity_id, c_mktsegment AS segment, 21 AS wkb_bytes FROM customer"
+    q["ingest_gzip_text"] = "SELECT trim(unnest(string_split(text, chr(10)))) AS value FROM documents"
     return q
