@@ -25,6 +25,10 @@ class StageError(RuntimeError):
     """A fatal stage (load, preprocess, cluster) failed."""
 
 
+class _Skip(Exception):
+    """Internal: a stage switched off by an option."""
+
+
 @dataclass
 class Preprocessed:
     table: DataFrame                       # entity_id + surviving features (cleaned)
@@ -81,14 +85,24 @@ class RunResult:
     artefacts: dict
 
 
+LOOKALIKE_METHODS = ("sampling", "nearest", "precise")
+
+
 def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | None = None,
-                     grid: dict | None = None, ids: tuple[str, ...] = ("entity_id", "region", "segment")) -> RunResult:
+                     grid: dict | None = None, ids: tuple[str, ...] = ("entity_id", "region", "segment"),
+                     k_policy: str = "f1", features_from: str = "selected",
+                     methods: tuple[str, ...] = LOOKALIKE_METHODS) -> RunResult:
     """L1: load → preprocess → statistics → feature selection → reduction → clustering →
     classifier over candidate k → attributions → look-alikes → summary.
 
     Load, preprocess and clustering are fatal (``StageError``); the other stages record the
     error in the artefacts and continue.  ``out`` writes every artefact as parquet.
+    ``k_policy``: "f1" (best cross-validated classifier over the candidate k) or "silhouette"
+    (best silhouette of the sweep).  ``features_from``: "selected" features or "pca" scores as
+    the clustering input.  ``methods``: which look-alike searches run.
     """
+    if k_policy not in ("f1", "silhouette") or features_from not in ("selected", "pca"):
+        raise ValueError("k_policy must be f1|silhouette and features_from selected|pca")
     t0 = time.time()
     spark = df.sparkSession
     art: dict = {}
@@ -134,7 +148,12 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
         art["pca_ratios"] = pca.ratios(spark)
         art["pca_loadings"] = pca.loadings(spark)
         art["pca_scores"] = pca.scores(vecs)
+        if features_from == "pca":
+            pcs = [f"PC{j + 1}" for j in range(pca.n_components)]
+            vecs = cut_lineage(ml.assemble(art["pca_scores"], pcs))
     except Exception as e:  # noqa: BLE001
+        if features_from == "pca":
+            raise StageError(f"reduction: {e}") from e
         errors["reduction"] = str(e)
 
     try:
@@ -158,7 +177,13 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
     art[f"assignments_{cfg.first_k}"] = rows_first
 
     best_k = cfg.first_k
+    if k_policy == "silhouette":
+        best_k = int(best_sil)
+        if best_k not in sweep.models:
+            raise StageError(f"clustering: no model for k={best_k}")
     try:
+        if k_policy != "f1":
+            raise _Skip()
         scores = []
         models = {}
         for k in cfg.candidate_ks:
@@ -189,6 +214,8 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
             writers.save_model(res.model, f"{out}/model", {"best_params": res.params, "num_features": len(feats),
                                                            "optimal_clusters": best_k,
                                                            "tested_cluster_counts": list(cfg.candidate_ks)}, spark)
+    except _Skip:
+        pass
     except Exception as e:  # noqa: BLE001
         errors["classifier"] = str(e)
 
@@ -199,11 +226,14 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
     try:
         if "region" in rows.columns:
             feat_rows = rows.join(table, "entity_id")
-            art["sampled_lookalikes"] = match.sampled_lookalikes(feat_rows, cfg=cfg)
-            art["nearest_lookalikes"] = match.nearest_lookalikes(feat_rows, feats, cfg=cfg)
-            precise = match.precise_lookalikes(feat_rows, feats, cfg=cfg)
-            art["precise_lookalikes"] = precise
-            art["similarity_summary"] = match.similarity_summary(precise)
+            if "sampling" in methods:
+                art["sampled_lookalikes"] = match.sampled_lookalikes(feat_rows, cfg=cfg)
+            if "nearest" in methods:
+                art["nearest_lookalikes"] = match.nearest_lookalikes(feat_rows, feats, cfg=cfg)
+            if "precise" in methods:
+                precise = match.precise_lookalikes(feat_rows, feats, cfg=cfg)
+                art["precise_lookalikes"] = precise
+                art["similarity_summary"] = match.similarity_summary(precise)
     except Exception as e:  # noqa: BLE001
         errors["lookalikes"] = str(e)
 
