@@ -19,7 +19,8 @@ MONEY = 2
 EF = """ef AS (
   SELECT c.c_custkey AS entity_id, c.c_nationkey AS region, c.c_mktsegment AS segment, c.c_name AS name,
          CAST(c.c_acctbal AS DOUBLE) AS acctbal,
-         CAST(coalesce(o.n_orders, 0) AS DOUBLE) AS n_orders, o.total, o.avg_total, o.max_total,
+         CAST(coalesce(o.n_orders, 0) AS DOUBLE) AS n_orders, coalesce(o.total, 0.0) AS total,
+         coalesce(o.avg_total, 0.0) AS avg_total, coalesce(o.max_total, 0.0) AS max_total,
          CAST(coalesce(o.n_status_f, 0) AS DOUBLE) AS n_status_f
   FROM customer c LEFT JOIN (
     SELECT o_custkey, count(o_orderkey) AS n_orders, sum(o_totalprice) AS total, avg(o_totalprice) AS avg_total,

@@ -35,11 +35,11 @@ def entity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).cast("double").alias("n_status_f"),
     )
     out = customers(spark, sf_dir).join(per_customer, "entity_id", "left")
+    # a customer without orders has spent nothing: every order measure is 0, never NULL
+    zero = F.lit(0.0)
     return out.select(
         "entity_id", "region", "segment", "name", "acctbal",
-        F.coalesce("n_orders", F.lit(0.0)).alias("n_orders"),
-        "total", "avg_total", "max_total",
-        F.coalesce("n_status_f", F.lit(0.0)).alias("n_status_f"),
+        *[F.coalesce(c, zero).alias(c) for c in ("n_orders", "total", "avg_total", "max_total", "n_status_f")],
     )
 
 
