@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lookalike.config import DEFAULT, AnalysisConfig
-from lookalike.operators.similarity import DEFAULT_BLOCK_ROWS, block_pair_tasks
+from lookalike.operators.similarity import DEFAULT_BLOCK_ROWS, block_pair_tasks, euclidean
 from lookalike.session import spread_for_compute
 
 ORACLE_KEY_MAX = 10007
@@ -191,8 +191,7 @@ def best_cluster_count(scores: DataFrame, score: str = "score") -> DataFrame:
 def _label_distance_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     A = np.vstack(a["features"].to_numpy()).astype(np.float64)
     B = np.vstack(b["features"].to_numpy()).astype(np.float64)
-    sq = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * (A @ B.T)
-    D = np.sqrt(np.maximum(sq, 0.0))
+    D = euclidean(A, B)
     same = a["entity_id"].to_numpy()[:, None] == b["entity_id"].to_numpy()[None, :]
     D[same] = 0.0
     b_lab = b["segment"].to_numpy()

@@ -27,12 +27,19 @@ from lookalike.sources import geopackage, readers, tables, writers
 from lookalike.sources.tables import ENTITY_FEATURES, LINE_FEATURES, ORDER_LINE_FEATURES
 
 
+# Output rounding for the order-insensitive comparison.  Money averages and medians often sit
+# exactly on a decimal tie (.xx5); summation-order noise would then decide the rounding.  A fixed
+# offset of 0.123456789 units of the last kept digit moves every tie far from a boundary.
+TIE_SHIFT = 0.123456789
+
+
 def _round(df: DataFrame, digits: int = 6, **per_col: int) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             d = per_col.get(f.name, digits)
-            cols.append((F.round(F.col(f.name), d) + F.lit(0.0)).alias(f.name))
+            shifted = F.col(f.name) + F.lit(TIE_SHIFT * 10.0 ** (-d))
+            cols.append((F.round(shifted, d) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)

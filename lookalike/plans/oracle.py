@@ -9,9 +9,14 @@ from __future__ import annotations
 from lookalike.sources.tables import ENTITY_FEATURES, LINE_FEATURES, ORDER_LINE_FEATURES
 
 
+TIE_SHIFT = 0.123456789  # same offset as the Spark side (see catalog._round)
+
+
 def R(expr: str, d: int = 6) -> str:
-    """Round half-up on the shortest decimal text of the double, as Spark's ``round`` does."""
-    return f"(CAST(round(CAST(CAST(({expr})::DOUBLE AS VARCHAR) AS DECIMAL(38, 12)), {d}) AS DOUBLE) + 0.0)"
+    """Round half-up on the shortest decimal text of the shifted double, as Spark's ``round`` does."""
+    shift = repr(TIE_SHIFT * 10.0 ** (-d))
+    return (f"(CAST(round(CAST(CAST((({expr})::DOUBLE + {shift}) AS VARCHAR) AS DECIMAL(38, 12)), {d}) "
+            f"AS DOUBLE) + 0.0)")
 
 
 MONEY = 2
