@@ -21,7 +21,7 @@ HEADLINE = [
     "precise_lookalikes", "nearest_lookalikes", "sampled_lookalikes", "similarity_summary",
     "quality_report", "describe_features", "correlation_matrix", "iqr_bounds", "winsorize_iqr",
     "missing_profile", "median_fill", "segment_profiles", "silhouette", "inertia_curve",
-    "stratified_split", "classification_report", "confusion_matrix",
+    "stratified_split", "classification_report", "confusion_matrix", "knn_impute", "isolation_forest",
 ]
 
 

@@ -20,8 +20,9 @@ class StandardizerModel:
         keep = [c for c in (keep if keep is not None else df.columns) if c not in self.features]
         scaled = []
         for f, m, s in zip(self.features, self.means, self.stds):
-            if s is None or s == 0 or m is None:
-                # constant (or all-NULL) feature: z-score 0, as the reference scaler does
+            # constant (or all-NULL) feature; the relative bound absorbs rounding noise in the
+            # combined moments of an exactly constant column
+            if s is None or m is None or s <= 1e-12 * max(1.0, abs(m)):
                 scaled.append(F.when(F.col(f).isNull(), F.lit(None)).otherwise(F.lit(0.0)).alias(f))
             else:
                 scaled.append(((F.col(f).cast("double") - F.lit(m)) / F.lit(s)).alias(f))
@@ -38,6 +39,33 @@ def fit_standardizer(df: DataFrame, features: list[str]) -> StandardizerModel:
                              tuple(row[f"s{i}"] for i in range(len(features))))
 
 
+def fit_standardizer_by_group(df: DataFrame, features: list[str], group: str):
+    """One aggregate per group (count, mean and population M2 of every feature) combined on the
+    driver with the pairwise update of Chan et al.: the overall standardizer *and* the group
+    sizes from a single pass.  The group count is small (segments), so is the collected result."""
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, f in enumerate(features):
+        aggs += [F.count(f).alias(f"c{i}"), F.avg(f).alias(f"m{i}"), F.var_pop(f).alias(f"v{i}")]
+    rows = df.groupBy(group).agg(*aggs).collect()
+    means, stds = [], []
+    for i in range(len(features)):
+        n, mean, m2 = 0, 0.0, 0.0
+        for r in rows:
+            nb = r[f"c{i}"]
+            if not nb:
+                continue
+            mb, m2b = r[f"m{i}"], r[f"v{i}"] * nb
+            delta = mb - mean
+            tot = n + nb
+            mean += delta * nb / tot
+            m2 += m2b + delta * delta * n * nb / tot
+            n = tot
+        means.append(mean if n else None)
+        stds.append((m2 / n) ** 0.5 if n else None)
+    sizes = {r[group]: r["_n"] for r in rows}
+    return StandardizerModel(tuple(features), tuple(means), tuple(stds)), sizes
+
+
 def standardize(df: DataFrame, features: list[str], model: StandardizerModel | None = None) -> DataFrame:
     """C11: z-score with population std; constant → 0.  Non-feature columns pass through."""
     model = model or fit_standardizer(df, features)
