@@ -57,21 +57,31 @@ class SweepResult:
 
 
 def kmeans_sweep(vecs: DataFrame, ks=None, starts: int | None = None, cfg: AnalysisConfig = DEFAULT,
-                 max_iter: int = 50) -> SweepResult:
+                 max_iter: int = 50, parallelism: int = 4) -> SweepResult:
     """M8: for each k, the best of ``starts`` k-means|| fits (lowest training cost).
-    The input is cached once and reused by all fits."""
+
+    The input is cached once and reused by all fits; the (k, start) fits are independent
+    distributed jobs, submitted ``parallelism`` at a time (as CrossValidator does) so that
+    small jobs do not leave the cluster idle.  Ties in cost keep the earliest start.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     ks = list(ks or (*cfg.sweep_ks, *cfg.candidate_ks))
     starts = starts or cfg.kmeans_starts
     vecs = vecs.select("entity_id", VEC).cache()
+
+    def fit(job):
+        k, s = job
+        m = KMeans(k=k, seed=cfg.seed + s, featuresCol=VEC, maxIter=max_iter).fit(vecs)
+        return k, s, m.summary.trainingCost, m
+
+    jobs = [(k, s) for k in ks for s in range(starts)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fitted = list(pool.map(fit, jobs))
     res = SweepResult()
-    for k in ks:
-        best = None
-        for s in range(starts):
-            m = KMeans(k=k, seed=cfg.seed + s, featuresCol=VEC, maxIter=max_iter).fit(vecs)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, m)
-        res.costs[k], res.models[k] = best
+    for k, s, cost, m in sorted(fitted, key=lambda t: (t[0], t[2], t[1])):
+        if k not in res.models:
+            res.costs[k], res.models[k] = cost, m
     return res
 
 

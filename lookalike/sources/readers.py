@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import os
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,17 @@ class MissingSourceError(FileNotFoundError):
     """The source path does not exist."""
 
 
+_TABLES: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A parquet input table.  The DataFrame (plan + file index, not data) is reused per session
+    so repeated queries do not list files and read footers again; inputs are read-only."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    per_session = _TABLES.setdefault(spark, {})
+    if path not in per_session:
+        per_session[path] = spark.read.parquet(path)
+    return per_session[path]
 
 
 def _infer_format(path: str) -> str:
