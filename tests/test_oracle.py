@@ -32,4 +32,4 @@ def test_entry_smoke(spark):
 def test_every_query_has_a_callable(spark):
     assert set(SQL) <= set(QUERIES)
     for name in sorted(set(QUERIES) - set(SQL)):
-        QUERIES[name](spark, SF001).limit(5).collect()
+        assert QUERIES[name](spark, SF001).count() >= 0
