@@ -56,6 +56,8 @@ def split_by_missing(df: DataFrame, features: list[str], cfg: AnalysisConfig = D
 
 def median_fill(df: DataFrame, features: list[str], approx: bool = False) -> DataFrame:
     """C4: NULL → column median (exact linear-interpolated percentile by default)."""
+    if not features:
+        return df
     meds = df.agg(*[(F.percentile_approx(f, 0.5, 10000) if approx else F.percentile(f, 0.5)).alias(f)
                     for f in features]).first()
     return df.select(*[
@@ -85,6 +87,8 @@ class IqrBounds:
 
 
 def fit_iqr(df: DataFrame, features: list[str], cfg: AnalysisConfig = DEFAULT, approx: bool = False) -> IqrBounds:
+    if not features:
+        return IqrBounds({})
     row = df.agg(*[_quantiles(F.col(f), [0.25, 0.75], approx).alias(f) for f in features]).first()
     k = cfg.iqr_factor
     out = {}
@@ -100,6 +104,9 @@ def iqr_bounds(df: DataFrame, features: list[str], cfg: AnalysisConfig = DEFAULT
     """(feature, q1, q3, lower, upper, n_outliers, outlier_percent) — quartiles in one
     aggregate, counts in a second one that uses them as literals."""
     b = fit_iqr(df, features, cfg, approx)
+    if not b.bounds:
+        return df.sparkSession.createDataFrame([], "feature string, q1 double, q3 double, lower double, "
+                                                   "upper double, n_outliers long, outlier_percent double")
     return _per_feature(df, list(b.bounds), lambda f: F.struct(
         F.lit(f).alias("feature"), F.lit(b.bounds[f][0]).alias("q1"), F.lit(b.bounds[f][1]).alias("q3"),
         F.lit(b.bounds[f][2]).alias("lower"), F.lit(b.bounds[f][3]).alias("upper"),

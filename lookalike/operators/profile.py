@@ -26,6 +26,10 @@ def _chunks(xs: list, n: int = CHUNK):
 def _per_feature(df: DataFrame, features: list[str], build) -> DataFrame:
     """Run ``build(feature) -> struct`` for every feature inside one aggregate per chunk
     and explode the 1-row result into one row per feature."""
+    if not features:
+        # no feature left (all dropped upstream): same schema, zero rows
+        empty = df.limit(0).select(F.lit(None).cast("double").alias("_none_"))
+        return empty.agg(F.array(build("_none_")).alias("s")).select(F.inline("s")).filter(F.lit(False))
     parts = []
     for chunk in _chunks(features):
         row = df.agg(F.array(*[build(f) for f in chunk]).alias("s"))
@@ -121,6 +125,9 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     spark = df.sparkSession
     diag = spark.createDataFrame([(f, f, 1.0) for f in features], "feature_a string, feature_b string, r double")
     full = diag if both is None else both.unionByName(diag)
+    if not features:
+        return full.select("feature_a", "feature_b", "r", F.lit(None).cast("int").alias("pos_a"),
+                           F.lit(None).cast("int").alias("pos_b"))
     posmap = F.create_map(*[x for f in features for x in (F.lit(f), F.lit(pos[f]))])
     return full.select("feature_a", "feature_b", "r",
                        posmap[F.col("feature_a")].alias("pos_a"), posmap[F.col("feature_b")].alias("pos_b"))

@@ -31,6 +31,8 @@ class StandardizerModel:
 
 def fit_standardizer(df: DataFrame, features: list[str]) -> StandardizerModel:
     """One aggregate over all features; the result is 2 numbers per feature."""
+    if not features:
+        return StandardizerModel((), (), ())
     aggs = []
     for i, f in enumerate(features):
         aggs += [F.avg(f).alias(f"m{i}"), F.stddev_pop(f).alias(f"s{i}")]

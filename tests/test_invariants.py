@@ -259,3 +259,13 @@ def test_read_entities_typed_errors(spark, tmp_path):
     spark.createDataFrame([(1, float("nan")), (2, 1.0)], "entity_id long, x double").write.parquet(q)
     got = readers.read_entities(spark, q).orderBy("entity_id").collect()
     assert got[0].x is None and got[1].x == 1.0
+
+
+def test_empty_feature_lists_give_typed_empty_results(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "entity_id long, x double")
+    assert profile.quality_report(df, []).count() == 0
+    assert profile.missing_profile(df, []).columns == ["feature", "missing_count", "missing_percent"]
+    assert clean.iqr_bounds(df, []).count() == 0
+    assert profile.correlation_matrix(df, []).count() == 0
+    assert clean.median_fill(df, []).count() == 2
+    assert fit_standardizer(df, []).transform(df).columns == ["entity_id", "x"]
