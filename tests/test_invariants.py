@@ -269,3 +269,15 @@ def test_empty_feature_lists_give_typed_empty_results(spark):
     assert profile.correlation_matrix(df, []).count() == 0
     assert clean.median_fill(df, []).count() == 2
     assert fit_standardizer(df, []).transform(df).columns == ["entity_id", "x"]
+
+
+def test_neighbor_graph_layout_separates_blobs(spark):
+    df = blobs(spark, n_per=30, dims=4)
+    lay = graph.neighbor_graph_2d(df, k=8, iterations=15).toPandas()
+    seg = df.select("entity_id", "segment").toPandas().merge(lay, on="entity_id")
+    cents = seg.groupby("segment")[["umap1", "umap2"]].mean()
+    within = np.mean([np.hypot(r.umap1 - cents.loc[r.segment, "umap1"], r.umap2 - cents.loc[r.segment, "umap2"])
+                      for r in seg.itertuples()])
+    between = np.mean([np.hypot(*(cents.iloc[a] - cents.iloc[b])) for a in range(3) for b in range(a + 1, 3)])
+    assert len(lay) == 90 and within < between / 3
+    assert np.abs(lay[["umap1", "umap2"]].to_numpy()).max() == pytest.approx(10.0)
