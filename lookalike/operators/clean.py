@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lookalike.config import DEFAULT, AnalysisConfig
-from lookalike.operators.profile import _per_feature, _quantiles
+from lookalike.functions.quantiles import quantiles
+from lookalike.operators.profile import _per_feature
 
 
 def missing_shares(df: DataFrame, features: list[str]) -> DataFrame:
@@ -58,11 +59,10 @@ def median_fill(df: DataFrame, features: list[str], approx: bool = False) -> Dat
     """C4: NULL → column median (exact linear-interpolated percentile by default)."""
     if not features:
         return df
-    meds = df.agg(*[(F.percentile_approx(f, 0.5, 10000) if approx else F.percentile(f, 0.5)).alias(f)
-                    for f in features]).first()
+    meds = quantiles(df, features, [0.5], approx)
     return df.select(*[
-        F.coalesce(F.col(c), F.lit(meds[c])).alias(c) if c in features and meds[c] is not None else F.col(f"`{c}`")
-        for c in df.columns])
+        F.coalesce(F.col(c), F.lit(meds[c][0])).alias(c) if c in features and meds.get(c) is not None
+        else F.col(f"`{c}`") for c in df.columns])
 
 
 @dataclass(frozen=True)
@@ -89,13 +89,13 @@ class IqrBounds:
 def fit_iqr(df: DataFrame, features: list[str], cfg: AnalysisConfig = DEFAULT, approx: bool = False) -> IqrBounds:
     if not features:
         return IqrBounds({})
-    row = df.agg(*[_quantiles(F.col(f), [0.25, 0.75], approx).alias(f) for f in features]).first()
+    qs = quantiles(df, features, [0.25, 0.75], approx)
     k = cfg.iqr_factor
     out = {}
     for f in features:
-        if row[f] is None:
+        if qs.get(f) is None:
             continue
-        q1, q3 = float(row[f][0]), float(row[f][1])
+        q1, q3 = qs[f]
         out[f] = (q1, q3, q1 - k * (q3 - q1), q3 + k * (q3 - q1))
     return IqrBounds(out)
 
@@ -151,11 +151,10 @@ def robust_rescale_extremes(df: DataFrame, scores: DataFrame, features: list[str
     t = cfg.extreme_score if threshold is None else threshold
     tagged = df.join(scores.select("entity_id", F.col(score_col).alias("_score")), "entity_id", "left")
     is_ext = F.col("_score") < F.lit(t)
-    row = tagged.filter(is_ext).agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f)
-                                      for f in features]).first()
+    row = quantiles(tagged.filter(is_ext), features, [0.25, 0.5, 0.75])
     cols = []
     for c in df.columns:
-        q = row[c] if c in features else None
+        q = row.get(c) if c in features else None
         if q is None:
             cols.append(F.col(f"`{c}`"))
             continue

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookalike.config import DEFAULT, AnalysisConfig
+from lookalike.functions.quantiles import quantiles
 from lookalike.functions.stats import kurt_from_moments, skew_from_moments
 
 CHUNK = 50  # features per aggregate: keeps generated code and percentile buffers bounded
@@ -40,16 +41,6 @@ def _per_feature(df: DataFrame, features: list[str], build) -> DataFrame:
     return out
 
 
-def _median(c, approx: bool):
-    return F.percentile_approx(c, 0.5, 10000).cast("double") if approx else F.percentile(c, 0.5)
-
-
-def _quantiles(c, qs, approx: bool):
-    if approx:
-        return F.percentile_approx(c, F.array(*[F.lit(q) for q in qs]), 10000)
-    return F.percentile(c, F.array(*[F.lit(q) for q in qs]))
-
-
 def missing_profile(df: DataFrame, features: list[str]) -> DataFrame:
     """A1: (feature, missing_count, missing_percent) for features with at least one NULL."""
     n = F.count(F.lit(1))
@@ -69,12 +60,20 @@ def missing_summary(profile: DataFrame, n_rows: int | None = None) -> DataFrame:
         F.avg("missing_percent").alias("mean_percent"))
 
 
+def _lit_q(qs: dict, f: str, i: int):
+    v = qs.get(f)
+    return F.lit(None).cast("double") if v is None else F.lit(float(v[i]))
+
+
 def quality_report(df: DataFrame, features: list[str], approx: bool = False) -> DataFrame:
-    """A3: mean, median, sample std, min, max, bias-corrected skewness and excess kurtosis."""
+    """A3: mean, median, sample std, min, max, bias-corrected skewness and excess kurtosis.
+    Medians come from ``functions.quantiles`` (exact, and bounded per task on large inputs)."""
+    qs = quantiles(df, features, [0.5], approx)
+
     def build(f):
         c = F.col(f)
         return F.struct(
-            F.lit(f).alias("feature"), F.avg(c).alias("mean"), _median(c, approx).alias("median"),
+            F.lit(f).alias("feature"), F.avg(c).alias("mean"), _lit_q(qs, f, 0).alias("median"),
             F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
             F.max(c).cast("double").alias("max"),
             skew_from_moments(F.count(c), F.skewness(c)).alias("skewness"),
@@ -84,14 +83,15 @@ def quality_report(df: DataFrame, features: list[str], approx: bool = False) ->
 
 def describe_features(df: DataFrame, features: list[str], approx: bool = False) -> DataFrame:
     """A4: count, mean, std, min, 25/50/75 %, max, missing, missing_percent per feature."""
+    qs = quantiles(df, features, [0.25, 0.5, 0.75], approx)
+
     def build(f):
         c = F.col(f)
-        q = _quantiles(c, [0.25, 0.5, 0.75], approx)
         return F.struct(
             F.lit(f).alias("feature"), F.count(c).alias("count"), F.avg(c).alias("mean"),
             F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-            q[0].cast("double").alias("p25"), q[1].cast("double").alias("p50"),
-            q[2].cast("double").alias("p75"), F.max(c).cast("double").alias("max"),
+            _lit_q(qs, f, 0).alias("p25"), _lit_q(qs, f, 1).alias("p50"),
+            _lit_q(qs, f, 2).alias("p75"), F.max(c).cast("double").alias("max"),
             F.count(F.when(c.isNull(), 1)).alias("missing"),
             (F.count(F.when(c.isNull(), 1)) * 100.0 / F.count(F.lit(1))).alias("missing_percent"))
     return _per_feature(df, features, build)
@@ -173,9 +173,8 @@ def box_summary(df: DataFrame, features: list[str], n_features: int = 5, stage:
     """Quartiles and whiskers (furthest values inside Q1 - 1.5 IQR / Q3 + 1.5 IQR)
     for the first ``n_features`` features.  Two aggregates: quartiles, then whiskers."""
     feats = features[:n_features]
-    qs = _per_feature(df, feats, lambda f: F.struct(
-        F.lit(f).alias("feature"), F.percentile(F.col(f), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")))
-    qrow = {r["feature"]: r["q"] for r in qs.collect()}  # 3 numbers per feature
+    qrow = quantiles(df, feats, [0.25, 0.5, 0.75])  # 3 numbers per feature
+    feats = [f for f in feats if qrow.get(f) is not None]
     k = cfg.iqr_factor
 
     def build(f):

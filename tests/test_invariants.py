@@ -281,3 +281,18 @@ def test_neighbor_graph_layout_separates_blobs(spark):
     between = np.mean([np.hypot(*(cents.iloc[a] - cents.iloc[b])) for a in range(3) for b in range(a + 1, 3)])
     assert len(lay) == 90 and within < between / 3
     assert np.abs(lay[["umap1", "umap2"]].to_numpy()).max() == pytest.approx(10.0)
+
+
+def test_bucketed_exact_quantiles_match_numpy(spark):
+    from lookalike.functions.quantiles import quantiles
+    rng = np.random.default_rng(6)
+    n = 6000
+    a = rng.normal(size=n)
+    b = np.where(rng.random(n) < 0.34, 0.0, rng.exponential(size=n))   # one value holds a third
+    rows = [(i, float(a[i]), None if i % 9 == 0 else float(b[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "entity_id long, a double, b double")
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    got = quantiles(df, ["a", "b"], probs, one_task_limit=0, bucket_rows=300)   # force the bucketed plan
+    assert np.allclose(got["a"], np.quantile(a, probs), rtol=0, atol=1e-12)
+    bb = np.array([b[i] for i in range(n) if i % 9 != 0])
+    assert np.allclose(got["b"], np.quantile(bb, probs), rtol=0, atol=1e-12)
