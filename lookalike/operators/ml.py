@@ -99,7 +99,8 @@ def forest_importance(labelled: DataFrame, features: list[str], cfg: AnalysisCon
     model = rf.fit(labelled)
     imp = model.featureImportances.toArray().tolist()
     spark = labelled.sparkSession
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
+    rows = sorted(zip(features, imp), key=lambda t: (-t[1], t[0]))   # strongest first
+    return spark.createDataFrame([(f, float(v)) for f, v in rows], "feature string, importance double")
 
 
 @dataclass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +36,10 @@ def feature_matrix(df: DataFrame, ids: tuple[str, ...] = ID_NAMES) -> DataFrame:
 
 
 def exclude_regions(df: DataFrame, regions=None, column: str = "region", cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """Drop rows whose region is in the set; NULL regions are kept; no region column → unchanged."""
+    """Drop rows whose region is in the set; NULL regions are kept; no region column → a
+    warning and the rows unchanged."""
     if column not in df.columns:
+        warnings.warn(f"exclude_regions: no column {column!r}; rows passed through unchanged", stacklevel=2)
         return df
     regions = list(cfg.excluded_regions if regions is None else regions)
     return df.filter(F.col(column).isNull() | ~F.col(column).isin(regions))
