@@ -192,4 +192,4 @@ def box_summary(df: DataFrame, features: list[str], n_features: int = 5, stage:
 def rank_features(frame: DataFrame, by: str, n: int) -> DataFrame:
     """Top-n rows of a small per-feature frame with a rank column (ties by feature name)."""
     w = Window.orderBy(F.col(by).desc(), F.col("feature"))
-    return frame.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return frame.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)

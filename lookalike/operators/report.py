@@ -17,7 +17,7 @@ def top_importances(importances: DataFrame, n: int | None = None, labels: dict |
     """The n largest importances (ties by name), with a readable label."""
     n = n or cfg.top_n
     w = Window.orderBy(F.col(value).desc(), F.col("feature"))
-    top = importances.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    top = importances.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
     return relabel(top, "feature", labels or {}, out="label")
 
 
@@ -46,7 +46,7 @@ def top_missing(profile: DataFrame, n: int | None = None, labels: dict | None =
     """The n features with the most missing values, as a fraction, with a readable label."""
     n = n or cfg.top_n
     w = Window.orderBy(F.col("missing_count").desc(), F.col("feature"))
-    top = (profile.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    top = (profile.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
            .select("rank", "feature", (F.col("missing_percent") / 100.0).alias("missing_fraction")))
     return relabel(top, "feature", labels or {}, out="label")
 
@@ -58,7 +58,7 @@ def profile_radar(profiles: DataFrame, n: int | None = None, cfg: AnalysisConfig
     n = n or cfg.radar_features
     spread = profiles.groupBy("feature").agg(F.var_samp("mean").alias("spread"))
     w = Window.orderBy(F.col("spread").desc(), F.col("feature"))
-    top = spread.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    top = spread.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
     mm = profiles.groupBy("feature").agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
     j = profiles.join(top, "feature").join(mm, "feature")
     return j.select("rank", "feature", "segment", "mean",

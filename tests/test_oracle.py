@@ -15,11 +15,19 @@ def con():
     return duck(SF01)
 
 
+# Spark type → DuckDB type of the same column (schemas must agree, not only values)
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
-    got = QUERIES[name](spark, SF01).toPandas()
-    want = con.execute(SQL[name]).df()
-    ok, msg = compare(got, want)
+    df = QUERIES[name](spark, SF01)
+    rel = con.sql(SQL[name])
+    spark_types = {f.name: SAME_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types, f"{name}: schema {spark_types} vs {duck_types}"
+    ok, msg = compare(df.toPandas(), rel.df())
     assert ok, f"{name}: {msg}"
 
 
