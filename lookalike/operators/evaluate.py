@@ -120,7 +120,7 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction",
-                     offset: int = 0) -> DataFrame:
+                     offset: int = 0, wide: bool = False) -> DataFrame:
     """Dense (label, prediction, n) over the union of classes, zero-filled.
 
     The class list is bounded by the number of segments; it is turned into the dense grid with
@@ -135,6 +135,9 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
     out = grid.join(counts, ["label", "prediction"], "left").select(
         (F.col("label") + offset).alias("label"), (F.col("prediction") + offset).alias("prediction"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    if wide:
+        # export form: one row per true class, one column per predicted class (classes are few)
+        return out.groupBy("label").pivot("prediction").agg(F.first("n")).orderBy("label")
     return out
 
 

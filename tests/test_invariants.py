@@ -296,3 +296,26 @@ def test_bucketed_exact_quantiles_match_numpy(spark):
     assert np.allclose(got["a"], np.quantile(a, probs), rtol=0, atol=1e-12)
     bb = np.array([b[i] for i in range(n) if i % 9 != 0])
     assert np.allclose(got["b"], np.quantile(bb, probs), rtol=0, atol=1e-12)
+
+
+def test_histogram_and_density_match_numpy(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0.4, 0.2, 700)
+    df = spark.createDataFrame([(float(v),) for v in x], "similarity double")
+    hist = match.similarity_histogram(df, bins=20).orderBy("bin").toPandas()
+    counts, edges = np.histogram(x, bins=20)
+    assert hist.n.tolist() == counts.tolist()
+    assert np.allclose(hist.lower, edges[:-1]) and np.allclose(hist.upper, edges[1:])
+    dens = match.similarity_density(df, grid=50).orderBy("point").toPandas()
+    h = x.std(ddof=1) * len(x) ** (-1 / 5)
+    want = np.exp(-((dens.x.to_numpy()[:, None] - x[None, :]) / h) ** 2 / 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+    assert np.allclose(dens.density, want, rtol=1e-9)
+    assert np.trapezoid(dens.density, dens.x) == pytest.approx(1.0, abs=0.01)
+
+
+def test_confusion_matrix_zero_fills_union_of_classes(spark):
+    pred = spark.createDataFrame([(0, 0), (0, 2), (1, 0), (1, 1)], "label int, prediction int")
+    long = evaluate.confusion_matrix(pred).toPandas()
+    assert len(long) == 9 and long.n.sum() == 4                     # class 2 never a label, still a row
+    wide = evaluate.confusion_matrix(pred, wide=True).toPandas()
+    assert wide.shape == (3, 4) and wide.loc[wide.label == 2].iloc[0, 1:].tolist() == [0, 0, 0]
