@@ -319,3 +319,69 @@ def test_confusion_matrix_zero_fills_union_of_classes(spark):
     assert len(long) == 9 and long.n.sum() == 4                     # class 2 never a label, still a row
     wide = evaluate.confusion_matrix(pred, wide=True).toPandas()
     assert wide.shape == (3, 4) and wide.loc[wide.label == 2].iloc[0, 1:].tolist() == [0, 0, 0]
+
+
+def _frame(spark, n=300, seed=8):
+    rng = np.random.default_rng(seed)
+    pdf = pd.DataFrame({"entity_id": np.arange(n), "a": rng.gamma(2.0, 3.0, n), "b": rng.normal(5, 2, n)})
+    pdf.loc[pdf.index % 11 == 0, "b"] = np.nan
+    rows = [(int(r.entity_id), float(r.a), None if np.isnan(r.b) else float(r.b)) for r in pdf.itertuples()]
+    return pdf, spark.createDataFrame(rows, "entity_id long, a double, b double")
+
+
+def test_quality_and_describe_match_pandas(spark):
+    pdf, df = _frame(spark)
+    q = profile.quality_report(df, ["a", "b"]).toPandas().set_index("feature")
+    for f in ["a", "b"]:
+        s = pdf[f]
+        assert q.loc[f, "mean"] == pytest.approx(s.mean())
+        assert q.loc[f, "median"] == pytest.approx(s.median())
+        assert q.loc[f, "std"] == pytest.approx(s.std())
+        assert q.loc[f, "skewness"] == pytest.approx(s.skew())
+        assert q.loc[f, "kurtosis"] == pytest.approx(s.kurt())
+    d = profile.describe_features(df, ["a", "b"]).toPandas().set_index("feature")
+    want = pdf[["a", "b"]].describe().T
+    for f in ["a", "b"]:
+        for col, pcol in (("count", "count"), ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max")):
+            assert d.loc[f, col] == pytest.approx(want.loc[f, pcol])
+    assert d.loc["b", "missing"] == pdf.b.isna().sum()
+
+
+def test_robust_rescale_matches_numpy(spark):
+    pdf, df = _frame(spark)
+    scores = df.select("entity_id", (-(F.col("entity_id") % 5) / 4.0).alias("score"))   # rows with id%5 >= 3 are extreme
+    out = clean.robust_rescale_extremes(df, scores, ["a"], threshold=-0.5).toPandas().sort_values("entity_id")
+    ext = (pdf.entity_id % 5) >= 3
+    q1, med, q3 = np.quantile(pdf.a[ext], [0.25, 0.5, 0.75])
+    want = np.where(ext, (pdf.a - med) / (q3 - q1), pdf.a)
+    assert np.allclose(out.a.to_numpy(), want)
+
+
+def test_stratified_split_exact_class_counts(spark):
+    rows = [(i, i % 3 if i % 10 else 7) for i in range(1000)]
+    df = spark.createDataFrame(rows, "entity_id long, label int")
+    got = evaluate.stratified_split(df).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).toPandas()
+    assert all(r.t == (r.n * 3) // 10 for r in got.itertuples())
+    folds = evaluate.stratified_folds(df).groupBy("label", "fold").count().toPandas()
+    assert (folds.groupby("label")["count"].agg(lambda c: c.max() - c.min()) <= 1).all()
+
+
+def test_weighted_precise_lookalikes_brute_force(spark):
+    rng = np.random.default_rng(9)
+    n = 120
+    X = rng.normal(size=(n, 3))
+    reg, seg = rng.integers(0, 4, n), rng.integers(0, 2, n)
+    rows = [(i, int(reg[i]), f"s{seg[i]}", *map(float, X[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "entity_id long, region int, segment string, x double, y double, z double")
+    w = {"x": 2.0, "z": 0.5}
+    got = match.precise_lookalikes(df, ["x", "y", "z"], k=3, weights=w, block_rows=16).toPandas()
+    Z = (X - X.mean(0)) / X.std(0) * np.array([2.0, 1.0, 0.5])
+    U = Z / np.linalg.norm(Z, axis=1)[:, None]
+    S = U @ U.T
+    want = []
+    for i in range(n):
+        for r in set(reg[(reg > reg[i]) & (seg == seg[i])]):
+            cand = [(-S[i, j], j) for j in range(n) if reg[j] == r and seg[j] == seg[i] and S[i, j] >= 0]
+            want += [(i, j) for _, j in sorted(cand)[:3]]
+    assert sorted(zip(got.a_id, got.b_id)) == sorted(want)
