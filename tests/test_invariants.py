@@ -385,3 +385,19 @@ def test_weighted_precise_lookalikes_brute_force(spark):
             cand = [(-S[i, j], j) for j in range(n) if reg[j] == r and seg[j] == seg[i] and S[i, j] >= 0]
             want += [(i, j) for _, j in sorted(cand)[:3]]
     assert sorted(zip(got.a_id, got.b_id)) == sorted(want)
+
+
+def test_run_segmentation_options(spark):
+    from conftest import SF001
+    from lookalike.plans import pipeline
+    from lookalike.sources import tables
+    cfg = AnalysisConfig(sweep_ks=(2, 3), candidate_ks=(3,), first_k=3, kmeans_starts=1, forest_trees=10,
+                         isolation_trees=20, folds=3, pseudo_label_k=3)
+    ef = tables.entity_features(spark, SF001).drop("name")
+    res = pipeline.run_segmentation(ef, cfg, k_policy="silhouette", features_from="pca", methods=("precise",))
+    row = res.summary.first()
+    assert row.errors == "" and row.n_rows == ef.count() and row.n_segments in (2, 3)
+    assert "precise_lookalikes" in res.artefacts and "sampled_lookalikes" not in res.artefacts
+    assert "cv_scores" not in res.artefacts          # the F1 search is skipped under the silhouette policy
+    with pytest.raises(ValueError):
+        pipeline.run_segmentation(ef, cfg, k_policy="nope")
