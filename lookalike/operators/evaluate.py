@@ -164,12 +164,20 @@ def explained_variance_cut(ratios: DataFrame, share: float | None = None, cfg: A
 
 def inertia_curve(vecs: DataFrame, labels: DataFrame, features: str = "features") -> DataFrame:
     """M9: (k, inertia) = sum of squared distances to the cluster mean, for given labels
-    (labels: k, entity_id, segment).  One aggregate per (k, segment, dim) of n, sum x, sum x^2."""
-    long = vecs.select("entity_id", F.posexplode(features).alias("dim", "x"))
-    j = labels.join(long, "entity_id")
-    cell = j.groupBy("k", "segment", "dim").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    return cell.groupBy("k").agg(F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")).alias("inertia"))
+    (labels: k, entity_id, segment).
+
+    One grouped pass per (k, segment): row count, sum of |x|² and the mean vector (MLlib
+    ``Summarizer``, a real vector aggregate with partial merging); SSE = Σ|x|² - n |mean|².
+    Rows stay whole vectors, so the shuffle carries (k × n) rows, not (k × n × d)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = vecs.select("entity_id", array_to_vector(features).alias("_v"),
+                       F.aggregate(features, F.lit(0.0), lambda acc, x: acc + x * x).alias("_ss"))
+    per = labels.join(rows, "entity_id").groupBy("k", "segment").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_ss").alias("ss"), Summarizer.mean(F.col("_v")).alias("m"))
+    mean_sq = F.aggregate(vector_to_array("m"), F.lit(0.0), lambda acc, x: acc + x * x)
+    return per.groupBy("k").agg(F.sum(F.col("ss") - F.col("n") * mean_sq).alias("inertia"))
 
 
 def best_k_silhouette(curve: DataFrame, score: str = "silhouette") -> DataFrame:
