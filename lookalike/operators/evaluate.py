@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from lookalike.config import DEFAULT, AnalysisConfig
 from lookalike.operators.similarity import DEFAULT_BLOCK_ROWS, block_pair_tasks, euclidean
-from lookalike.session import spread_for_compute
+from lookalike.session import apply_in_groups
 
 ORACLE_KEY_MAX = 10007
 
@@ -236,8 +236,7 @@ def silhouette(vecs: DataFrame, labels: DataFrame, features: str = "features",
         res.insert(0, "grp", int(key[0]))
         return res
 
-    sums = spread_for_compute(tasks, "grp", "ablk", "bblk").groupBy("grp", "ablk", "bblk").applyInPandas(
-        task, schema=schema)
+    sums = apply_in_groups(tasks, ["grp", "ablk", "bblk"], task, schema)
     per = sums.groupBy("grp", "a_id", "a_seg", "b_seg").agg(F.sum("sum_d").alias("s"), F.sum("cnt").alias("c"))
     own = F.when(F.col("a_seg") == F.col("b_seg"), F.try_divide(F.col("s"), F.col("c") - 1))
     other = F.when(F.col("a_seg") != F.col("b_seg"), F.col("s") / F.col("c"))

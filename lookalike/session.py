@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "lookalike") -> SparkSession:
@@ -59,16 +61,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_for_compute(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition the input of a compute-heavy grouped Arrow function by its group keys.
+def apply_in_groups(df: DataFrame, keys: list[str], fn, schema):
+    """``groupBy(keys).applyInPandas(fn, schema)`` for compute-heavy groups, spread over tasks.
 
     Adaptive execution sizes partitions by *bytes*, so a few MB of vectors that feed seconds of
-    NumPy work per group would be coalesced into one task.  An explicit ``repartition(n, keys)``
-    is kept as is by AQE; the following ``groupBy(keys)`` reuses it without a second shuffle.
-    ``n`` is the session's shuffle-partition count (sized for the cluster).
+    NumPy work per group would be coalesced into one task.  The rows are therefore tagged with a
+    hash of their group keys and hash-partitioned on that tag with an explicit
+    ``repartition(n, tag)``; AQE keeps a user-specified partition count, and because the tag is a
+    new expression Spark cannot drop the repartition as redundant (it would, were the input
+    already partitioned by the keys, e.g. by a window).  Grouping by (tag, keys) reuses that
+    partitioning.  ``n`` is the session's shuffle-partition count (sized for the cluster).
+    ``fn(key_tuple, pdf)`` sees the original keys and columns.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.repartition(n, *keys)
+    tagged = df.withColumn("_task", F.xxhash64(*[F.col(k) for k in keys])).repartition(n, "_task")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return fn(tuple(key[1:]), pdf.drop(columns=["_task"]))
+
+    return tagged.groupBy("_task", *keys).applyInPandas(run, schema=schema)
 
 
 _SHIPPED: set = set()
