@@ -401,3 +401,20 @@ def test_run_segmentation_options(spark):
     assert "cv_scores" not in res.artefacts          # the F1 search is skipped under the silhouette policy
     with pytest.raises(ValueError):
         pipeline.run_segmentation(ef, cfg, k_policy="nope")
+
+
+def test_grouped_arrow_stage_is_spread_over_tasks(spark):
+    """A window already partitions the rows by the group key; the grouped stage must still run on
+    the session's shuffle-partition count (not be coalesced into one task by AQE)."""
+    from pyspark.sql import Window
+
+    from lookalike.session import apply_in_groups
+    df = spark.range(4000).select((F.col("id") % 40).alias("g"), F.col("id").cast("double").alias("v"))
+    windowed = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("v"))).filter("rn <= 50")
+    out = apply_in_groups(windowed, ["g"], lambda key, pdf: pd.DataFrame({"g": [key[0]], "n": [len(pdf)]}),
+                          "g long, n long")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert out.rdd.getNumPartitions() == n_parts
+    assert sorted(r.n for r in out.collect()) == [50] * 40
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
