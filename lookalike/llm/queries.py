@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lookalike.llm import bpe, line_dedup, pii, toxicity
+from lookalike.llm import bpe, line_dedup, merkle, pii, raking, toxicity
 from lookalike.llm.common import table
 
 
@@ -22,9 +22,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_level_bpe, op5_toxicity, op6_line_dedup, op10_pii)}
-ORACLE_SQL = {"op6_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op3_byte_level_bpe, op5_toxicity, op6_line_dedup,
+                                  op7_document_fingerprints, op9_mixing, op10_pii)}
+ORACLE_SQL = {"op6_line_dedup": line_dedup.SQL, "op7_document_fingerprints": merkle.SQL}
