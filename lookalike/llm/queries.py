@@ -5,10 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lookalike.llm import bpe, line_dedup, merkle, pii, raking, toxicity
+from lookalike.llm import bpe, line_dedup, merkle, pii, raking, token_scan, toxicity, warc
 from lookalike.llm.common import table
 
 
+#: Id that ends a document in token files; the vocabulary leaves it free.
+END_OF_DOCUMENT = 50256
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = bpe.ByteBPE.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_scan.document_token_counts(table(spark, sf_dir, "documents"), codec, END_OF_DOCUMENT)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.ByteBPE.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.round_trip(table(spark, sf_dir, "documents"), codec)
@@ -34,6 +47,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_level_bpe, op5_toxicity, op6_line_dedup,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_byte_level_bpe, op5_toxicity, op6_line_dedup,
                                   op7_document_fingerprints, op9_mixing, op10_pii)}
-ORACLE_SQL = {"op6_line_dedup": line_dedup.SQL, "op7_document_fingerprints": merkle.SQL}
+ORACLE_SQL = {"op2_warc": warc.SQL, "op6_line_dedup": line_dedup.SQL, "op7_document_fingerprints": merkle.SQL}
