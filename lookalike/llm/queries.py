@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lookalike.llm import bpe, line_dedup, merkle, pii, raking, token_scan, toxicity, warc
+from lookalike.llm import bpe, graph_ann, line_dedup, merkle, pii, raking, token_scan, toxicity, warc
 from lookalike.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.digest(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_byte_level_bpe, op5_toxicity, op6_line_dedup,
-                                  op7_document_fingerprints, op9_mixing, op10_pii)}
+                                  op7_document_fingerprints, op8_nearest_vectors, op9_mixing,
+                                  op10_pii)}
 ORACLE_SQL = {"op2_warc": warc.SQL, "op6_line_dedup": line_dedup.SQL, "op7_document_fingerprints": merkle.SQL}
