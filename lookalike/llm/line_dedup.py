@@ -142,7 +142,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batch
         counts = keys if counts is None else counts.unionByName(keys)
         store.add(keys)
     totals = counts.groupBy("h").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= min_docs)
-    holders = store.runs().select("h", F.col("doc").alias("holder")).join(totals, "h")
+    # written first: a join of two plain exchanges lets Spark split the partition of a very common line
+    holders = written(store.runs().select("h", F.col("doc").alias("holder")).join(totals, "h"), "line-holders")
     gone = found.join(holders, "h").where(F.col("doc") != F.col("holder"))
     return gone.groupBy("doc", "row").agg(F.flatten(F.collect_list("positions")).alias("dropped")), store
 
