@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lookalike.llm import bpe, graph_ann, line_dedup, merkle, pii, raking, token_scan, toxicity, warc
+from lookalike.llm import bpe, graph_ann, line_dedup, merkle, ngram_join, pii, raking, token_scan, toxicity, warc
 from lookalike.llm.common import table
 
 
@@ -27,6 +28,10 @@ def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), codec)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +56,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_byte_level_bpe, op5_toxicity, op6_line_dedup,
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_byte_level_bpe, op4_ngram_jaccard_join, op5_toxicity, op6_line_dedup,
                                   op7_document_fingerprints, op8_nearest_vectors, op9_mixing,
-                                  op10_pii)}
-ORACLE_SQL = {"op2_warc": warc.SQL, "op6_line_dedup": line_dedup.SQL, "op7_document_fingerprints": merkle.SQL}
+                                  op10_pii, pipeline)}
+ORACLE_SQL = {"op2_warc": warc.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op6_line_dedup": line_dedup.SQL, "op7_document_fingerprints": merkle.SQL}
