@@ -53,9 +53,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, and the ids as array<int>."""
     prepare(spark)
     codec = bpe.ByteBPE.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), codec)
-    return coded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
-                        F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    coded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), codec, packed=False)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
 STAGES = [

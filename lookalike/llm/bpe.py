@@ -19,6 +19,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,59 +131,52 @@ class ByteBPE:
         return b"".join(map(self.pieces.__getitem__, memoryview(ids).cast("I")))
 
 
-def _rows(batches: Iterator[pa.RecordBatch], column: str, out: str, fn) -> Iterator[pa.RecordBatch]:
-    """Append (or replace) binary column ``out`` = fn(value); output batches stay below SLICE_BYTES."""
+def _rows(batches: Iterator[pa.RecordBatch], column: str, out: str, fn, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Append (or replace) column ``out`` = fn(value); output batches stay below SLICE_BYTES."""
     for batch in text_slices(batches, column):
         rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != out]
         values, size, start = [], 0, 0
         for value in batch.column(column):
             got = fn(value.as_py())
             values.append(got)
-            size += len(got)
+            size += memoryview(got).nbytes
             if size > SLICE_BYTES:
-                yield _batch(rest, start, values, out)
+                yield _batch(rest, start, values, out, kind)
                 start, values, size = start + len(values), [], 0
         if values:
-            yield _batch(rest, start, values, out)
+            yield _batch(rest, start, values, out, kind)
 
 
-def _batch(rest: list, start: int, values: list[bytes], out: str) -> pa.RecordBatch:
+def _batch(rest: list, start: int, values: list, out: str, kind: pa.DataType) -> pa.RecordBatch:
     columns = {n: c.slice(start, len(values)) for n, c in rest}
-    return pa.RecordBatch.from_pydict(columns | {out: pa.array(values, pa.binary())})
+    return pa.RecordBatch.from_pydict(columns | {out: pa.array(values, kind)})
 
 
-def _with_binary(df: DataFrame, column: str, out: str, fn) -> DataFrame:
+def _with_column(df: DataFrame, column: str, out: str, fn, listed: bool = False) -> DataFrame:
     fields = [f for f in df.schema.fields if f.name != out]
-    schema = T.StructType([*fields, T.StructField(out, T.BinaryType())])
+    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()) if listed else T.BinaryType())])
+    kind = pa.list_(pa.int32()) if listed else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(batches, column, out, fn)
+        yield from _rows(batches, column, out, fn, kind)
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, codec: ByteBPE, column: str = "text", out: str = "ids") -> DataFrame:
-    """Add binary ``out``: the ids of ``column`` as little-endian unsigned 32-bit integers.
-
-    The codec is broadcast; its size is that of the vocabulary file."""
+def encode(df: DataFrame, codec: ByteBPE, column: str = "text", out: str = "ids", packed: bool = True) -> DataFrame:
+    """Add ``out``: the ids of ``column``, as little-endian unsigned 32-bit integers in a binary
+    (``packed``) or as array<int>.  The codec is broadcast; its size is that of the vocabulary file."""
     prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(codec)
-    return _with_binary(df, column, out, lambda text: shared.value.encode_packed(text or ""))
+    if packed:
+        return _with_column(df, column, out, lambda text: shared.value.encode_packed(text or ""))
+    return _with_column(df, column, out, lambda text: np.frombuffer(shared.value.encode_packed(text or ""), "<i4"), listed=True)
 
 
 def decode(df: DataFrame, codec: ByteBPE, column: str = "ids", out: str = "decoded") -> DataFrame:
     """Add binary ``out``: the bytes that the packed ids of ``column`` stand for."""
     prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(codec)
-    return _with_binary(df, column, out, lambda ids: shared.value.decode_packed(ids or b""))
-
-
-def id_list(column: str = "ids"):
-    """Packed ids as array<int> (JVM-side): four bytes each, little end first."""
-    chars = F.hex(F.col(column))
-    at = F.sequence(F.lit(0), (F.length(F.col(column)) / 4).cast("int") - 1)
-    word = lambda i: F.concat(*[F.substring(chars, i * 8 + 1 + 2 * k, F.lit(2)) for k in (3, 2, 1, 0)])
-    return F.when(F.length(F.col(column)) == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(at, lambda i: F.conv(word(i), 16, 10).cast("int")))
+    return _with_column(df, column, out, lambda ids: shared.value.decode_packed(ids or b""))
 
 
 def round_trip(df: DataFrame, codec: ByteBPE) -> DataFrame:
