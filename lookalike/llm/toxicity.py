@@ -1,8 +1,9 @@
 """Operator 5: toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 ``fit`` learns from a bounded sample of labelled rows (``max_examples`` of each class, those with
-the smallest row hash): terms are words and word beginnings, kept when the likelihood-ratio
-statistic of their presence against the label exceeds ``min_g2``.  The sample's TF-IDF vectors over
+the smallest row hash): terms are words and word beginnings, kept when they are
+``min_lift`` times as frequent in toxic rows and the likelihood-ratio statistic of that reaches
+``min_g2``.  The sample's TF-IDF vectors over
 the kept terms go to a block-max inverted index: postings by example, cut into blocks of examples,
 with the largest weight of each term in each block.  A query adds up the blocks' bounds, visits
 blocks from the highest bound down, scores their examples exactly, and stops when no other block
@@ -34,9 +35,19 @@ from pyspark.sql import types as T
 
 from lookalike.llm.common import prepare, text_slices, written
 
-WORD = re.compile(r"[^\W\d_]{3,}")
+#: Signs beyond ASCII that separate words; ASCII signs and digits do so by BREAKS.
+_SIGNS = re.compile("[\x80-\xbf\u00d7\u00f7\u2000-\u2bff\u3000-\u303f\uff00-\uff20]")
+BREAKS = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 #: Words whose terms a worker remembers.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
+
+
+def words(text: str) -> list[bytes]:
+    """Lower-case words of a text in UTF-8."""
+    low = text.lower()
+    if not low.isascii():
+        low = _SIGNS.sub(" ", low)
+    return low.encode("utf-8", "replace").translate(BREAKS).split()
 
 
 @dataclass(frozen=True)
@@ -45,6 +56,7 @@ class ToxicityConfig:
     max_terms: int = 50_000       #: kept terms, highest statistic first (bound of the broadcast)
     prefixes: tuple[int, ...] = (4, 5, 6)  #: lengths of word beginnings that count as terms
     min_g2: float = 30.0          #: likelihood ratio statistic a kept term must reach
+    min_lift: float = 8.0         #: times that a kept term must be more frequent in toxic rows
     neighbours: int = 15
     prior_weight: float = 0.25    #: weight of the prior among the votes
     threshold: float = 0.3
@@ -59,9 +71,10 @@ def word_terms(word: str, prefixes: tuple[int, ...]) -> list[str]:
 
 def term_counts(text: str, prefixes: tuple[int, ...]) -> Counter:
     counts: Counter = Counter()
-    for word, n in Counter(WORD.findall(text.lower())).items():
-        for term in word_terms(word, prefixes):
-            counts[term] += n
+    for word, n in Counter(words(text)).items():
+        if len(word) >= 3:
+            for term in word_terms(word.decode(), prefixes):
+                counts[term] += n
     return counts
 
 
@@ -77,33 +90,36 @@ class BlockMaxIndex:
                 postings.setdefault(term, []).append((i, weight))
         self.lists = {}
         for term, entries in postings.items():
-            ids = np.array([i for i, _ in entries], dtype=np.int32)
+            ids = np.array([i for i, _ in entries])
             weights = np.array([w for _, w in entries])
             at, first = np.unique(ids // block, return_index=True)
-            self.lists[term] = (ids, weights, at, np.append(first, len(ids)), np.maximum.reduceat(weights, first))
+            self.lists[term] = (ids, ids // block, weights, at, np.maximum.reduceat(weights, first))
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[int, float]]:
         """The k examples of largest cosine above 0 (fewer when fewer share a term), exactly."""
         used = [(self.lists[t], w) for t, w in sorted(query.items()) if t in self.lists]
         bound = np.zeros(self.blocks)
-        for (_, _, at, _, top), w in used:
+        for (_, _, _, at, top), w in used:
             bound[at] += w * top
-        best: list[tuple[float, int]] = []
-        for b in np.lexsort((np.arange(self.blocks), -bound)):
-            # rounding of the sums: a bound counts as reached within 1e-12
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for (ids, weights, at, first, _), w in used:
-                j = np.searchsorted(at, b)
-                if j < len(at) and at[j] == b:
-                    part = slice(first[j], first[j + 1])
-                    scores[ids[part] - b * self.block] += w * weights[part]
-            found = np.flatnonzero(scores)
-            # ties within rounding are ties: compare cosines at 12 digits, then the smaller example
-            best = sorted(best + [(round(float(scores[i]), 12), int(b * self.block + i)) for i in found],
-                          key=lambda x: (-x[0], x[1]))[:k]
-        return [(i, s) for s, i in best]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        ids, scores = np.empty(0, np.int64), np.empty(0)
+        done, step = 0, 4
+        # rounding of the sums: a bound counts as reached within 1e-12
+        while done < len(order) and (len(ids) < k or bound[order[done]] >= scores[k - 1] - 1e-12):
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[done:done + step]] = True
+            found = np.zeros(self.size)
+            for (own, blocks, weights, _, _), w in used:
+                here = chosen[blocks]
+                found[own[here]] += w * weights[here]
+            more = np.flatnonzero(found)
+            # cosines that differ by rounding only are ties: the smaller example goes first
+            ids, scores = np.concatenate([ids, more]), np.concatenate([scores, np.round(found[more], 12)])
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+            done, step = done + step, 4 * step
+        return list(zip(ids.tolist(), scores.tolist()))
 
 
 @dataclass
@@ -118,23 +134,28 @@ class ToxicityModel:
     prior: float                     # toxic share of the labelled rows
     no_terms: float                  # toxic share of labelled rows without kept terms
     _known: dict = field(default_factory=dict, repr=False)
+    _heads: frozenset = field(default=frozenset(), repr=False)
+
+    def __post_init__(self):
+        self._heads = frozenset(t.encode()[:3] for t in self.terms)
 
     def __getstate__(self):
         return self.__dict__ | {"_known": {}}
 
-    def _columns(self, word: str) -> tuple[int, ...]:
+    def _columns(self, word: bytes) -> tuple[int, ...]:
         got = self._known.get(word)
         if got is None:
             if len(self._known) > CACHE_ENTRIES:
                 self._known.clear()
             got = self._known[word] = tuple(
-                self.terms[t] for t in word_terms(word, self.config.prefixes) if t in self.terms)
+                self.terms[t] for t in word_terms(word.decode(), self.config.prefixes) if t in self.terms)
         return got
 
     def vector(self, text: str) -> dict[int, float]:
         """Unit TF-IDF vector (1 + log tf) over the kept terms."""
         counts: dict[int, int] = {}
-        for word in WORD.findall(text.lower()):
+        heads = self._heads
+        for word in [w for w in words(text) if w[:3] in heads]:  # no other word has a kept term
             for c in self._columns(word):
                 counts[c] = counts.get(c, 0) + 1
         return unit({c: (1 + math.log(n)) * self.idf[c] for c, n in counts.items()})
@@ -206,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     kept = [(r["term"], r["n"]) for r in
             rows.select("_toxic", F.explode("term").alias("term")).groupBy("term")
             .agg(F.sum("_toxic").alias("a"), F.count("*").alias("n"))
-            .withColumn("g2", g2(F.col("a"), n1, F.col("n") - F.col("a"), n0)).where(F.col("g2") >= config.min_g2)
+            .withColumn("g2", g2(F.col("a"), n1, F.col("n") - F.col("a"), n0)).where(
+                (F.col("g2") >= config.min_g2) & (F.col("a") * F.lit(n0) >= config.min_lift * (F.col("n") - F.col("a")) * F.lit(n1)))
             .orderBy(F.desc("g2"), "term").limit(config.max_terms).collect()] if n1 and n0 else []
     terms = {t: i for i, (t, _) in enumerate(kept)}
     idf = np.array([math.log((n1 + n0 + 1) / (n + 1)) + 1 for _, n in kept])
