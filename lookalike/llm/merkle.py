@@ -140,10 +140,11 @@ def edited(text, following):
 def digest(docs: DataFrame) -> DataFrame:
     """Query form: fingerprints of every text and its edited text, and their likeness."""
     prepare(docs.sparkSession)
-    rows = fingerprints(docs.select("doc_id", text_or_empty().alias("text")))
-    out = with_next(rows, ["text", "fingerprint"])
+    # only texts are dealt to the windows: a fingerprint has about half a text's size
+    out = with_next(docs.select("doc_id", text_or_empty().alias("text")), ["text"])
     out = out.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    out = out.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    for of in ("text", "edited", "next_text"):
+        out = fingerprints(out, of, {"text": "fingerprint"}.get(of, f"{of.removesuffix('_text')}_fingerprint"))
     return out.select(
         "doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint",
