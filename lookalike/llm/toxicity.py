@@ -55,7 +55,7 @@ class ToxicityConfig:
     max_examples: int = 5_000     #: labelled rows per class that are learned from (documented bound)
     max_terms: int = 50_000       #: kept terms, highest statistic first (bound of the broadcast)
     prefixes: tuple[int, ...] = (4, 5, 6)  #: lengths of word beginnings that count as terms
-    min_g2: float = 30.0          #: likelihood ratio statistic a kept term must reach
+    min_g2: float = 24.0          #: likelihood ratio statistic a kept term must reach
     min_lift: float = 8.0         #: times that a kept term must be more frequent in toxic rows
     neighbours: int = 15
     prior_weight: float = 0.25    #: weight of the prior among the votes
