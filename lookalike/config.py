@@ -35,6 +35,7 @@ class AnalysisConfig:
     candidate_ks: tuple[int, ...] = (10, 11, 12)
     first_k: int = 10
     kmeans_starts: int = 10
+    kmeans_iterations: int = 300
     # classifier
     test_share: float = 0.3
     folds: int = 5

@@ -19,34 +19,41 @@ from lookalike.session import apply_in_groups
 ORACLE_KEY_MAX = 10007
 
 
-def oracle_hash_key(id_col: str = "entity_id") -> F.Column:
-    """Integer shuffle rule both Spark and the SQL oracle can evaluate: (id * 7919) % 10007."""
-    return F.pmod(F.col(id_col) * F.lit(7919), F.lit(ORACLE_KEY_MAX))
+def oracle_hash_key(id_type: T.DataType, id_col: str = "entity_id") -> F.Column:
+    """Integer shuffle rule both Spark and the SQL oracle can evaluate: (id * 7919) % 10007.  The
+    id is reduced first, so that large ids don't overflow; ids that are not integers are hashed."""
+    number = F.col(id_col) if isinstance(id_type, T.IntegralType) else F.xxhash64(id_col)
+    return F.pmod(F.pmod(number.cast("long"), F.lit(ORACLE_KEY_MAX)) * F.lit(7919), F.lit(ORACLE_KEY_MAX))
+
+
+#: Key ranges that each partition of ``exact_rank`` is cut into, whatever its size.
+RANK_CELLS = 512
 
 
 def exact_rank(df: DataFrame, by: list[str], key: F.Column | None = None, key_max: int = ORACLE_KEY_MAX,
-               tiebreak: str = "entity_id", target_rows: int = 1_000_000) -> DataFrame:
+               tiebreak: str = "entity_id") -> DataFrame:
     """row_number() over (partition by ``by`` order by key, tiebreak) without ever sending a
     whole partition to one task.
 
-    Each partition is cut into ceil(n / target_rows) *key ranges*; rows are ranked inside their
-    (partition, range) cell, and the cell offsets come from a running sum over the small table of
-    cell counts.  Adds columns ``rank`` (1-based) and ``n_in_group``.
+    Each partition is cut into RANK_CELLS key ranges; rows are dealt and ranked by (partition,
+    range) cell, and the cells' offsets and the partitions' totals come from running sums over the
+    small table of cell counts.  Adds columns ``rank`` (1-based) and ``n_in_group``.
     ``key`` must be an integer in [0, key_max); default: the oracle hash rule.
     """
-    key = oracle_hash_key(tiebreak) if key is None else key
-    keyed = df.withColumn("_key", key.cast("long"))
-    sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_in_group")).withColumn(
-        "_nb", F.greatest(F.lit(1), F.ceil(F.col("n_in_group") / F.lit(target_rows))).cast("long"))
-    cells = keyed.join(sizes, by).withColumn("_cell", F.floor(F.col("_key") * F.col("_nb") / F.lit(key_max)))
-    cell_counts = cells.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    wo = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cell_counts.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0))).drop("_c")
-    wl = Window.partitionBy(*by, "_cell").orderBy("_key", tiebreak)
-    local = cells.withColumn("_local", F.row_number().over(wl))
-    return (local.join(offsets, [*by, "_cell"])
-            .withColumn("rank", F.col("_off") + F.col("_local"))
-            .drop("_key", "_nb", "_cell", "_off", "_local"))
+    key = oracle_hash_key(df.schema[tiebreak].dataType, tiebreak) if key is None else key
+    cells = df.withColumn("_key", key.cast("long")).withColumn(
+        "_cell", F.floor(F.col("_key") * F.lit(RANK_CELLS) / F.lit(key_max)).cast("int"))
+    counts = cells.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_cell").alias("_at"),
+                            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), F.sum("_c").over(whole).alias("n_in_group"))
+    local = cells.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_cell").orderBy("_key", tiebreak)))
+    same = local["_cell"] == offsets["_at"]
+    for c in by:
+        same = same & local[c].eqNullSafe(offsets[f"_by_{c}"])
+    return (local.join(offsets, same).withColumn("rank", F.col("_off") + F.col("_local"))
+            .select(*df.columns, "rank", "n_in_group"))
 
 
 def stratified_split(df: DataFrame, label: str = "label", cfg: AnalysisConfig = DEFAULT,

@@ -57,7 +57,7 @@ class SweepResult:
 
 
 def kmeans_sweep(vecs: DataFrame, ks=None, starts: int | None = None, cfg: AnalysisConfig = DEFAULT,
-                 max_iter: int = 50, parallelism: int = 4) -> SweepResult:
+                 parallelism: int = 4) -> SweepResult:
     """M8: for each k, the best of ``starts`` k-means|| fits (lowest training cost).
 
     The input is cached once and reused by all fits; the (k, start) fits are independent
@@ -72,12 +72,13 @@ def kmeans_sweep(vecs: DataFrame, ks=None, starts: int | None = None, cfg: Analy
 
     def fit(job):
         k, s = job
-        m = KMeans(k=k, seed=cfg.seed + s, featuresCol=VEC, maxIter=max_iter).fit(vecs)
+        m = KMeans(k=k, seed=cfg.seed + s, featuresCol=VEC, maxIter=cfg.kmeans_iterations).fit(vecs)
         return k, s, m.summary.trainingCost, m
 
     jobs = [(k, s) for k in ks for s in range(starts)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         fitted = list(pool.map(fit, jobs))
+    vecs.unpersist()
     res = SweepResult()
     for k, s, cost, m in sorted(fitted, key=lambda t: (t[0], t[2], t[1])):
         if k not in res.models:
@@ -88,7 +89,7 @@ def kmeans_sweep(vecs: DataFrame, ks=None, starts: int | None = None, cfg: Analy
 def pseudo_labels(vecs: DataFrame, k: int | None = None, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """M1: KMeans(k=5, seed) labels used as classification targets."""
     k = k or cfg.pseudo_label_k
-    m = KMeans(k=k, seed=cfg.seed, featuresCol=VEC).fit(vecs)
+    m = KMeans(k=k, seed=cfg.seed, featuresCol=VEC, maxIter=cfg.kmeans_iterations).fit(vecs)
     return m.transform(vecs).select("entity_id", VEC, F.col("prediction").cast("double").alias("label"))
 
 

@@ -105,29 +105,31 @@ def _pair_r(a: str, b: str):
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
+def _own_r(a: str):
+    """A feature with itself: 1, NULL for a constant one."""
+    return F.when(F.stddev_samp(F.col(a).cast("double")) > 0, F.lit(1.0))
+
+
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """A5: long (feature_a, feature_b, r, pos_a, pos_b) for every ordered pair incl. the diagonal.
 
     One aggregate computes each unordered pair once (chunked); the mirror half is a projection.
     """
     pos = {f: i for i, f in enumerate(features)}
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
     both = None
     for chunk in _chunks(pairs, 200):
         # one aggregate per chunk; each r is emitted in both directions by a generator
-        row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _pair_r(a, b).alias("r"))
+        row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (_pair_r(a, b) if a != b else _own_r(a)).alias("r"))
                                 for a, b in chunk]).alias("s"))
         part = row.select(F.explode("s").alias("p")).select(F.explode(F.array(
             F.struct(F.col("p.a").alias("feature_a"), F.col("p.b").alias("feature_b"), F.col("p.r").alias("r")),
             F.struct(F.col("p.b").alias("feature_a"), F.col("p.a").alias("feature_b"), F.col("p.r").alias("r")),
-        )).alias("e")).select("e.*")
+        )).alias("e")).select("e.*").distinct()  # the diagonal comes out twice
         both = part if both is None else both.unionByName(part)
-    spark = df.sparkSession
-    diag = spark.createDataFrame([(f, f, 1.0) for f in features], "feature_a string, feature_b string, r double")
-    full = diag if both is None else both.unionByName(diag)
+    full = both
     if not features:
-        return full.select("feature_a", "feature_b", "r", F.lit(None).cast("int").alias("pos_a"),
-                           F.lit(None).cast("int").alias("pos_b"))
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, r double, pos_a int, pos_b int")
     posmap = F.create_map(*[x for f in features for x in (F.lit(f), F.lit(pos[f]))])
     return full.select("feature_a", "feature_b", "r",
                        posmap[F.col("feature_a")].alias("pos_a"), posmap[F.col("feature_b")].alias("pos_b"))

@@ -9,13 +9,9 @@ from __future__ import annotations
 from lookalike.sources.tables import ENTITY_FEATURES, LINE_FEATURES, ORDER_LINE_FEATURES
 
 
-TIE_SHIFT = 0.123456789  # same offset as the Spark side (see catalog._round)
-
-
 def R(expr: str, d: int = 6) -> str:
-    """Round half-up on the shortest decimal text of the shifted double, as Spark's ``round`` does."""
-    shift = repr(TIE_SHIFT * 10.0 ** (-d))
-    return (f"(CAST(round(CAST(CAST((({expr})::DOUBLE + {shift}) AS VARCHAR) AS DECIMAL(38, 12)), {d}) "
+    """Round half-up on the shortest decimal text, six further digits first, as the Spark side does."""
+    return (f"(CAST(round(round(TRY_CAST(CAST(({expr})::DOUBLE AS VARCHAR) AS DECIMAL(38, 12)), {d + 6}), {d}) "
             f"AS DOUBLE) + 0.0)")
 
 
@@ -469,9 +465,20 @@ w AS (SELECT a_id, feature, max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) AS z,
 means AS (SELECT feature, avg(value) AS m FROM grid GROUP BY feature)
 SELECT m.a_id AS entity_id, m.feature, {R('coalesce(CASE WHEN w.z = 1 THEN w.zm ELSE w.wm END, means.m)', MONEY)} AS value
 FROM miss m LEFT JOIN w ON w.a_id = m.a_id AND w.feature = m.feature LEFT JOIN means ON means.feature = m.feature"""
+    gap = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in ENTITY_FEATURES)
+    q["density_segments"] = f"""WITH RECURSIVE {EF}, {z_ef()},
+near AS (SELECT a.entity_id AS a, b.entity_id AS b FROM z a JOIN z b ON sqrt({gap}) <= 0.6),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5),
+link AS (SELECT a, b FROM near WHERE a <> b AND a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach AS (SELECT id AS node, id AS root FROM core
+          UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.node AND r.root < l.b),
+lab AS (SELECT node, min(root) AS label FROM reach GROUP BY node),
+edge AS (SELECT a, min(b) AS core FROM near WHERE a NOT IN (SELECT id FROM core) AND b IN (SELECT id FROM core) GROUP BY a)
+SELECT z.entity_id, coalesce(lab.label, l2.label, -1) AS segment, lab.node IS NOT NULL AS is_core
+FROM z LEFT JOIN lab ON lab.node = z.entity_id LEFT JOIN edge ON edge.a = z.entity_id
+LEFT JOIN lab l2 ON l2.node = edge.core"""
     q["read_geojson"] = f"""SELECT c_custkey AS entity_id, c_mktsegment AS segment, {R('c_acctbal', MONEY)} AS x,
        {R('CAST(c_nationkey AS DOUBLE)')} AS y FROM customer"""
     q["run_summary"] = "SELECT CAST(6 AS BIGINT) AS n_input_features, CAST(count(*) AS BIGINT) AS n_rows FROM customer"
-    q["read_gpkg_files"] = "SELECT c_custkey AS entity_id, c_mktsegment AS segment, 21 AS wkb_bytes FROM customer"
     q["ingest_gzip_text"] = "SELECT trim(unnest(string_split(text, chr(10)))) AS value FROM documents"
     return q

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lookalike.config import DEFAULT, AnalysisConfig
-from lookalike.operators import clean, classify, evaluate, impute, match, ml, outliers, profile, project, report
+from lookalike.operators import (classify, clean, evaluate, graph, impute, match, ml, outliers, profile, project,
+                                 report)
 from lookalike.operators.segments import segment_profiles, segment_sizes
 from lookalike.session import cut_lineage
-from lookalike.sources import writers
+from lookalike.sources import readers, writers
 
 
 class StageError(RuntimeError):
@@ -40,7 +41,8 @@ def preprocess(df: DataFrame, cfg: AnalysisConfig = DEFAULT, features: list[str]
                isolation: bool = True, rescale_extremes: bool = False) -> Preprocessed:
     """P1 → A1 → P2 → P3 → C1..C4 → C5..C10 → A3 → A7 → A8, in that order."""
     feats = features or project.split_columns(df)["feature"]
-    table = df.select("entity_id", *[F.col(f).cast("double").alias(f) for f in feats])
+    number = lambda f: F.col(f).cast("double")
+    table = df.select("entity_id", *[F.when(~F.isnan(number(f)), number(f)).alias(f) for f in feats])  # NaN: missing
     art = {}
     art["missing_profile"] = profile.missing_profile(table, feats)
     table, feats = clean.drop_sparse_features(table, feats, cfg)
@@ -107,6 +109,7 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
     spark = df.sparkSession
     art: dict = {}
     errors: dict = {}
+    metrics: dict = {}
     try:
         base = df.cache()
         n_rows = base.count()
@@ -123,6 +126,8 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
         raise StageError(f"preprocess: {e}") from e
     art.update(pre.artefacts)
     table, feats = pre.table, list(pre.features)
+    art["cleaned_table"] = table
+    art["columns"] = readers.describe_source(base)
 
     try:
         corr = profile.correlation_matrix(table, feats)
@@ -171,10 +176,11 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
         raise StageError(f"clustering: {e}") from e
 
     ent_ids = base.select(*[c for c in ids if c in base.columns])
-    first = labels.filter(F.col("k") == cfg.first_k).select("entity_id", "segment")
-    rows_first = ent_ids.drop("segment").join(first, "entity_id")
-    art[f"segment_profiles_{cfg.first_k}"] = segment_profiles(table.join(first, "entity_id"), feats)
-    art[f"assignments_{cfg.first_k}"] = rows_first
+    first = _keep_segments(art, labels, table, ent_ids, feats, cfg.first_k)
+    try:
+        art["neighbor_layout"] = cut_lineage(graph.neighbor_graph_2d(zarr))
+    except Exception as e:  # noqa: BLE001
+        errors["layout"] = str(e)
 
     best_k = cfg.first_k
     if k_policy == "silhouette":
@@ -186,10 +192,11 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
             raise _Skip()
         scores = []
         models = {}
+        # one split for all k, stratified by the first k's segments: scores compare on the same rows
+        shared = cut_lineage(evaluate.stratified_split(first, "segment", cfg).select("entity_id", "is_test"))
         for k in cfg.candidate_ks:
             lk = labels.filter(F.col("k") == k).select("entity_id", F.col("segment").cast("double").alias("label"))
-            data = vecs.join(lk, "entity_id")
-            split = evaluate.stratified_split(data, "label", cfg)
+            split = vecs.join(lk, "entity_id").join(shared, "entity_id")
             train = evaluate.stratified_folds(split.filter(~F.col("is_test")).drop("is_test"), "label", cfg)
             res = classify.grid_search(train, grid, cfg)
             models[k] = (res, split.filter(F.col("is_test")))
@@ -198,16 +205,16 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
         art["cv_scores"] = score_df
         best_k = evaluate.best_cluster_count(score_df).first()["k"]
         res, test = models[best_k]
-        pred = res.model.transform(test).select(F.col("label").cast("int").alias("label"),
-                                                F.col("prediction").cast("int").alias("prediction"))
+        pred = cut_lineage(res.model.transform(test).select(F.col("label").cast("int").alias("label"),
+                                                            F.col("prediction").cast("int").alias("prediction")))
         art["accuracy_f1"] = evaluate.accuracy_f1(pred)
+        metrics = art["accuracy_f1"].first().asDict()
         art["classification_report"] = evaluate.classification_report(pred)
         art["confusion_matrix"] = evaluate.confusion_matrix(pred)
         art["model_importance"] = classify.model_importance(res.model, feats, spark)
         try:
             lab_best = vecs.join(labels.filter(F.col("k") == best_k).select("entity_id"), "entity_id")
-            art["class_attributions"] = classify.class_attributions(res.model, lab_best, feats, cfg=cfg,
-                                                                    permutations=4)
+            art["class_attributions"] = cut_lineage(classify.class_attributions(res.model, lab_best, feats, cfg=cfg))
         except Exception as e:  # noqa: BLE001
             errors["attributions"] = str(e)
         if out:
@@ -219,9 +226,8 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
     except Exception as e:  # noqa: BLE001
         errors["classifier"] = str(e)
 
-    seg = labels.filter(F.col("k") == best_k).select("entity_id", "segment")
-    rows = ent_ids.drop("segment").join(seg, "entity_id")
-    art[f"assignments_{best_k}"] = rows
+    _keep_segments(art, labels, table, ent_ids, feats, int(best_k))
+    rows = art[f"assignments_{best_k}"]
     art["segment_sizes"] = segment_sizes(rows)
     try:
         if "region" in rows.columns:
@@ -231,7 +237,8 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
             if "nearest" in methods:
                 art["nearest_lookalikes"] = match.nearest_lookalikes(feat_rows, feats, cfg=cfg)
             if "precise" in methods:
-                precise = match.precise_lookalikes(feat_rows, feats, cfg=cfg)
+                # kept once: the summary and the report tables read the pairs again
+                precise = cut_lineage(match.precise_lookalikes(feat_rows, feats, cfg=cfg))
                 art["precise_lookalikes"] = precise
                 art["similarity_summary"] = match.similarity_summary(precise)
     except Exception as e:  # noqa: BLE001
@@ -241,14 +248,29 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
         for name, frame in art.items():
             if isinstance(frame, DataFrame):
                 writers.write_artifact(frame, f"{out}/{name}")
+        if "geometry" in base.columns:
+            for k in sorted({cfg.first_k, int(best_k)}):
+                writers.write_geojson_lines(art[f"assignments_{k}"].join(base.select("entity_id", "geometry"), "entity_id"),
+                                            f"{out}/segments_{k}_geojson")
     summary = writers.run_summary(spark, {
         "runtime_seconds": round(time.time() - t0, 3), "n_input_features": n_input,
         "n_selected_features": len(feats), "n_rows": n_rows, "n_segments": int(best_k),
+        "accuracy": float(metrics["accuracy"]) if metrics else float("nan"),
+        "f1_weighted": float(metrics["f1_weighted"]) if metrics else float("nan"),
         "errors": ";".join(f"{k}: {v[:200]}" for k, v in sorted(errors.items())),
     })
+    base.unpersist()
     return RunResult(summary, art)
 
 
+def _keep_segments(art: dict, labels: DataFrame, table: DataFrame, ent_ids: DataFrame, feats: list, k: int) -> DataFrame:
+    """Assignments and profiles of one k, as artefacts; returns (entity_id, segment)."""
+    own = labels.filter(F.col("k") == k).select("entity_id", "segment")
+    art[f"segment_profiles_{k}"] = segment_profiles(table.join(own, "entity_id"), feats)
+    art[f"assignments_{k}"] = ent_ids.drop("segment").join(own, "entity_id")
+    return own
+
+
 def build_report_tables(art: dict, importances: DataFrame | None = None, labels: dict | None = None,
                         cfg: AnalysisConfig = DEFAULT) -> dict:
     """L2: R1–R7, A10, A14, A15 from the artefacts of a run (missing ones are skipped)."""

@@ -1,5 +1,7 @@
 """Invariants for operators without an exact SQL statement, on planted fixtures and brute force."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from lookalike.config import AnalysisConfig
 from lookalike.operators import clean, evaluate, graph, impute, match, ml, outliers, profile, similarity
 from lookalike.operators.scale import fit_standardizer
+from lookalike.operators.similarity import topk_similarity
 from lookalike.sources import geopackage, readers, writers
 
 SMALL = AnalysisConfig(isolation_trees=40, kmeans_starts=2, forest_trees=10, iterative_rounds=3)
@@ -191,7 +194,7 @@ def test_exact_silhouette_brute_force(spark):
 def test_exact_rank_matches_window(spark):
     rows = [(i, i % 3) for i in range(500)]
     df = spark.createDataFrame(rows, "entity_id long, label int")
-    got = evaluate.exact_rank(df, ["label"], target_rows=17).toPandas()
+    got = evaluate.exact_rank(df, ["label"]).toPandas()
     pdf = pd.DataFrame(rows, columns=["entity_id", "label"])
     pdf["key"] = (pdf.entity_id * 7919) % 10007
     pdf["want"] = pdf.sort_values(["key", "entity_id"]).groupby("label").cumcount() + 1
@@ -273,7 +276,7 @@ def test_empty_feature_lists_give_typed_empty_results(spark):
 
 def test_neighbor_graph_layout_separates_blobs(spark):
     df = blobs(spark, n_per=30, dims=4)
-    lay = graph.neighbor_graph_2d(df, k=8, iterations=15).toPandas()
+    lay = graph.neighbor_graph_2d(df, k=8).toPandas()
     seg = df.select("entity_id", "segment").toPandas().merge(lay, on="entity_id")
     cents = seg.groupby("segment")[["umap1", "umap2"]].mean()
     within = np.mean([np.hypot(r.umap1 - cents.loc[r.segment, "umap1"], r.umap2 - cents.loc[r.segment, "umap2"])
@@ -418,3 +421,63 @@ def test_grouped_arrow_stage_is_spread_over_tasks(spark):
     assert sorted(r.n for r in out.collect()) == [50] * 40
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+# ---------------- ids, NULLs, caps and rounding (second round) ----------------
+
+def test_long_chain_is_one_segment(spark):
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(400)], "entity_id long, features array<double>")
+    seg = graph.density_segments(df, eps=1.1, min_samples=2, block_rows=40).toPandas()
+    assert set(seg.segment) == {0} and seg.is_core.all()
+
+
+def test_string_ids_keep_their_form(spark):
+    rows = [(f"0{i}A", "r1" if i % 2 else None, "s", [float(i), 1.0]) for i in range(12)]
+    df = spark.createDataFrame(rows, "entity_id string, region string, segment string, features array<double>")
+    got = match.nearest_lookalikes(df, "features", k=3, mode="pre", min_sim=-1.0, block_rows=4)
+    assert got.count() == 0  # a NULL region differs from nothing
+    some = df.withColumn("region", F.coalesce("region", F.lit("r2")))
+    pairs = match.nearest_lookalikes(some, "features", k=3, mode="pre", min_sim=-1.0, block_rows=4).toPandas()
+    assert set(pairs.a_id) == {r[0] for r in rows}
+    seg = graph.density_segments(df, eps=1.5, min_samples=2, block_rows=5).toPandas()
+    assert set(seg.segment) == {"00A"}
+
+
+def test_hash_rule_takes_large_and_text_ids(spark):
+    big = [(2 ** 62 + i, float(i % 2)) for i in range(20)]
+    df = spark.createDataFrame(big, "entity_id long, label double")
+    split = evaluate.stratified_split(df).toPandas()
+    assert split.groupby("label").is_test.sum().tolist() == [3, 3]
+    text = df.select(F.concat(F.lit("0"), "entity_id").alias("entity_id"), F.when(F.col("label") == 1, 1.0).alias("label"))
+    folds = evaluate.stratified_folds(text).toPandas()
+    assert len(folds) == 20 and folds[folds.label.isna()].groupby("fold").size().tolist() == [2] * 5
+
+
+def test_incomplete_vectors_are_an_error(spark):
+    df = spark.createDataFrame([(1, 0, [1.0, None]), (2, 1, [1.0, 2.0])], "entity_id long, region int, features array<double>")
+    with pytest.raises(Exception, match="missing coordinate"):
+        topk_similarity(df, k=1).collect()
+
+
+def test_constant_feature_has_no_correlation(spark):
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, 5.0), (3, 4.0, 5.0)], "entity_id long, a double, b double")
+    got = {(r["feature_a"], r["feature_b"]): r["r"] for r in profile.correlation_matrix(df, ["a", "b"]).collect()}
+    assert got == {("a", "a"): 1.0, ("b", "b"): None, ("a", "b"): None, ("b", "a"): None}
+
+
+def test_geojson_is_valid_json(spark, tmp_path):
+    from lookalike.sources.writers import geojson_features
+    df = spark.createDataFrame([(1, "__GEOM__", '{"type":"Point","coordinates":[1.5,2]}'), (2, "x", None)],
+                               "entity_id long, note string, geometry string")
+    got = [json.loads(r["value"]) for r in geojson_features(df).orderBy("value").collect()]
+    assert got[0] == {"type": "Feature", "properties": {"entity_id": 1, "note": "__GEOM__"},
+                      "geometry": {"type": "Point", "coordinates": [1.5, 2]}}
+    assert got[1]["geometry"] is None
+    with pytest.raises(TypeError):
+        geojson_features(df.withColumn("geometry", F.col("geometry").cast("binary")))
+
+
+def test_output_rounding_is_half_up(spark):
+    from lookalike.plans.catalog import _round
+    df = spark.createDataFrame([(1.0040,), (2.3341,), (0.125,), (1.005,), (0.1 + 0.2,)], "v double")
+    assert [r["v"] for r in _round(df, 2).collect()] == [1.0, 2.33, 0.13, 1.01, 0.3]
