@@ -29,6 +29,7 @@ columns don't matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookalike.llm.common import prepare, text_slices, with_partitions, written
-from lookalike.llm.components import components
+from lookalike.functions.components import components as components_of
 
 SAMPLE = 30          #: percent of a set's tokens (the smallest hashes) that enter the index
 BITS = 1024          #: bits of a set's bitmap
@@ -52,6 +53,10 @@ BROADCAST_IDS = 1_000_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
+def _kept(rounds: DataFrame) -> DataFrame:
+    return written(rounds, "components")
+
+
 def _ceil(a, b: int):
     return -(-a // b)
 
@@ -101,6 +106,11 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
+def set_prints(tokens: np.ndarray) -> tuple[int, int]:
+    """128-bit fingerprint of a set as two signed integers; the first one names the set."""
+    return struct.unpack("<qq", xxhash.xxh128_digest(tokens.tobytes()))
+
+
 def signatures(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n, f1, f2, sample, bits) of every whole text; f1, f2 identify the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +120,10 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             for value in batch.column("text"):
                 tokens = shingle_hashes(value.as_py() or "", n, known)
                 sizes.append(len(tokens))
-                full = xxhash.xxh128_intdigest(tokens.tobytes())
-                prints.append((full >> 64, full & (1 << 64) - 1))
+                prints.append(set_prints(tokens))
                 samples.append(tokens[:sample_size(len(tokens))].view(np.int64))
                 bits.append(bitmap(tokens))
-            f = np.array(prints, np.uint64).view(np.int64).reshape(-1, 2)
+            f = np.array(prints, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "f1": pa.array(f[:, 0]), "f2": pa.array(f[:, 1]),
                 "sample": pa.array(samples, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64()))})
@@ -206,8 +215,18 @@ def _may_link(percent: int):
             & (differing() <= a + b - 2 * needed(a, b, percent)))
 
 
+def chosen(rows: DataFrame, ids: DataFrame, key: str = "rep") -> DataFrame:
+    """Rows whose ``key`` is among ``ids`` (rep): by broadcast up to BROADCAST_IDS ids (counted),
+    by a shuffle join beyond."""
+    ids = ids.select(F.col("rep").alias("_rep"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, rows[key] == ids["_rep"], "left_semi")
+
+
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, n_a, n_b, common, linked) of candidate pairs, from the whole sets (rep, tokens)."""
+    sets = chosen(sets, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
     left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("_ta"))
     right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("_tb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -216,36 +235,39 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.withColumn("linked", 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(rep, tokens) of the documents named in ``ids`` (rep)."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids, "rep")
+def usable(signed: DataFrame) -> DataFrame:
+    """Rows that can be linked, named by their set: those with an id and a set that isn't empty."""
+    return signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).withColumn("rep", F.col("f1"))
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame, leaders: DataFrame, n: int) -> DataFrame:
+    """(rep, tokens) of the sets named in ``ids`` (rep); ``leaders`` (rep, doc_id) names a document of each."""
+    wanted = chosen(leaders, ids).select(F.col("doc_id").alias("rep"))
+    rows = chosen(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")), wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in text_slices(batches, "text"):
-            sets = [shingle_hashes(v.as_py() or "", n, known).view(np.int64) for v in batch.column("text")]
-            yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "tokens": pa.array(sets, pa.list_(pa.int64()))})
-    return chosen.mapInArrow(run, "rep long, tokens array<long>")
-
-
-def classes(signed: DataFrame) -> DataFrame:
-    """(f1, f2, rep) of the sets that occur: the smallest doc_id holding each (empty sets excepted)."""
-    return signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+            sets = [shingle_hashes(v.as_py() or "", n, known) for v in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"rep": pa.array([set_prints(t)[0] for t in sets], pa.int64()),
+                                              "tokens": pa.array([t.view(np.int64) for t in sets], pa.list_(pa.int64()))})
+    return chosen(rows.mapInArrow(run, "rep long, tokens array<long>"), ids)
 
 
 def class_links(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links between class representatives whose components are those of all links."""
+    """(a, b): links between sets (named by their first fingerprint) whose components are those of
+    all links.  Equal sets are one node, whatever the number of documents that hold them."""
     spark = docs.sparkSession
-    full = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = (full.groupBy("f1", "f2").agg(F.min_by(F.struct("doc_id", "n", "sample"), "doc_id").alias("x"))
-            .select(F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.sample").alias("sample")))
+    full = usable(signed)
+    leaders = written(full.groupBy("rep").agg(F.min("doc_id").alias("doc_id")), "ngram-classes")
+    reps = chosen(full, leaders.select(F.col("doc_id").alias("rep")), "doc_id").select("rep", "n", "sample", "bits")
+    # ids that repeat: some of their rows may stand for sets that other rows stand for, too
+    repeated = bool(full.groupBy("doc_id").count().where("count > 1").head(1))
+    one_each = (lambda df: df.dropDuplicates(["rep"])) if repeated else (lambda df: df)
+    reps = one_each(reps)
     entries = written(index_entries(reps, percent).withColumn("band", size_band(F.col("n"), percent)), "ngram-index")
     ids = written(entries.select("rep").distinct(), "ngram-candidates")
-    info = written(signed.where(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col("rep"))
-                   .groupBy("rep", "f1", "f2").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).drop("f1", "f2")
-                   .dropDuplicates(["rep"]), "ngram-bitmaps")
+    info = written(chosen(reps, ids).select("rep", "n", "bits"), "ngram-bitmaps")
     sets = None
     links = answers = labels = None
     for turn in range(STAR_ROUNDS):
@@ -270,12 +292,12 @@ def class_links(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> Dat
         if not pairs.head(1):
             break
         if sets is None:
-            sets = written(whole_sets(docs, ids, n), "ngram-sets").dropDuplicates(["rep"])
+            sets = written(one_each(whole_sets(docs, ids, leaders, n)), "ngram-sets")
         compared = written(compare(pairs, sets, percent), "ngram-answers")
         answers = compared if answers is None else answers.unionByName(compared)
         found = compared.where("linked").select("a", "b")
         links = found if links is None else written(links.unionByName(found), "ngram-links")
-        labels = written(components(links), "ngram-components")
+        labels = written(components_of(links, keep=_kept), "ngram-components")
     if labels is None:
         return spark.createDataFrame([], "a long, b long")
     rest = written(_remaining(entries, labels, answers, info, percent), "ngram-rest")
@@ -318,18 +340,18 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     prepare(docs.sparkSession)
     signed = written(signatures(docs, n), "ngram-signatures")
     links = class_links(docs, signed, n, percent)
-    # rows of one class, and rows of one doc_id, belong together
-    members = signed.join(classes(signed), ["f1", "f2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    several = members.where(F.col("rep") != F.col("doc_id")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    twice = members.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
-    if twice.head(1):  # repeated ids with different texts: all their classes join
-        links = links.unionByName(several).unionByName(several.select(F.col("a"), F.col("a").alias("b")))
-        labels = components(links)
-        return members.join(labels, members["doc_id"] == labels["node"], "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    labels = components(links)
-    return members.join(labels, members["rep"] == labels["node"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    full = usable(signed).select("doc_id", "n", "rep")
+    # rows of one doc_id belong together, whatever their texts
+    several = full.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+    links = links.unionByName(full.join(several, "doc_id").where(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")))
+    labels = components_of(links, keep=_kept)
+    members = full.join(labels, full["rep"] == labels["node"], "left").select(
+        "doc_id", "n", F.coalesce("component", "rep").alias("component"))
+    smallest = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = members.join(smallest, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = signed.where((F.col("n") == 0) | F.col("doc_id").isNull()).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
