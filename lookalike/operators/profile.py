@@ -2,13 +2,15 @@
 A5 correlation_matrix, A6 high_correlations, A7 extreme_correlations, A8 prune_correlated,
 A16 box_summary.
 
-Every profile is *one* aggregate over all features (chunked for very wide tables), returning
+Every profile is an aggregate over all features (one scan per CHUNK features), returning
 a single row that is reshaped with ``inline``/``unpivot`` into a long per-feature frame.
-The entity table is scanned once per profile, never once per feature.
+Correlations add up all products in one scan.  No profile scans the table once per feature.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,42 +99,55 @@ def describe_features(df: DataFrame, features: list[str], approx: bool = False)
     return _per_feature(df, features, build)
 
 
-def _pair_r(a: str, b: str):
-    """Pearson r over pairwise-complete rows; NULL (not an error) for a constant side."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x = F.when(both, F.col(a).cast("double"))
-    y = F.when(both, F.col(b).cast("double"))
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-
-
-def _own_r(a: str):
-    """A feature with itself: 1, NULL for a constant one."""
-    return F.when(F.stddev_samp(F.col(a).cast("double")) > 0, F.lit(1.0))
+def _moment_sums(df: DataFrame, features: list[str]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) over the rows where features i <= j are both present, of
+    values centred on the features' means.  One scan: every task adds up d x d products and emits
+    one row per pair of features."""
+    means = df.agg(*[F.avg(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))).alias(f"m{i}")
+                     for i, f in enumerate(features)]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+    d = len(features)
+    upper = np.triu_indices(d)
+
+    def add_up(batches):
+        n, sx, sxx, sxy = (np.zeros((d, d)) for _ in range(4))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=np.float64) - centre
+            known = ~np.isnan(x)
+            x = np.where(known, x, 0.0)
+            present = known.astype(np.float64)
+            n += present.T @ present
+            sx += x.T @ present
+            sxx += (x * x).T @ present
+            sxy += x.T @ x
+        yield pd.DataFrame({"i": upper[0], "j": upper[1], "n": n[upper], "sx": sx[upper], "sy": sx.T[upper],
+                            "sxx": sxx[upper], "syy": sxx.T[upper], "sxy": sxy[upper]})
+
+    parts = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]).mapInPandas(
+        add_up, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """A5: long (feature_a, feature_b, r, pos_a, pos_b) for every ordered pair incl. the diagonal.
+    """A5: long (feature_a, feature_b, r, pos_a, pos_b) for every ordered pair incl. the diagonal;
+    Pearson r over pairwise-complete rows (NaN counts as missing), NULL for a constant side.
 
-    One aggregate computes each unordered pair once (chunked); the mirror half is a projection.
+    Two scans whatever the number of features: the means, then all products at once.
     """
-    pos = {f: i for i, f in enumerate(features)}
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    both = None
-    for chunk in _chunks(pairs, 200):
-        # one aggregate per chunk; each r is emitted in both directions by a generator
-        row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (_pair_r(a, b) if a != b else _own_r(a)).alias("r"))
-                                for a, b in chunk]).alias("s"))
-        part = row.select(F.explode("s").alias("p")).select(F.explode(F.array(
-            F.struct(F.col("p.a").alias("feature_a"), F.col("p.b").alias("feature_b"), F.col("p.r").alias("r")),
-            F.struct(F.col("p.b").alias("feature_a"), F.col("p.a").alias("feature_b"), F.col("p.r").alias("r")),
-        )).alias("e")).select("e.*").distinct()  # the diagonal comes out twice
-        both = part if both is None else both.unionByName(part)
-    full = both
     if not features:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, r double, pos_a int, pos_b int")
-    posmap = F.create_map(*[x for f in features for x in (F.lit(f), F.lit(pos[f]))])
-    return full.select("feature_a", "feature_b", "r",
-                       posmap[F.col("feature_a")].alias("pos_a"), posmap[F.col("feature_b")].alias("pos_b"))
+    sums = _moment_sums(df, features)
+    spread = lambda s, ss: F.col(ss) - F.try_divide(F.col(s) * F.col(s), F.col("n"))
+    vx, vy = spread("sx", "sxx"), spread("sy", "syy")
+    # values that are all equal leave nothing but rounding noise
+    varies = (vx > F.lit(1e-12) * F.col("sxx")) & (vy > F.lit(1e-12) * F.col("syy")) & (F.col("n") > 1)
+    r = F.when(varies, F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
+        (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy)))
+    half = sums.select("i", "j", r.alias("r"))
+    both = half.unionByName(half.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    names = F.array(*[F.lit(f) for f in features])
+    return both.select(F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"), "r",
+                       F.col("i").alias("pos_a"), F.col("j").alias("pos_b"))
 
 
 def high_correlations(corr: DataFrame, threshold: float | None = None, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

@@ -581,8 +581,10 @@ def _labelled(spark, d):
 def q_boosted_segment_classifier(spark, d):
     data = _labelled(spark, d)
     model = classify.boosted_segment_classifier().fit(data)
-    return model.transform(data).select("entity_id", F.col("label").cast("int").alias("label"),
-                                        F.col("prediction").cast("int").alias("prediction"))
+    scored = classify.class_probabilities(model.transform(data))
+    return _round(scored.select("entity_id", F.col("label").cast("int").alias("label"),
+                                F.col("prediction").cast("int").alias("prediction"),
+                                F.get("probabilities", F.col("prediction").cast("int")).alias("probability")))
 
 
 def q_grid_search(spark, d):
@@ -625,10 +627,20 @@ def q_build_report_tables(spark, d):
     sw = ml.kmeans_sweep(v, ks=(k,))
     rows, prof = ml.assign_segments(ef, sw.models[k], v, ENTITY_FEATURES)
     art = {f"assignments_{k}": rows.select("entity_id", "region", "segment"), f"segment_profiles_{k}": prof,
-           "missing_profile": profile.missing_profile(ef, ENTITY_FEATURES)}
-    out = pipeline.build_report_tables(art)
-    return out["profile_radar"].select("rank", "feature", F.col("segment").cast("string").alias("segment"),
-                                       "normalized").transform(_round)
+           "missing_profile": profile.missing_profile(ef, ENTITY_FEATURES),
+           "correlation_matrix": cut_lineage(profile.correlation_matrix(ef, ENTITY_FEATURES)),
+           "precise_lookalikes": cut_lineage(match.precise_lookalikes(ef, ENTITY_FEATURES))}
+    imp = ml.forest_importance(ml.pseudo_labels(v), ENTITY_FEATURES)
+    parts = []
+    for name, frame in sorted(pipeline.build_report_tables(art, importances=imp).items()):
+        numbers = [F.coalesce(F.col(f.name).cast("double"), F.lit(0.0)) for f in frame.schema.fields
+                   if isinstance(f.dataType, T.NumericType)]
+        total = F.sum(sum(numbers, F.lit(0.0)))
+        parts.append(frame.agg(F.count("*").alias("n_rows"), total.alias("total")).select(F.lit(name).alias("report_table"), "n_rows", "total"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return _round(out, 2)
 
 
 def q_run_summary(spark, d):
