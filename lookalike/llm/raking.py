@@ -67,8 +67,8 @@ def _targets(cells: DataFrame, dim: str, config: RakingConfig) -> DataFrame:
         own = own.join(given, own[dim].eqNullSafe(given[dim]), "left").select(own[dim], F.coalesce("_s", F.lit(0.0)).alias("_s"))
     else:
         own = own.select(dim, F.pow(F.col("_n").cast("double"), F.lit(config.smoothing)).alias("_s"))
-    # few rows (values of one dimension); the window over all of them adds the shares up
-    return own.select(F.col(dim).alias(f"_{dim}"), (F.col("_s") / F.sum("_s").over(Window.partitionBy(F.lit(0)))).alias(f"t_{dim}"))
+    total = own.agg(F.sum("_s")).first()[0] or 1.0
+    return own.select(F.col(dim).alias(f"_{dim}"), (F.col("_s") / F.lit(float(total))).alias(f"t_{dim}"))
 
 
 def rake(cells: DataFrame, config: RakingConfig = RakingConfig(), dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
@@ -81,8 +81,8 @@ def rake(cells: DataFrame, config: RakingConfig = RakingConfig(), dims: tuple[st
     for dim in dims:
         goal = _targets(cells, dim, config)
         live = live.join(goal, live[dim].eqNullSafe(goal[f"_{dim}"])).drop(f"_{dim}")
-    live = live.withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(0))))
-    live = written(live.repartition(1), "raking-cells")  # one row per cell that occurs
+    everything = live.agg(F.sum("tokens")).first()[0] or 1
+    live = written(live.withColumn("weight", F.col("tokens") / F.lit(float(everything))), "raking-cells")
     total = {d: F.sum("weight").over(Window.partitionBy(d)) for d in dims}
     done, error = 0, None
     while True:
@@ -96,9 +96,8 @@ def rake(cells: DataFrame, config: RakingConfig = RakingConfig(), dims: tuple[st
         done += config.rounds_per_step
         live = written(live, "raking-cells")
     live = live.withColumn("factor", F.col("weight") / F.col("tokens"))
-    top = F.max("factor").over(Window.partitionBy(F.lit(0)))
-    return live.select(*dims, "tokens", "weight", "factor",
-                       F.coalesce(F.col("factor") / F.nullif(top, F.lit(0.0)), F.lit(0.0)).alias("probability"),
+    top = live.agg(F.max("factor")).first()[0] or 1.0
+    return live.select(*dims, "tokens", "weight", "factor", (F.col("factor") / F.lit(float(top))).alias("probability"),
                        F.lit(float(error or 0.0)).alias("max_error"))
 
 
