@@ -43,11 +43,13 @@ from lookalike.functions.components import components as components_of
 
 SAMPLE = 30          #: percent of a set's tokens (the smallest hashes) that enter the index
 BITS = 1024          #: bits of a set's bitmap
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Entries of one list that the count of holders goes up to; the order needs no exact count beyond.
 MOST_HOLDERS = 1 << 16
 #: Ids that may be broadcast to select rows (8 bytes each); a shuffle join beyond.
 BROADCAST_IDS = 1_000_000
+#: Rows with a bitmap that may be broadcast (about 160 bytes each); a shuffle join beyond.
+BROADCAST_BITMAPS = 100_000
 
 # Odd multipliers that combine the hashes of consecutive words.
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -215,12 +217,15 @@ def _may_link(percent: int):
             & (differing() <= a + b - 2 * needed(a, b, percent)))
 
 
+def small(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` (written already) as the broadcast side when it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def chosen(rows: DataFrame, ids: DataFrame, key: str = "rep") -> DataFrame:
     """Rows whose ``key`` is among ``ids`` (rep): by broadcast up to BROADCAST_IDS ids (counted),
     by a shuffle join beyond."""
-    ids = ids.select(F.col("rep").alias("_rep"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = small(ids.select(F.col("rep").alias("_rep")), BROADCAST_IDS)
     return rows.join(ids, rows[key] == ids["_rep"], "left_semi")
 
 
@@ -268,44 +273,55 @@ def class_links(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> Dat
     entries = written(index_entries(reps, percent).withColumn("band", size_band(F.col("n"), percent)), "ngram-index")
     ids = written(entries.select("rep").distinct(), "ngram-candidates")
     info = written(chosen(reps, ids).select("rep", "n", "bits"), "ngram-bitmaps")
+    info = small(info, BROADCAST_BITMAPS)
     sets = None
-    links = answers = labels = None
+    links = spark.createDataFrame([], "a long, b long")
+    answers = spark.createDataFrame([], "a long, b long, n_a int, n_b int, common int, linked boolean")
     for turn in range(STAR_ROUNDS):
-        open_ = entries
-        if labels is not None:  # lists whose entries are not all in one component yet
-            named = entries.join(labels, entries["rep"] == labels["node"], "left").drop("node").withColumn(
-                "component", F.coalesce("component", "rep"))
-            mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-            open_ = named.join(mixed, "token")
+        named = _named(entries, links if turn else None)
+        open_ = named.join(_mixed(named), "token") if turn else named
+        # first the sets with the fewest tokens of their own lead, then a random one
         order = F.struct("own", "n", "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), F.col("n"), F.col("rep"))
-        leader = open_.groupBy("token", "band").agg(F.min(F.struct(order.alias("o"), F.col("rep"))).alias("x")).select(
-            "token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("x.rep").alias("a"))
-        cut = ["component"] if labels is not None else []
-        pairs = open_.join(leader, ["token", "band"]).where(F.col("rep") != F.col("a"))
-        if cut:
-            other = labels.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
-            pairs = pairs.join(other, "a", "left").where(F.col("component") != F.coalesce("_ca", "a"))
-        pairs = pairs.select(F.col("a"), F.col("rep").alias("b")).distinct()
-        if answers is not None:
+        leader = open_.groupBy("token", "band").agg(F.min(F.struct(order.alias("o"), F.col("rep"), F.col("component"))).alias("x")).select(
+            "token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("x.rep").alias("a"),
+            F.col("x.component").alias("_ca"))
+        pairs = open_.join(leader, ["token", "band"]).where((F.col("rep") != F.col("a")) & (F.col("component") != F.col("_ca")))
+        pairs = pairs.select("a", F.col("rep").alias("b")).distinct()
+        if turn:
             pairs = pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(_with_info(pairs, info).where(_may_link(percent)).select("a", "b"), "ngram-stars")
         if not pairs.head(1):
-            break
+            continue
         if sets is None:
             sets = written(one_each(whole_sets(docs, ids, leaders, n)), "ngram-sets")
         compared = written(compare(pairs, sets, percent), "ngram-answers")
-        answers = compared if answers is None else answers.unionByName(compared)
-        found = compared.where("linked").select("a", "b")
-        links = found if links is None else written(links.unionByName(found), "ngram-links")
-        labels = written(components_of(links, keep=_kept), "ngram-components")
-    if labels is None:
-        return spark.createDataFrame([], "a long, b long")
-    rest = written(_remaining(entries, labels, answers, info, percent), "ngram-rest")
+        answers = answers.unionByName(compared)
+        links = links.unionByName(compared.where("linked").select("a", "b"))
+    rest = written(_remaining(entries, components_of(links, keep=_kept), answers, info, percent), "ngram-rest")
     if rest.head(1):
+        if sets is None:
+            sets = written(one_each(whole_sets(docs, ids, leaders, n)), "ngram-sets")
         links = links.unionByName(compare(rest, sets, percent).where("linked").select("a", "b"))
     return links
 
 
+def _named(entries: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``entries`` with a component: equal ones are certainly connected (the smallest neighbour of
+    each set; whole components are found before the last step only)."""
+    if links is None:
+        return entries.withColumn("component", F.col("rep"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = written(both.groupBy("a").agg(F.min("b").alias("b")), "ngram-labels")
+    labels = small(labels.select(F.col("a").alias("node"), F.least("a", "b").alias("component")), BROADCAST_IDS)
+    return entries.join(labels, entries["rep"] == labels["node"], "left").drop("node").withColumn(
+        "component", F.coalesce("component", "rep"))
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """(token): the lists whose entries are not all in one component."""
+    return named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("z")).where("x <> z").select("token")
+
+
 def _with_info(pairs: DataFrame, info: DataFrame) -> DataFrame:
     side = lambda s: info.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b")
@@ -316,10 +332,10 @@ def _remaining(entries: DataFrame, labels: DataFrame, answers: DataFrame, info:
     # each set's answer from one leader (its smallest): overlap with it and its size
     leader = answers.groupBy("b").agg(F.min(F.struct("a", "common", "n_a")).alias("y")).select(
         F.col("b").alias("rep"), F.col("y.a").alias("y"), F.col("y.common").alias("with_y"))
+    labels = small(written(labels, "ngram-labels"), BROADCAST_IDS)
     named = (entries.join(labels, entries["rep"] == labels["node"], "left").drop("node")
              .withColumn("component", F.coalesce("component", "rep")).drop("own"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("z")).where("x <> z").select("token")
-    named = named.join(mixed, "token").join(leader, "rep", "left").join(info.select("rep", "bits"), "rep")
+    named = named.join(_mixed(named), "token").join(leader, "rep", "left").join(info.select("rep", "bits"), "rep")
     named = written(named, "ngram-open")
     a = named.select("token", "band", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "y", "with_y", "bits")])
     b = named.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),

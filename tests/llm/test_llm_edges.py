@@ -229,6 +229,16 @@ def test_ngram_join_with_repeated_and_null_ids(spark):
     assert ngram_join.join_components(df.limit(0)).count() == 0
 
 
+def test_links_beside_an_unrelated_leader(spark):
+    """A list whose leader links with nothing still yields the link of two other sets."""
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = [shared + " " + " ".join(f"a{i}" for i in range(200))]
+    texts += [shared + " " + " ".join(f"b{i}" for i in range(200)) + end for end in (" one", " two", " three")]
+    got = ngram_join.join_components(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in got] == brute_components(texts, 4, 85)
+    assert [r["component_id"] for r in got] == [0, 1, 1, 1]
+
+
 @pytest.mark.parametrize("percent", [60, 80, 85, 100])
 def test_prefixes_of_similar_sets_collide(percent):
     """The bound behind the index, on random sets with worst-case differences."""
