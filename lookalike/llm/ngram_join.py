@@ -42,13 +42,13 @@ from lookalike.llm.common import prepare, text_slices, with_partitions, written
 from lookalike.functions.components import components as components_of
 
 SAMPLE = 30          #: percent of a set's tokens (the smallest hashes) that enter the index
-BITS = 1024          #: bits of a set's bitmap
-STAR_ROUNDS = 2
+BITS = 512           #: bits of a set's bitmap
+STAR_ROUNDS = 3
 #: Entries of one list that the count of holders goes up to; the order needs no exact count beyond.
 MOST_HOLDERS = 1 << 16
 #: Ids that may be broadcast to select rows (8 bytes each); a shuffle join beyond.
 BROADCAST_IDS = 1_000_000
-#: Rows with a bitmap that may be broadcast (about 160 bytes each); a shuffle join beyond.
+#: Rows with a bitmap that may be broadcast (about 100 bytes each); a shuffle join beyond.
 BROADCAST_BITMAPS = 100_000
 
 # Odd multipliers that combine the hashes of consecutive words.
@@ -280,8 +280,9 @@ def class_links(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> Dat
     for turn in range(STAR_ROUNDS):
         named = _named(entries, links if turn else None)
         open_ = named.join(_mixed(named), "token") if turn else named
-        # first the sets with the fewest tokens of their own lead, then a random one
-        order = F.struct("own", "n", "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), F.col("n"), F.col("rep"))
+        # first the sets with the fewest tokens of their own lead, then a random one of each list:
+        # a set that the base text misses meets about as many other sets as it has tokens
+        order = F.struct("own", "n", "rep") if turn == 0 else F.struct(F.xxhash64("rep", "token", F.lit(turn)), F.col("n"), F.col("rep"))
         leader = open_.groupBy("token", "band").agg(F.min(F.struct(order.alias("o"), F.col("rep"), F.col("component"))).alias("x")).select(
             "token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("x.rep").alias("a"),
             F.col("x.component").alias("_ca"))
@@ -338,14 +339,15 @@ def _remaining(entries: DataFrame, labels: DataFrame, answers: DataFrame, info:
     named = named.join(_mixed(named), "token").join(leader, "rep", "left").join(info.select("rep", "bits"), "rep")
     named = written(named, "ngram-open")
     a = named.select("token", "band", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "y", "with_y", "bits")])
-    b = named.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
+    # b is the smaller set of a pair (ties: the smaller name), so its block is a's or the one below
+    b = named.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"),
                      *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "y", "with_y", "bits")])
     need = needed(F.col("n_a"), F.col("n_b"), percent)
     by_leader = (~F.col("y_a").eqNullSafe(F.col("y_b")) | F.col("y_a").isNull()
                  | ((F.col("with_y_b") + F.col("n_a") - F.col("with_y_a") >= need) & (F.col("with_y_a") + F.col("n_b") - F.col("with_y_b") >= need)))
-    pairs = a.join(b, (a["token"] == b["token"]) & (a["band"] == b["band"]) & (F.col("rep_a") < F.col("rep_b"))
+    pairs = a.join(b, (a["token"] == b["token"]) & (a["band"] == b["band"]) & (F.struct("n_b", "rep_b") < F.struct("n_a", "rep_a"))
                    & (F.col("component_a") != F.col("component_b")) & by_leader & _may_link(percent))
-    pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    pairs = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
 
