@@ -3,9 +3,10 @@
 Documents fall into cells (source, language, topic).  ``rake`` scales the tokens of the cells in
 turn so that the totals per source, per language and per topic reach their targets, again and
 again until all three agree within ``tolerance``.  A cell's weight over its tokens is the factor
-of its documents; divided by the largest factor it is the probability that a document is sampled,
-so every probability is at most 1 and the expected mix is exactly the raked one.  A document is
-kept when a number drawn from the hash of its id and text lies below its probability: the sample
+of its documents, and min(1, c * factor) the probability that a document is sampled.  The size c
+comes from ``keep`` (share of the tokens wanted) or is the largest at which no cell of real weight
+is capped; the expected mix is the raked one up to the ``shortfall`` of the capped cells, the
+tokens that they have too few for that size.  A document is kept when a number drawn from the hash of its id and text lies below its probability: the sample
 does not depend on partitioning, order or the number of rows.
 
 Targets are shares per value and dimension; without them a dimension aims at its own token shares
@@ -21,6 +22,7 @@ repeated rows are sampled alike; extra columns pass through; an empty table give
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -39,6 +41,13 @@ class RakingConfig:
     tolerance: float = 1e-6
     rounds_per_step: int = 4   #: rounds between two looks at the error (one job each)
     max_rounds: int = 400
+    #: share of all tokens to keep; absent: the largest size that caps no cell of real weight
+    keep: float | None = None
+    real_cell: float = 0.0005  #: share of all tokens from which a cell has real weight
+
+    def __post_init__(self):
+        if self.keep is not None and not 0 < self.keep <= 1:
+            raise ValueError(f"keep must be above 0 and at most 1, got {self.keep}")
 
 
 def token_count(text):
@@ -72,10 +81,11 @@ def _targets(cells: DataFrame, dim: str, config: RakingConfig) -> DataFrame:
 
 
 def rake(cells: DataFrame, config: RakingConfig = RakingConfig(), dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """``cells`` (dims, tokens) with weight, factor, probability and max_error.
+    """``cells`` (dims, tokens) with weight, factor, probability, shortfall and max_error.
 
-    Weights sum to 1 over the cells with tokens; max_error is the largest distance of a dimension's
-    share to its target when the rounds ended."""
+    Weights sum to 1 over the cells with tokens; shortfall is the tokens that a cell with probability
+    1 lacks for its share; max_error is the largest distance of a dimension's share to its target
+    when the rounds ended."""
     prepare(cells.sparkSession)
     live = cells.where(F.col("tokens") > 0)
     for dim in dims:
@@ -96,11 +106,31 @@ def rake(cells: DataFrame, config: RakingConfig = RakingConfig(), dims: tuple[st
         done += config.rounds_per_step
         live = written(live, "raking-cells")
     live = live.withColumn("factor", F.col("weight") / F.col("tokens"))
-    top = live.agg(F.max("factor")).first()[0] or 1.0
-    return live.select(*dims, "tokens", "weight", "factor", (F.col("factor") / F.lit(float(top))).alias("probability"),
+    rate = F.col("factor") / F.lit(_full_factor(live, config, float(everything)))
+    return live.select(*dims, "tokens", "weight", "factor", F.least(rate, F.lit(1.0)).alias("probability"),
+                       (F.greatest(rate - 1, F.lit(0.0)) * F.col("tokens")).alias("shortfall"),
                        F.lit(float(error or 0.0)).alias("max_error"))
 
 
+def _full_factor(cells: DataFrame, config: RakingConfig, tokens: float) -> float:
+    """The factor whose documents are just kept with probability 1 (1 / c)."""
+    if config.keep is None:
+        real = F.col("tokens") >= F.lit(config.real_cell * tokens)
+        row = cells.agg(F.max(F.when(real, F.col("factor"))), F.max("factor")).first()
+        return row[0] or row[1] or 1.0
+    full, wanted = math.inf, config.keep * tokens
+    while True:  # cells of larger factors are capped; with each round the rest has to give more
+        capped = F.col("factor") >= F.lit(full)
+        row = cells.where(F.col("factor") > 0).agg(
+            F.sum(F.when(capped, F.col("tokens"))), F.sum(F.when(~capped, F.col("weight"))), F.min("factor")).first()
+        rest = wanted - (row[0] or 0)
+        if row[1] is None or rest <= 0:
+            return row[2] if row[1] is None and row[2] else full if full < math.inf else 1.0
+        if row[1] / rest >= full:
+            return full
+        full = row[1] / rest
+
+
 def draw(*parts):
     """Number in [0, 1) from the hash of the given columns."""
     digest = F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 12)
