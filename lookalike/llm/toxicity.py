@@ -3,17 +3,19 @@
 ``fit`` learns from a bounded sample of labelled rows (``max_examples`` of each class, those with
 the smallest row hash): terms are words and word beginnings, kept when they are
 ``min_lift`` times as frequent in toxic rows and the likelihood-ratio statistic of that reaches
-``min_g2``.  The sample's TF-IDF vectors over
+``min_g2``, or less where fewer terms were looked at (``lower_bound``).  The sample's TF-IDF vectors over
 the kept terms go to a block-max inverted index: postings by example, cut into blocks of examples,
 with the largest weight of each term in each block.  A query adds up the blocks' bounds, visits
 blocks from the highest bound down, scores their examples exactly, and stops when no other block
 can reach the k-th best cosine, so its neighbours are exact.  Votes are weighted by the squared
 cosine and by how many labelled rows an example stands for; the prior of the labelled rows joins
-as one further vote, which keeps scores calibrated when little evidence is found.  The nearest
-examples are returned as evidence.
+as one further vote, which keeps scores calibrated when little evidence is found.  Examples
+without kept terms are indexed over all their words (``WordIndex``); texts without kept terms are
+compared with them by exact TF-IDF cosine, votes weighted by the inverse squared distance, so that
+a copy of an example outweighs texts of the same topic.  The nearest examples are returned as evidence.
 
-Edge cases: NULL or empty texts, and texts without any kept term, have no neighbours and get the
-(smoothed) rate of toxic rows among labelled rows without kept terms; without labelled rows every
+Edge cases: NULL or empty texts, and texts that share no word with an example, have no neighbours
+and get the (smoothed) rate of toxic rows among labelled rows without kept terms; without labelled rows every
 score is 0; equal texts get equal scores, and cosine ties go to the example with the smaller id;
 repeated labels of one document count once, toxic if any of them is; extra columns pass through,
 clashing output names replace the input's; empty tables give empty tables.
@@ -26,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +58,7 @@ class ToxicityConfig:
     max_examples: int = 5_000     #: labelled rows per class that are learned from (documented bound)
     max_terms: int = 50_000       #: kept terms, highest statistic first (bound of the broadcast)
     prefixes: tuple[int, ...] = (4, 5, 6)  #: lengths of word beginnings that count as terms
-    min_g2: float = 24.0          #: likelihood ratio statistic a kept term must reach
+    min_g2: float = 24.0          #: likelihood ratio statistic that suffices for a kept term
     min_lift: float = 8.0         #: times that a kept term must be more frequent in toxic rows
     neighbours: int = 15
     prior_weight: float = 0.25    #: weight of the prior among the votes
@@ -122,6 +125,49 @@ class BlockMaxIndex:
         return list(zip(ids.tolist(), scores.tolist()))
 
 
+class WordIndex:
+    """Inverted index over all words of examples 0..n-1 (unit TF-IDF vectors)."""
+
+    def __init__(self, examples: pa.ChunkedArray, tf: pa.ChunkedArray):
+        """``examples``: the distinct words of each; ``tf``: how often each holds them."""
+        lists = pa.concat_arrays(examples.chunks)
+        self.size = len(lists)
+        coded = lists.flatten().dictionary_encode()
+        self.words = {w.encode(): i for i, w in enumerate(coded.dictionary.to_pylist())}
+        column = coded.indices.to_numpy(zero_copy_only=False)
+        own = np.repeat(np.arange(self.size, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+        held = np.bincount(column, minlength=len(self.words))
+        self.idf = np.log((self.size + 1) / (held + 1)) + 1
+        self.unknown = math.log(self.size + 1) + 1
+        weights = (1 + np.log(pa.concat_arrays(tf.chunks).flatten().to_numpy(zero_copy_only=False))) * self.idf[column]
+        weights /= np.sqrt(np.bincount(own, weights * weights, minlength=self.size))[own]
+        order = np.argsort(column, kind="stable")
+        self.ids, self.weights = own[order], weights[order]
+        self.start = np.concatenate([[0], np.cumsum(held)])
+
+    def nearest(self, text: str, k: int) -> list[tuple[int, float]]:
+        """The k examples of largest cosine above 0 (fewer when fewer share a word), exactly."""
+        counts = Counter(w for w in words(text) if len(w) >= 3)
+        known = [(c, n) for w, n in counts.items() if (c := self.words.get(w)) is not None]
+        if not known:
+            return []
+        known.sort()  # one order of summation: equal texts get equal scores
+        column = np.array([c for c, _ in known])
+        query = (1 + np.log([n for _, n in known])) * self.idf[column]
+        rest = sum((self.unknown * (1 + math.log(n))) ** 2 for w, n in sorted(counts.items()) if w not in self.words)
+        query /= math.sqrt(float(query @ query) + rest)
+        first, last = self.start[column], self.start[column + 1]
+        parts = [slice(a, b) for a, b in zip(first.tolist(), last.tolist())]
+        found = np.bincount(np.concatenate([self.ids[p] for p in parts]),
+                            np.concatenate([self.weights[p] for p in parts]) * np.repeat(query, last - first), self.size)
+        found = np.minimum(np.round(found, 12), 1.0)
+        more = np.flatnonzero(found > 0)
+        if len(more) > k:
+            more = np.flatnonzero((found > 0) & (found >= np.partition(found, self.size - k)[self.size - k]))
+        best = more[np.lexsort((more, -found[more]))][:k]
+        return list(zip(best.tolist(), found[best].tolist()))
+
+
 @dataclass
 class ToxicityModel:
     config: ToxicityConfig
@@ -133,6 +179,7 @@ class ToxicityModel:
     stands_for: np.ndarray           # labelled rows per example of its class
     prior: float                     # toxic share of the labelled rows
     no_terms: float                  # toxic share of labelled rows without kept terms
+    bare: WordIndex | None = None    # examples without kept terms; they follow those of the index
     _known: dict = field(default_factory=dict, repr=False)
     _heads: frozenset = field(default=frozenset(), repr=False)
 
@@ -165,13 +212,24 @@ class ToxicityModel:
         vector = self.vector(text) if self.index else {}
         near = self.index.nearest(vector, self.config.neighbours) if vector else []
         if not near:
-            return self.no_terms, []
+            return self._bare_score(text)
         votes = np.array([s * s * self.stands_for[i] for i, s in near])
         share = float((votes * self.labels[[i for i, _ in near]]).sum())
         # the prior's vote weighs as much as prior_weight average labelled rows
-        w = self.config.prior_weight * float(self.stands_for.mean()) if len(self.stands_for) else 1.0
+        w = self.config.prior_weight * float(self.stands_for[:self.index.size].mean())
         return (share + w * self.prior) / (float(votes.sum()) + w), near
 
+    def _bare_score(self, text: str) -> tuple[float, list[tuple[int, float]]]:
+        """Score of a text without kept terms, from the examples without them."""
+        first = self.index.size if self.index else 0
+        near = [(first + i, s) for i, s in self.bare.nearest(text, self.config.neighbours)] if self.bare else []
+        if not near:
+            return self.no_terms, []
+        votes = np.array([(s / (1.01 - s)) ** 2 * self.stands_for[i] for i, s in near])
+        share = float((votes * self.labels[[i for i, _ in near]]).sum())
+        w = self.config.prior_weight * float(self.stands_for[first:].mean())
+        return (share + w * self.no_terms) / (float(votes.sum()) + w), near
+
 
 def unit(vector: dict[int, float]) -> dict[int, float]:
     norm = math.sqrt(sum(v * v for _, v in sorted(vector.items())))
@@ -191,6 +249,11 @@ def g2(a, n1: int, b, n0: int):
     return 2 * (part(a, n1 * p) + part(n1 - a, n1 * (1 - p)) + part(b, n0 * p) + part(n0 - b, n0 * (1 - p)))
 
 
+def lower_bound(config: ToxicityConfig, terms: int) -> float:
+    """Statistic for a kept term: about one of ``terms`` terms that mean nothing reaches it."""
+    return min(config.min_g2, NormalDist().inv_cdf(1 - 0.5 / max(terms, 2)) ** 2)
+
+
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).  Counts of the classes
     cover all labelled rows; terms and examples come from the bounded sample."""
@@ -224,11 +287,12 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 + n0:
         return ToxicityModel(config, {}, np.zeros(0), None, [], np.zeros(0), np.zeros(0), 0.0, 0.0)
-    kept = [(r["term"], r["n"]) for r in
-            rows.select("_toxic", F.explode("term").alias("term")).groupBy("term")
-            .agg(F.sum("_toxic").alias("a"), F.count("*").alias("n"))
+    counts = rows.select("_toxic", F.explode("term").alias("term")).groupBy("term").agg(
+        F.sum("_toxic").alias("a"), F.count("*").alias("n"))
+    bound = lower_bound(config, counts.count())
+    kept = [(r["term"], r["n"]) for r in counts
             .withColumn("g2", g2(F.col("a"), n1, F.col("n") - F.col("a"), n0)).where(
-                (F.col("g2") >= config.min_g2) & (F.col("a") * F.lit(n0) >= config.min_lift * (F.col("n") - F.col("a")) * F.lit(n1)))
+                (F.col("g2") >= bound) & (F.col("a") * F.lit(n0) >= config.min_lift * (F.col("n") - F.col("a")) * F.lit(n1)))
             .orderBy(F.desc("g2"), "term").limit(config.max_terms).collect()] if n1 and n0 else []
     terms = {t: i for i, (t, _) in enumerate(kept)}
     idf = np.array([math.log((n1 + n0 + 1) / (n + 1)) + 1 for _, n in kept])
@@ -239,15 +303,23 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
              .groupBy("doc_id", "_toxic").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
              .orderBy("doc_id").collect()) if terms else []  # at most 2 * max_examples rows
     vectors = [unit({terms[t]: (1 + math.log(n)) * idf[terms[t]] for t, n in r["terms"]}) for r in pairs]
-    labels_of = np.array([float(r["_toxic"]) for r in pairs])
+    # the other examples, over all their words
+    other = rows.where(F.size(F.filter("term", lambda t: ~t.endswith("*"))) > 0)
+    if pairs:
+        other = other.join(F.broadcast(spark.createDataFrame([(r["doc_id"],) for r in pairs], "doc_id long")), "doc_id", "left_anti")
+    whole = F.filter(F.arrays_zip("term", "tf"), lambda e: ~e["term"].endswith("*"))
+    other = (other.select("doc_id", "_toxic", whole.alias("e")).select("doc_id", "_toxic", "e.term", "e.tf")
+             .orderBy("doc_id").toArrow())  # at most 2 * max_examples rows
+    labels_of = np.array([float(r["_toxic"]) for r in pairs] + other.column("_toxic").to_pylist())
     weight = {v: totals.get(v, 0) / sizes[v] for v in sizes}
-    stands_for = np.array([weight[r["_toxic"]] for r in pairs])
+    stands_for = np.array([weight[int(v)] for v in labels_of])
     with_terms = Counter(r["_toxic"] for r in pairs)
     empty1, empty0 = [(sizes.get(v, 0) - with_terms.get(v, 0)) * weight.get(v, 0) for v in (1, 0)]
     prior = totals.get(1, 0) / sum(totals.values())
     return ToxicityModel(config, terms, idf, BlockMaxIndex(vectors, config.block) if vectors else None,
-                         [r["doc_id"] for r in pairs], labels_of, stands_for, prior,
-                         (empty1 + prior) / (empty1 + empty0 + 1))
+                         [r["doc_id"] for r in pairs] + other.column("doc_id").to_pylist(), labels_of, stands_for, prior,
+                         (empty1 + prior) / (empty1 + empty0 + 1),
+                         WordIndex(other.column("term"), other.column("tf")) if other.num_rows else None)
 
 
 EVIDENCE = "array<struct<doc_id:bigint,cosine:double,label:int>>"
