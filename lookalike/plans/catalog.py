@@ -511,10 +511,6 @@ QUERIES = {
 
 
 DEFAULT = AnalysisConfig()
-# The whole search grid is 32 points x 5 folds x one boosted model per class: hours on one machine.
-# These two parameters of the search queries are explicit; the library's defaults are the whole grid.
-SEARCH = AnalysisConfig(sweep_ks=(2, 3, 4), candidate_ks=(3, 4), first_k=3, kmeans_starts=2, folds=3)
-SEARCH_GRID = {"maxIter": [3], "maxDepth": [2]}
 
 
 def _std_vecs(spark, d):
@@ -588,7 +584,7 @@ def q_boosted_segment_classifier(spark, d):
 
 
 def q_grid_search(spark, d):
-    res = classify.grid_search(_labelled(spark, d), SEARCH_GRID)
+    res = classify.grid_search(_labelled(spark, d), classify.DEFAULT_GRID)
     return _round(spark.createDataFrame([(str(res.params), float(res.score))], "params string, f1_weighted double"))
 
 
@@ -616,7 +612,7 @@ def q_preprocess(spark, d):
 
 
 def q_run_segmentation(spark, d):
-    res = pipeline.run_segmentation(_ef(spark, d).drop("name"), SEARCH, grid=SEARCH_GRID)
+    res = pipeline.run_segmentation(_ef(spark, d).drop("name"), DEFAULT, grid=classify.DEFAULT_GRID)
     return res.summary.drop("runtime_seconds")
 
 
