@@ -151,25 +151,28 @@ _DOT = "|".join(DOT_WORDS)
 _BRACKET_AT = re.compile(rf"[ ]{{0,3}}[\[({{<][ ]{{0,2}}(?:{_AT}|@)[ ]{{0,2}}[\])}}>][ ]{{0,3}}", re.I)
 _BRACKET_DOT = re.compile(rf"[ ]{{0,3}}[\[({{<][ ]{{0,2}}(?:{_DOT}|\.)[ ]{{0,2}}[\])}}>][ ]{{0,3}}", re.I)
 #: name AT word DOT word ...: the bare words count only together, or beside a real sign.
-_BARE = re.compile(rf"(?<=[A-Za-z0-9])(?:[ _]{{1,3}}(?:{_AT}|@)[ _]{{1,3}}|@)(?=[A-Za-z0-9-])(?P<d>[A-Za-z0-9-]+(?:(?:[ _]{{1,3}}(?:{_DOT}|\.)[ _]{{1,3}}|\.)[A-Za-z0-9-]+)+)", re.I)
-_BARE_DOT = re.compile(rf"[ _]{{1,3}}(?:{_DOT}|\.)[ _]{{1,3}}", re.I)
+_BARE_DOT = re.compile(rf"[ _]{{1,3}}(?:{_DOT}|\.)[ _]{{1,3}}|{_BRACKET_DOT.pattern}", re.I)
+_BARE = re.compile(rf"(?<=[A-Za-z0-9])(?:[ _]{{1,3}}(?:{_AT}|@)[ _]{{1,3}}|@)(?=[A-Za-z0-9-])(?P<d>[A-Za-z0-9-]+(?:(?:{_BARE_DOT.pattern}|\.)[A-Za-z0-9-]+)+)", re.I)
 _NAME_DOT = re.compile(rf"(?<=[A-Za-z0-9])[ _]{{1,3}}(?:{_DOT})[ _]{{1,3}}(?=[A-Za-z0-9._%+-]+@)", re.I)
 _NUMBER_DOT = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:[ _]{{1,3}}(?:{_DOT})[ _]{{1,3}}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _BRACKET = re.compile(r"[\[({<]")
-#: A digit beside a letter that may stand for one.
-_BESIDE = re.compile(r"[0-9](?:(?<=[OoQIl|ZSB][0-9])|(?=[OoQIl|ZSB]))")
-_BREAKS = bytes.maketrans(b"_-,.()[]{}<>:;", b" " * 14)
+#: A digit beside a letter that may stand for one, with what may stand between them in _MIXED.
+_BESIDE = re.compile(r"[0-9](?:(?=[ ().-]{0,2}[OoQIl|ZSB])|(?<=[OoQIl|ZSB][0-9])|(?<=[OoQIl|ZSB][ ().-][0-9])|(?<=[OoQIl|ZSB][ ().-]{2}[0-9]))")
+_BREAKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+_WORDS = re.compile(r"[^\W_]+")
 
 
 @lru_cache(maxsize=2)
 def _words(text: str) -> frozenset[bytes]:
-    """Distinct words, A-Z lower-cased; tells cheaply which transducers can find anything."""
-    return frozenset(text.encode("utf-8", "surrogatepass").lower().translate(_BREAKS).split())
+    """Distinct lower-case words between any other signs; tells cheaply which transducers can find anything."""
+    if text.isascii():
+        return frozenset(text.encode().lower().translate(_BREAKS).split())
+    return frozenset(w.encode("utf-8", "surrogatepass") for w in set(_WORDS.findall(text.lower())))
 
 
 def _encoded(words) -> frozenset[bytes]:
-    """UTF-8 forms of the words as ``_words`` gives them (it leaves capitals beyond A-Z alone)."""
-    return frozenset(w.encode() for w in words) | frozenset(w.upper().encode().lower() for w in words)
+    """UTF-8 forms of the words as ``_words`` gives them."""
+    return frozenset(w.encode() for w in words)
 
 
 _DIGIT_KEYS, _DOT_KEYS = _encoded(DIGIT_WORDS), _encoded(DOT_WORDS)
@@ -225,10 +228,10 @@ def bracketed_signs(text: str) -> list[tuple[int, int, str]]:
 
 
 def bare_signs(text: str) -> list[tuple[int, int, str]]:
-    """"name at word dot word": bare words, only where they form a whole address with a spelled
-    or spaced dot (a plain "at example.com" is left alone)."""
+    """"name at word dot word": bare words, only where they form a whole address with a spelled,
+    spaced or bracketed dot (a plain "at example.com" is left alone)."""
     edits = []
-    if "@" not in text and _words(text).isdisjoint(_DOT_KEYS):
+    if "@" not in text and not _BARE_DOT.search(text):
         return edits
     for m in _BARE.finditer(text):
         sign = m.group()[:m.start("d") - m.start()]
