@@ -20,7 +20,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages"), null_ids=True)
 
 
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

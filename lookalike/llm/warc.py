@@ -9,8 +9,10 @@ read once whatever the ranges.
 
 Of records with equal payloads (at least ``min_payload`` bytes) the one with the largest id is the
 response, the others revisit it.  Edge cases: a NULL payload counts as empty; a NULL url becomes
-"urn:page:<id>"; blanks and line breaks in urls are percent-encoded; rows with a NULL id get no
-record identity and are refused (an error names the column); rows with equal ids and equal payloads
+"urn:page:<id>"; blanks and line breaks in urls are percent-encoded; rows with a NULL id are
+refused by default (an error names the column); with ``null_ids`` they are written as records named by
+their digest, read back with a NULL id, and a response only when no row with an id has their payload;
+rows with equal ids and equal payloads
 are written once each, the response first; payloads that contain gzip or WARC bytes do no harm, as a
 task goes on after a member's end; extra columns don't matter; an empty table gives no archives and
 an empty result.
@@ -46,12 +48,16 @@ def payload_digest(payload: bytes) -> str:
     return b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(page_id: int, url: str, payload: bytes, digest: str, length: int, refers_to: int | None) -> bytes:
+def record_name(page_id: int | None, digest: str) -> str:
+    return f"urn:sha1:{digest}" if page_id is None else f"urn:page:{page_id}"
+
+
+def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, length: int, refers_to: int | None) -> bytes:
     """One WARC record; a revisit has no payload but names the response it stands for."""
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + (payload if refers_to is None else b"")
-    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {RECORD_DATE}",
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_name(page_id, digest)}>", f"WARC-Date: {RECORD_DATE}",
              f"WARC-Target-URI: {re.sub(r'[\x00-\x20]', lambda m: f'%{ord(m.group()):02X}', url)}",
              f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {length}"]
     if refers_to is not None:
@@ -77,28 +83,33 @@ def decide(pages: DataFrame, min_payload: int = 0, ids: str = "page_id", payload
                .agg(F.max("page_id").alias("leader"), F.count("*").alias("copies")).where(F.col("copies") > 1))
     # only payloads that repeat; a payload of a third of all pages is split by the skew join
     return (light.join(leaders, ["digest", "n"])
-            .where(F.col("page_id") != F.col("leader"))
+            .where(F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader")))
             .select("page_id", "digest", F.col("leader").alias("refers_to")).distinct())
 
 
 def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, ids: str = "page_id", url: str = "url",
-                   payload: str = "html") -> DataFrame:
+                   payload: str = "html", null_ids: bool = False) -> DataFrame:
     """Write a record per row to archives below ``folder`` (a URI all tasks can reach); returns the
     manifest (file, bytes, records), which is kept, so nothing is written twice."""
     spark = pages.sparkSession
     prepare(spark)
+    page_id = F.col(ids).cast("long")
+    if not null_ids:
+        page_id = F.when(F.col(ids).isNull(), F.raise_error(F.lit(f"{ids} must not be NULL"))).otherwise(page_id)
     rows = pages.select(
-        F.when(F.col(ids).isNull(), F.raise_error(F.lit(f"{ids} must not be NULL"))).otherwise(F.col(ids).cast("long")).alias("page_id"),
+        page_id.alias("page_id"),
         F.col(url).cast("string").alias("url"), F.coalesce(payload, F.lit("")).alias("payload"), _sha1(payload).alias("digest"))
-    rows = rows.join(decide(pages, min_payload, ids, payload), ["page_id", "digest"], "left")
+    revisits = decide(pages, min_payload, ids, payload).withColumnsRenamed({"page_id": "_id", "digest": "_digest"})
+    rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").drop("_id", "_digest")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, size, records = None, None, 0, 0
         for batch in text_slices(batches, "payload"):
             for page_id, link, text, refers_to in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")]):
                 data = text.encode()
-                member = gzip_member(record_bytes(page_id, link or f"urn:page:{page_id}", data,
-                                                  payload_digest(data), len(data), refers_to))
+                own = payload_digest(data)
+                member = gzip_member(record_bytes(page_id, link or record_name(page_id, own), data,
+                                                  own, len(data), refers_to))
                 if out is None:
                     name, out = open_output(folder, ".warc.gz")
                 out.write(member)
@@ -158,7 +169,8 @@ def parse_record(data: bytes) -> dict:
     number = lambda field: int(field.rpartition(":")[2].rstrip(">"))
     kind = fields["WARC-Type"]
     payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-    return {"page_id": number(fields["WARC-Record-ID"]), "record_type": kind,
+    return {"page_id": number(fields["WARC-Record-ID"]) if fields["WARC-Record-ID"].startswith("<urn:page:") else None,
+            "record_type": kind,
             "refers_to": number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None,
             "url": fields["WARC-Target-URI"], "payload": payload,
             "payload_bytes": int(fields["WARC-Payload-Length"]) if payload is None else len(payload),
@@ -194,10 +206,10 @@ def read_archives(files: DataFrame, block_bytes: int = BLOCK_BYTES, payloads: bo
     return byte_ranges(files.select("file", "bytes"), block_bytes).mapInArrow(read, RECORD)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, null_ids: bool = False) -> DataFrame:
     """Query form: write every page, read the archives back."""
     folder = shared_folder(pages.sparkSession, "warc")
-    found = read_archives(write_archives(pages, folder), payloads=False)
+    found = read_archives(write_archives(pages, folder, null_ids=null_ids), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
