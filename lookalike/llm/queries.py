@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lookalike.llm import bpe, graph_ann, line_dedup, manifest, merkle, ngram_join, pii, raking, token_scan, toxicity, warc
+from lookalike.llm import bpe, graph_ann, line_dedup, manifest, merkle, ngram_join, phrases, pii, raking, token_scan, toxicity, warc
 from lookalike.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.digest(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_byte_level_bpe, op4_ngram_jaccard_join, op5_toxicity, op6_line_dedup,
                                   op7_document_fingerprints, op8_nearest_vectors, op9_mixing,
-                                  op10_pii, op12_merkle_manifest, pipeline)}
+                                  op10_pii, op11_phrases, op12_merkle_manifest, pipeline)}
 ORACLE_SQL = {"op2_warc": warc.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op6_line_dedup": line_dedup.SQL, "op7_document_fingerprints": merkle.SQL,
-              "op12_merkle_manifest": manifest.SQL}
+              "op11_phrases": phrases.SQL, "op12_merkle_manifest": manifest.SQL}
