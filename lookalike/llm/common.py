@@ -51,14 +51,14 @@ def with_partitions(df: DataFrame, column: str) -> DataFrame:
     return df.repartition(n, column)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that ``column`` holds at most about SLICE_BYTES per slice."""
+def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that ``column`` holds at most about ``limit`` bytes per slice."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         each = max(1, batch.column(column).nbytes // n)
-        step = max(1, SLICE_BYTES // each)
+        step = max(1, limit // each)
         for at in range(0, n, step):
             yield batch.slice(at, step)
 

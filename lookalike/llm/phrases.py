@@ -9,10 +9,11 @@ sorted by phrase, written to the shared folder.  The runs of all tasks are merge
 partition: ranges of (lang, phrase), so that phrases with one beginning lie together and a beginning
 that is very frequent still is cut into several ranges.
 
-Counting goes by length: words first, then pairs of words that both reach ``min_count``, then phrases
-of three and four words all of whose pairs do.  What reached it travels as a bitmap of hashes of a
-fixed size (``FILTER_BITS``): a set bit too many only means a phrase that is counted in vain, so
-counts stay exact whatever the number of words.
+A first pass over the texts counts hashes of words and of pairs of words; those that reach
+``min_count`` travel as a bitmap of a fixed size (``FILTER_BITS``).  The tries then count only words and
+pairs that are in it, and phrases of three and four words all of whose pairs are.  A bit that is set
+without need (hashes that collide) only means a phrase that is counted in vain, so counts stay exact
+whatever the number of words.
 
 Scores: a candidate (2 to 4 words, a occurrences) cut after its first k words into parts of l and r
 occurrences scores floor(2000000 * a / (l + r)), in decimal arithmetic of 38 digits; the lowest
@@ -40,12 +41,14 @@ from pyspark.sql import functions as F
 from lookalike.llm.common import prepare, text_slices, written
 
 MAX_WORDS = 4
+SLICE = 8 << 20                    #: bytes of text that are cut into words at once
 WORD_BITS = 21                     #: bits of a word id in a packed phrase; three ids fill a key
-MAX_IDS = (1 << WORD_BITS) - 1     #: words a task knows at a time
+MASK = (1 << WORD_BITS) - 1
 RUN_WORDS = 1 << 20                #: occurrences whose phrases are grouped before they enter the trie
+MAX_KNOWN = 400_000                #: words a task numbers before it spills everything
 BURST = 2048                       #: entries of a container before it becomes a node
-MAX_ENTRIES = 3_000_000            #: entries of a task's trie before it spills
-FILTER_BITS = 26                   #: the bitmap of frequent words or pairs has 2 ** 26 bits (8 MB)
+MAX_ENTRIES = 1_000_000            #: entries of a task's tries before they spill
+FILTER_BITS = 27                   #: the bitmap of frequent words and pairs has 2 ** 27 bits (16 MB)
 UNDEFINED = "und"
 
 # Bytes that end a piece, and bytes between words.
@@ -96,11 +99,13 @@ def is_set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class HatTrie:
-    """Counts of phrases: word id -> container of packed further ids (node -> containers once burst)."""
+    """Counts of phrases: word id -> container of packed further ids (node -> containers once burst);
+    the counts of single words are the trie's own."""
 
     def __init__(self):
         self.ids: dict[bytes, int] = {}
         self.words: list[bytes] = [b""]    # word of every id; 0 stands for no word
+        self.alone = np.zeros(1024, np.int64)
         self.children: dict[int, dict | Node] = {}
         self.sizes: dict[int, int] = {}    # entries below each first word
         self.entries = 0
@@ -115,10 +120,15 @@ class HatTrie:
                 got = ids[w] = len(known)
                 known.append(w)
             out[i] = got
+        if len(known) > len(self.alone):
+            self.alone = np.append(self.alone, np.zeros(len(known), np.int64))
         return out
 
     def add(self, firsts: np.ndarray, rests: np.ndarray, counts: np.ndarray) -> None:
-        """Add phrases: id of the first word, the others packed (most significant first)."""
+        """Add distinct phrases: id of the first word, the others packed (most significant first)."""
+        single = rests == 0
+        self.alone[firsts[single]] += counts[single]
+        firsts, rests, counts = firsts[~single], rests[~single], counts[~single]
         if not len(firsts):
             return
         order = np.lexsort((rests, firsts))
@@ -126,23 +136,24 @@ class HatTrie:
         starts = np.flatnonzero(np.append(True, firsts[1:] != firsts[:-1]))
         stops = np.append(starts[1:], len(firsts))
         keys, values = rests.tolist(), counts.tolist()
-        for lo, hi in zip(starts.tolist(), stops.tolist()):
-            first = int(firsts[lo])
+        for first, lo, hi in zip(firsts[starts].tolist(), starts.tolist(), stops.tolist()):
             child, new = _grow(self.children.get(first), keys[lo:hi], values[lo:hi])
             self.children[first] = child
             self.sizes[first] = self.sizes.get(first, 0) + new
             self.entries += new
 
     def spill(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Take out whole subtrees, the largest first, until at most ``keep`` entries stay."""
+        """Take out whole subtrees, the largest first, until at most ``keep`` entries stay, and the
+        counts of single words."""
+        held = np.flatnonzero(self.alone)
+        yield held, np.zeros(len(held), np.int64), self.alone[held]
+        self.alone[:] = 0
         for first in sorted(self.sizes, key=self.sizes.get, reverse=True):
             if self.entries <= keep:
                 break
-            pairs = list(_walk(self.children.pop(first), 0, 2 * WORD_BITS))
+            for rests, counts in _walk(self.children.pop(first), 0, 2 * WORD_BITS):
+                yield np.full(len(rests), first), rests, counts
             self.entries -= self.sizes.pop(first)
-            rests = np.fromiter((k for k, _ in pairs), np.int64, len(pairs))
-            counts = np.fromiter((c for _, c in pairs), np.int64, len(pairs))
-            yield np.full(len(pairs), first), rests, counts
 
 
 class Node(dict):
@@ -173,12 +184,14 @@ def _grow(child, keys: list[int], counts: list[int]):
     return child, new
 
 
-def _walk(child, prefix: int, shift: int) -> Iterator[tuple[int, int]]:
+def _walk(child, prefix: int, shift: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(packed ids, counts) of every container."""
     if isinstance(child, Node):
         for word, below in child.items():
             yield from _walk(below, prefix | word << shift, shift - WORD_BITS)
     else:
-        yield from ((prefix | k >> 2 * WORD_BITS - shift, c) for k, c in child.items())
+        keys, counts = (np.fromiter(x, np.int64, len(child)) for x in (child.keys(), child.values()))
+        yield keys >> 2 * WORD_BITS - shift | prefix, counts
 
 
 RUN = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -186,14 +199,11 @@ RUN = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.stri
 
 def _runs(lang: str, trie: HatTrie, keep: int) -> Iterator[pa.RecordBatch]:
     """Spilled subtrees of a trie as sorted runs."""
-    spilled = list(trie.spill(keep))
-    if not spilled:
-        return
-    firsts, rests, counts = (np.concatenate(x) for x in zip(*spilled))
+    firsts, rests, counts = (np.concatenate(x) for x in zip(*trie.spill(keep)))
     table = pa.array(trie.words, pa.binary()).cast(pa.string())
-    for lo in range(0, len(firsts), 1_000_000):
-        part = slice(lo, lo + 1_000_000)
-        ids = [firsts[part], *[(rests[part] >> WORD_BITS * (2 - i)) & MAX_IDS for i in range(MAX_WORDS - 1)]]
+    for lo in range(0, len(firsts), 1 << 18):
+        part = slice(lo, lo + (1 << 18))
+        ids = [firsts[part], *[(rests[part] >> WORD_BITS * (2 - i)) & MASK for i in range(MAX_WORDS - 1)]]
         used = [table.take(pa.array(i)) if not k else pc.if_else(pa.array(i > 0), table.take(pa.array(i)), pa.scalar(None, pa.string()))
                 for k, i in enumerate(ids)]
         phrase = pc.binary_join_element_wise(*used, " ", null_handling="skip")
@@ -202,61 +212,88 @@ def _runs(lang: str, trie: HatTrie, keep: int) -> Iterator[pa.RecordBatch]:
         yield batch.take(pc.sort_indices(phrase))
 
 
-def _grams(ids: np.ndarray, piece: np.ndarray, hashes: np.ndarray | None, sizes: tuple[int, ...], bitmap: np.ndarray | None, starts: int):
-    """(first, rest, count) of the distinct phrases of the given sizes that begin at one of the first
-    ``starts`` occurrences: words; pairs of words that are in the bitmap; longer phrases whose pairs
-    are all in it."""
+def _pairs(ids: np.ndarray, piece: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of occurrences that the next one follows in the same piece, hash of those two)."""
+    at = np.flatnonzero(piece[1:] == piece[:-1])
+    return at, mix(hashes[ids[at]], hashes[ids[at + 1]])
+
+
+def _grams(ids: np.ndarray, piece: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray, starts: int):
+    """(first, rest, count) of the distinct phrases that begin at one of the first ``starts``
+    occurrences: words and pairs in the bitmap, longer phrases whose pairs are all in it."""
     bits = 2 * WORD_BITS
-    if sizes == (1,):
-        found, n = np.unique(ids[:starts], return_counts=True)
-        return found, np.zeros(len(found), np.int64), n
-    pairs = np.flatnonzero(piece[1:] == piece[:-1])
-    if sizes == (2,):
-        good = is_set(bitmap, hashes)[ids]
-        at = pairs[good[pairs] & good[pairs + 1] & (pairs < starts)]
-        found, n = np.unique(ids[at] << WORD_BITS | ids[at + 1], return_counts=True)
-        return found >> WORD_BITS, (found & MAX_IDS) << bits, n
+    found, n = np.unique(ids[:starts], return_counts=True)
+    good = is_set(bitmap, hashes[found])
+    out = [(found[good], np.zeros(int(good.sum()), np.int64), n[good])]
+    at, hashed = _pairs(ids, piece, hashes)
     good = np.zeros(len(ids) + 2, bool)
-    good[pairs] = is_set(bitmap, mix(hashes[ids[pairs]], hashes[ids[pairs + 1]]))
-    at = np.flatnonzero(good[:starts] & good[1:starts + 1])
+    good[at] = is_set(bitmap, hashed)
+    at = np.flatnonzero(good[:starts])
+    found, n = np.unique(ids[at] << WORD_BITS | ids[at + 1], return_counts=True)
+    out.append((found >> WORD_BITS, (found & MASK) << bits, n))
+    at = at[good[at + 1]]
     found, n = np.unique(ids[at] << bits | ids[at + 1] << WORD_BITS | ids[at + 2], return_counts=True)
-    out = [(found >> bits, (found & (1 << bits) - 1) << WORD_BITS, n)]
+    out.append((found >> bits, (found & (1 << bits) - 1) << WORD_BITS, n))
     at = at[good[at + 2]]
     heads, head = np.unique(ids[at] << WORD_BITS | ids[at + 1], return_inverse=True)
     found, n = np.unique(head << bits | ids[at + 2] << WORD_BITS | ids[at + 3], return_counts=True)
     pair = heads[found >> bits]
-    out.append((pair >> WORD_BITS, (pair & MAX_IDS) << bits | found & (1 << bits) - 1, n))
+    out.append((pair >> WORD_BITS, (pair & MASK) << bits | found & (1 << bits) - 1, n))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def runs(docs: DataFrame, sizes: tuple[int, ...], bitmap=None) -> DataFrame:
-    """Sorted runs (lang, size, phrase, n) of the phrases of the given sizes that every task counted;
-    ``docs``: lang, text.  ``bitmap``: broadcast of the shorter phrases that are frequent."""
+def _chunks(batches: Iterator[pa.RecordBatch]):
+    """(lang, distinct words, their numbers in the slice, ids, pieces, hashes by id, starts) of runs of
+    at most RUN_WORDS occurrences, each with the occurrences that phrases begun in it reach into.
+    Ids count from 1."""
+    for batch in text_slices(batches, "text", SLICE):
+        langs = batch.column("lang")
+        for lang in pc.unique(langs).to_pylist():
+            words, found, piece = cut_words(batch.column("text").filter(pc.equal(langs, lang)))
+            hashes = word_hashes(words.to_pylist(), lang)
+            for lo in range(0, len(found), RUN_WORDS):
+                hi = min(lo + RUN_WORDS, len(found))
+                used, ids = np.unique(found[lo:hi + MAX_WORDS - 1], return_inverse=True)
+                yield lang, words, used, ids + 1, piece[lo:hi + MAX_WORDS - 1], np.append(np.uint64(0), hashes[used]), hi - lo
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNDEFINED)).alias("lang"), F.col("text").cast("string").alias("text"))
+
+
+def frequent_bitmap(docs: DataFrame, min_count: int) -> np.ndarray:
+    """Bitmap of the hashes of words and pairs of words that occur ``min_count`` times."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, ids, piece, hashes, starts in _chunks(batches):
+            n = np.bincount(ids[:starts], minlength=len(hashes))
+            at, hashed = _pairs(ids, piece, hashes)
+            pairs, many = np.unique(hashed[at < starts], return_counts=True)
+            held = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashes[held], pairs]).view(np.int64)),
+                                              pa.array(np.concatenate([n[held], many]))], names=["h", "n"])
+    bit = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    cells = (_rows(docs).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+             .select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toArrow())  # bounded: cells of the bitmap
+    out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    out[cells.column("cell").to_numpy()] = cells.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def runs(docs: DataFrame, bitmap) -> DataFrame:
+    """Sorted runs (lang, size, phrase, n) of the phrases that every task counted, and a row of size 0
+    with the number of all words of a language.  ``bitmap``: broadcast of ``frequent_bitmap``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
-        allowed = None if bitmap is None else bitmap.value
-        for batch in text_slices(batches, "text"):
-            langs = batch.column("lang")
-            for lang in pc.unique(langs).to_pylist():
-                words, found, piece = cut_words(batch.column("text").filter(pc.equal(langs, lang)))
-                hashes = None if allowed is None else word_hashes(words.to_pylist(), lang)
-                # phrases that start in one run of occurrences, so that ids always fit
-                for lo in range(0, len(found), RUN_WORDS):
-                    hi = min(lo + RUN_WORDS, len(found))
-                    used, ids = np.unique(found[lo:hi + MAX_WORDS - 1], return_inverse=True)
-                    grams = _grams(ids + 1, piece[lo:hi + MAX_WORDS - 1], None if hashes is None else np.append(np.uint64(0), hashes[used]),
-                                   sizes, allowed, hi - lo)
-                    trie = tries.setdefault(lang, HatTrie())
-                    if len(trie.words) + len(used) > MAX_IDS:
-                        yield from _runs(lang, trie, 0)
-                        trie = tries[lang] = HatTrie()
-                    insert(trie, words, used, *grams)
-                if sum(len(t.words) for t in tries.values()) > 2 * MAX_IDS:
-                    for name in list(tries):
-                        yield from _runs(name, tries.pop(name), 0)
-                elif sum(t.entries for t in tries.values()) > MAX_ENTRIES:
-                    for name, t in tries.items():
-                        yield from _runs(name, t, t.entries // 2)
+        for lang, words, used, ids, piece, hashes, starts in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([starts], pa.int64())], schema=RUN)
+            insert(tries.setdefault(lang, HatTrie()), words, used, *_grams(ids, piece, hashes, bitmap.value, starts))
+            if sum(len(t.words) for t in tries.values()) > MAX_KNOWN:
+                for name in list(tries):
+                    yield from _runs(name, tries.pop(name), 0)
+            elif sum(t.entries for t in tries.values()) > MAX_ENTRIES:
+                for name, t in tries.items():
+                    yield from _runs(name, t, t.entries // 2)
         for name, t in tries.items():
             yield from _runs(name, t, 0)
 
@@ -265,18 +302,17 @@ def runs(docs: DataFrame, sizes: tuple[int, ...], bitmap=None) -> DataFrame:
         held = np.zeros(len(used) + 1, bool)
         held[firsts] = True
         for i in range(MAX_WORDS - 1):
-            held[(rests >> WORD_BITS * i) & MAX_IDS] = True
+            held[(rests >> WORD_BITS * i) & MASK] = True
         held[0] = False
         at = np.flatnonzero(held)
         ids = np.zeros(len(used) + 1, np.int64)
         ids[at] = trie.number(words.take(pa.array(used[at - 1])).to_pylist())
         packed = np.zeros(len(rests), np.int64)
         for i in range(MAX_WORDS - 1):
-            packed |= ids[(rests >> WORD_BITS * i) & MAX_IDS] << WORD_BITS * i
+            packed |= ids[(rests >> WORD_BITS * i) & MASK] << WORD_BITS * i
         trie.add(ids[firsts], packed, counts)
 
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNDEFINED)).alias("lang"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(count, "lang string, size int, phrase string, n long"), "phrase-runs")
+    return written(_rows(docs).mapInArrow(count, "lang string, size int, phrase string, n long"), "phrase-runs")
 
 
 def merged(spilled: DataFrame) -> DataFrame:
@@ -286,40 +322,15 @@ def merged(spilled: DataFrame) -> DataFrame:
         F.first("size").alias("size"), F.sum("n").alias("n"))
 
 
-def frequent_bitmap(frequent: DataFrame) -> np.ndarray:
-    """Bitmap of the hashes of words or pairs (lang, phrase); 2 ** FILTER_BITS bits at any input."""
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column("lang")
-            for lang in pc.unique(langs).to_pylist():
-                split = [p.encode().split(b" ") for p in batch.column("phrase").filter(pc.equal(langs, lang)).to_pylist()]
-                hashes = word_hashes([w[0] for w in split], lang)
-                if split and len(split[0]) == 2:
-                    hashes = mix(hashes, word_hashes([w[1] for w in split], lang))
-                yield pa.RecordBatch.from_arrays([pa.array(_bit(hashes).astype(np.int64))], names=["bit"])
-    cells = (frequent.select("lang", "phrase").mapInArrow(bits, "bit long")
-             .groupBy(F.shiftright("bit", 6).alias("cell"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toArrow())  # bounded: cells of the bitmap
-    out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    out[cells.column("cell").to_numpy()] = cells.column("mask").to_numpy().view(np.uint64)
-    return out
-
-
 def phrase_counts(docs: DataFrame, min_count: int = 30) -> tuple[DataFrame, DataFrame]:
     """((lang, size, phrase, n) of all phrases of 1 to 4 words with n >= min_count, (lang, n) of
     all words)."""
     spark = docs.sparkSession
     prepare(spark)
-    words = written(merged(runs(docs, (1,))), "phrase-words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = [written(words.where(F.col("n") >= min_count), "phrase-counts")]
-    for sizes in ((2,), (3, 4)):
-        bitmap = spark.sparkContext.broadcast(frequent_bitmap(found[-1]))  # 2 ** FILTER_BITS bits
-        found.append(written(merged(runs(docs, sizes, bitmap)).where(F.col("n") >= min_count), "phrase-counts"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out, totals
+    bitmap = spark.sparkContext.broadcast(frequent_bitmap(docs, min_count))  # 2 ** FILTER_BITS bits
+    spilled = runs(docs, bitmap)
+    counts = written(merged(spilled.where("size > 0")).where(F.col("n") >= min_count), "phrase-counts")
+    return counts, spilled.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def collocations(docs: DataFrame, min_count: int = 30, inside_percent: int = 80, top: int = 2000) -> DataFrame:
