@@ -41,14 +41,15 @@ from pyspark.sql import functions as F
 from lookalike.llm.common import prepare, text_slices, written
 
 MAX_WORDS = 4
-SLICE = 8 << 20                    #: bytes of text that are cut into words at once
+SLICE = 4 << 20                    #: bytes of text that are cut into words at once
 WORD_BITS = 21                     #: bits of a word id in a packed phrase; three ids fill a key
 MASK = (1 << WORD_BITS) - 1
-RUN_WORDS = 1 << 20                #: occurrences whose phrases are grouped before they enter the trie
+RUN_WORDS = 1 << 19                #: occurrences whose phrases are grouped before they enter the trie
 MAX_KNOWN = 400_000                #: words a task numbers before it spills everything
 BURST = 2048                       #: entries of a container before it becomes a node
-MAX_ENTRIES = 1_000_000            #: entries of a task's tries before they spill
+MAX_ENTRIES = 600_000            #: entries of a task's tries before they spill
 FILTER_BITS = 27                   #: the bitmap of frequent words and pairs has 2 ** 27 bits (16 MB)
+KEY_BYTES = 5                      #: bytes of a hash that are sent beside its range
 UNDEFINED = "und"
 
 # Bytes that end a piece, and bytes between words.
@@ -261,19 +262,54 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNDEFINED)).alias("lang"), F.col("text").cast("string").alias("text"))
 
 
+def _pack(keys: np.ndarray) -> bytes:
+    """The low KEY_BYTES bytes of every key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _unpack(blobs: pa.ChunkedArray) -> np.ndarray:
+    data = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, :KEY_BYTES] = data
+    return out.view("<u8").ravel()
+
+
 def frequent_bitmap(docs: DataFrame, min_count: int) -> np.ndarray:
-    """Bitmap of the hashes of words and pairs of words that occur ``min_count`` times."""
+    """Bitmap of the hashes of words and pairs of words that occur ``min_count`` times.  Tasks send
+    their counts by ranges of the hashes, packed: a range's keys are the KEY_BYTES bytes of the hash
+    below the range's bits.  There are twice as many ranges as shuffle partitions."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    top = max(1, (2 * n - 1).bit_length())   # bits that tell a range
+    low = np.uint64(64 - top - 8 * KEY_BYTES)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, ids, piece, hashes, starts in _chunks(batches):
             n = np.bincount(ids[:starts], minlength=len(hashes))
             at, hashed = _pairs(ids, piece, hashes)
             pairs, many = np.unique(hashed[at < starts], return_counts=True)
             held = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashes[held], pairs]).view(np.int64)),
-                                              pa.array(np.concatenate([n[held], many]))], names=["h", "n"])
-    bit = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    cells = (_rows(docs).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-             .select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell"))
+            keys, n = np.concatenate([hashes[held], pairs]), np.concatenate([n[held], many])
+            order = np.argsort(keys)
+            keys, n = keys[order] >> low, n[order]
+            part = (keys >> np.uint64(8 * KEY_BYTES)).astype(np.int64)
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+            rows = []
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(part)]):
+                once = n[lo:hi] == 1
+                rows.append((int(part[lo]), _pack(keys[lo:hi][once]), _pack(keys[lo:hi][~once]), n[lo:hi][~once].astype("<i8").tobytes()))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "once", "keys", "n"])
+
+    def frequent(table: pa.Table) -> pa.Table:
+        once, more = _unpack(table.column("once")), _unpack(table.column("keys"))
+        n = np.frombuffer(b"".join(table.column("n").to_pylist()), "<i8")
+        keys, at = np.unique(np.concatenate([once, more]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([np.ones(len(once)), n]), len(keys))
+        hashes = (np.uint64(table.column("part")[0].as_py()) << np.uint64(8 * KEY_BYTES) | keys[total >= min_count]) << low
+        return pa.table({"bit": pa.array(_bit(hashes).astype(np.int64))})
+
+    cells = (_rows(docs).mapInArrow(count, "part long, once binary, keys binary, n binary").groupBy("part").applyInArrow(frequent, "bit long")
+             .groupBy(F.shiftright("bit", 6).alias("cell"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toArrow())  # bounded: cells of the bitmap
     out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
     out[cells.column("cell").to_numpy()] = cells.column("mask").to_numpy().view(np.uint64)
