@@ -3,8 +3,9 @@
 The rank file of a byte-level BPE vocabulary is serialised directly as a SentencePiece BPE model:
 every byte b of a piece becomes the character U+0100+b, the score of a piece is its negative rank
 (lower ranks merge first, as in the rank file), and the normaliser is the identity.  Texts are cut
-into pre-tokens by the vocabulary's pattern; each pre-token is encoded on its own, and ids decode
-through the inverse mapping, so decoding returns the exact bytes of the text.
+into pre-tokens by the vocabulary's pattern, a slice of texts at a time; each distinct pre-token is
+encoded on its own, and ids decode through the inverse mapping, so decoding returns the exact bytes of
+the text.
 
 Edge cases: NULL text counts as empty and gives no ids; a pre-token that is itself a piece gets
 that piece's id without merging (as the rank format demands); repeated rows are encoded alike;
@@ -15,9 +16,11 @@ replaces it; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lookalike.llm.common import SLICE_BYTES, prepare, text_slices
+from lookalike.llm import pretokens
+from lookalike.llm.common import prepare, text_slices
 
-#: Pre-tokens whose ids a worker remembers; when full, the memory is emptied and fills again.
-CACHE_ENTRIES = 400_000
+#: Pre-tokens whose ids a worker remembers: those met since the memory last filled, and as many before.
+CACHE_ENTRIES = 250_000
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
 
 # Fixed values of the SentencePiece model format: piece types and model type.
 NORMAL, UNKNOWN = 1, 2
@@ -57,9 +63,12 @@ def _int_field(number: int, value: int) -> bytes:
     return _varint(number << 3) + _varint(value)
 
 
+_MAPPED = "".join(chr(256 + b) for b in range(256))
+
+
 def byte_mapped(piece: bytes) -> str:
     """Each byte b as the character U+0100+b (one character per byte, none of them white space)."""
-    return "".join(chr(256 + b) for b in piece)
+    return piece.decode("latin-1").translate(_MAPPED)
 
 
 def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
@@ -102,64 +111,99 @@ class ByteBPE:
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_proto=self.model)
-            ids = {p: i for i, p in enumerate(self.pieces)}
-            self._state = (sp, regex.compile(self.pattern).findall, ids, {})
+            ids = {p: struct.pack("<I", i) for i, p in enumerate(self.pieces)}
+            findall = None if self.pattern == pretokens.PATTERN else regex.compile(self.pattern).findall
+            self._state = (sp, findall, ids, Remembered(), pa.array(self.pieces, pa.large_binary()))
         return self._state
 
+    def _cut(self, texts: list[str]) -> pretokens.Cut:
+        findall = self._open()[1]
+        if findall is None:
+            return pretokens.cut(texts)
+        known: dict[bytes, int] = {}
+        number, ends = [], []
+        for text in texts:
+            number += [known.setdefault(t.encode(), len(known)) for t in findall(text)]
+            ends.append(len(number))
+        return pretokens.Cut(list(known), np.array(number, np.int64), np.array(ends, np.int64))
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, ids up to the end of every text)."""
+        sp, _, ids, known, _ = self._open()
+        found = self._cut(texts)
+
+        def merge(tokens: list[bytes]) -> list[bytes]:
+            # a pre-token that is a piece itself gets that piece's id without merging
+            out = [ids.get(t) for t in tokens]
+            open_ = [i for i, got in enumerate(out) if got is None]
+            coded = sp.encode([byte_mapped(tokens[i]) for i in open_], out_type=int, num_threads=1)
+            flat = (np.fromiter(chain.from_iterable(coded), np.uint32) - 1).astype("<u4").tobytes()
+            at = 0
+            for i, got in zip(open_, coded):
+                out[i] = flat[at:at + 4 * len(got)]
+                at += 4 * len(got)
+            return out
+        return pretokens.expand(found, known.all(found.distinct, merge))
+
     def encode_packed(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers."""
-        sp, cut, ids, known = self._open()
-        tokens = cut(text)
-        new = [t for t in set(tokens) if t not in known]
-        if new:
-            if len(known) + len(new) > CACHE_ENTRIES:
-                known.clear()
-                new = list(set(tokens))
-            merge = []
-            for t in new:
-                whole = ids.get(t.encode())
-                if whole is None:
-                    merge.append(t)
-                else:
-                    known[t] = struct.pack("<I", whole)
-            if merge:
-                for t, got in zip(merge, sp.encode([byte_mapped(t.encode()) for t in merge], out_type=int, num_threads=1)):
-                    known[t] = struct.pack(f"<{len(got)}I", *[i - 1 for i in got])
-        return b"".join(map(known.__getitem__, tokens))
-
-    def decode_packed(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, memoryview(ids).cast("I")))
+        return self.encode_many([text])[0].tobytes()
 
+    def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+        """Bytes of every text from the ids of all."""
+        taken = self._open()[4].take(pa.array(ids))
+        stops = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, 8 * taken.offset)[np.append(0, ends)]
+        data = memoryview(taken.buffers()[2] or b"")
+        return [data[a:z] for a, z in zip(stops[:-1].tolist(), stops[1:].tolist())]
 
-def _rows(batches: Iterator[pa.RecordBatch], column: str, out: str, fn, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Append (or replace) column ``out`` = fn(value); output batches stay below SLICE_BYTES."""
-    for batch in text_slices(batches, column):
-        rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != out]
-        values, size, start = [], 0, 0
-        for value in batch.column(column):
-            got = fn(value.as_py())
-            values.append(got)
-            size += memoryview(got).nbytes
-            if size > SLICE_BYTES:
-                yield _batch(rest, start, values, out, kind)
-                start, values, size = start + len(values), [], 0
-        if values:
-            yield _batch(rest, start, values, out, kind)
+    def decode_packed(self, ids: bytes) -> bytes:
+        packed = np.frombuffer(ids, "<u4")
+        return bytes(self.decode_many(packed, np.array([len(packed)]))[0])
+
+
+class Remembered:
+    """Ids of pre-tokens met before, in two generations of at most CACHE_ENTRIES: when the young one is
+    full it becomes the old one, so pre-tokens that keep occurring are not forgotten."""
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def all(self, tokens: list[bytes], make) -> list[bytes]:
+        """Values of ``tokens`` (distinct ones); ``make`` gives those of a list of new ones."""
+        young, old = self.young, self.old
+        out = [young.get(t) for t in tokens]
+        rest = [i for i, got in enumerate(out) if got is None]
+        new = []
+        for i in rest:
+            got = out[i] = old.get(tokens[i])
+            if got is None:
+                new.append(i)
+        if new:
+            for i, got in zip(new, make([tokens[i] for i in new])):
+                out[i] = got
+        if len(young) + len(rest) > CACHE_ENTRIES:
+            self.old = young
+            young = self.young = {}
+        if len(rest) <= CACHE_ENTRIES:
+            young.update((tokens[i], out[i]) for i in rest)
+        return out
 
 
-def _batch(rest: list, start: int, values: list, out: str, kind: pa.DataType) -> pa.RecordBatch:
-    columns = {n: c.slice(start, len(values)) for n, c in rest}
-    return pa.RecordBatch.from_pydict(columns | {out: pa.array(values, kind)})
+def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    for batch in text_slices(batches, column, SLICE):
+        yield batch, [t or "" for t in batch.column(column).to_pylist()]
 
 
-def _with_column(df: DataFrame, column: str, out: str, fn, listed: bool = False) -> DataFrame:
+def _with_column(df: DataFrame, column: str, out: str, values, kind: T.DataType) -> DataFrame:
+    """Append (or replace) column ``out`` = values(batch), an Arrow array, for slices of the rows."""
     fields = [f for f in df.schema.fields if f.name != out]
-    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()) if listed else T.BinaryType())])
-    kind = pa.list_(pa.int32()) if listed else pa.binary()
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(batches, column, out, fn, kind)
-    return df.mapInArrow(run, schema)
+        for batch in text_slices(batches, column, SLICE):
+            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {out: values(batch.column(column).to_pylist())})
+    return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, kind)]))
 
 
 def encode(df: DataFrame, codec: ByteBPE, column: str = "text", out: str = "ids", packed: bool = True) -> DataFrame:
@@ -167,21 +211,37 @@ def encode(df: DataFrame, codec: ByteBPE, column: str = "text", out: str = "ids"
     (``packed``) or as array<int>.  The codec is broadcast; its size is that of the vocabulary file."""
     prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(codec)
-    if packed:
-        return _with_column(df, column, out, lambda text: shared.value.encode_packed(text or ""))
-    return _with_column(df, column, out, lambda text: np.frombuffer(shared.value.encode_packed(text or ""), "<i4"), listed=True)
+
+    def ids(texts: list[str | None]) -> pa.Array:
+        flat, ends = shared.value.encode_many([t or "" for t in texts])
+        bounds = np.append(0, ends).astype(np.int32)
+        if not packed:
+            return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.view(np.int32)))
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(4 * bounds), pa.py_buffer(flat)])
+    return _with_column(df, column, out, ids, T.BinaryType() if packed else T.ArrayType(T.IntegerType()))
 
 
 def decode(df: DataFrame, codec: ByteBPE, column: str = "ids", out: str = "decoded") -> DataFrame:
     """Add binary ``out``: the bytes that the packed ids of ``column`` stand for."""
     prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(codec)
-    return _with_column(df, column, out, lambda ids: shared.value.decode_packed(ids or b""))
+    return _with_column(df, column, out, lambda packed: pa.array([shared.value.decode_packed(p or b"") for p in packed], pa.binary()), T.BinaryType())
 
 
 def round_trip(df: DataFrame, codec: ByteBPE) -> DataFrame:
-    """Query form: doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
-    coded = decode(encode(df.select("doc_id", "text"), codec).drop("text"), codec)
-    return coded.select(
-        "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    """Query form: doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; a task encodes a
+    slice of texts, decodes the ids again and keeps the digests alone."""
+    prepare(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(codec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _texts(batches, "text"):
+            ids, ends = shared.value.encode_many(texts)
+            first = np.append(0, ends[:-1])
+            data = memoryview(ids).cast("B")
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(ends - first),
+                "ids_sha256": pa.array([hashlib.sha256(data[4 * a:4 * z]).hexdigest() for a, z in zip(first.tolist(), ends.tolist())], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for d in shared.value.decode_many(ids, ends)], pa.string())})
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

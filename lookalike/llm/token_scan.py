@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lookalike.llm.bpe import ByteBPE
+from lookalike.llm.bpe import SLICE, ByteBPE
 from lookalike.llm.common import prepare, shared_folder, text_slices, written
 from lookalike.llm.files import byte_ranges, open_input, open_output
 
@@ -39,20 +39,20 @@ def write_token_files(docs: DataFrame, codec: ByteBPE, separator: int, folder: s
     doc_ids), the ids of a file's documents in their order."""
     if separator >= 1 << 16 or len(codec.pieces) >= 1 << 16:
         raise ValueError("ids must fit into 16 bits")
+    if 0 <= separator < len(codec.pieces):
+        raise ValueError("the separator must not be an id of the vocabulary")
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(codec)  # as large as the vocabulary file
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, size, order = None, None, 0, []
-        end = np.array([separator], "<u2").tobytes()
-        for batch in text_slices(batches, "text"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                packed = np.frombuffer(shared.value.encode_packed(text.as_py() or ""), "<u4").astype("<u2").tobytes()
-                if out is None:
-                    name, out = open_output(folder, ".tokens")
-                out.write(packed + end)
-                size += len(packed) + len(end)
-                order.append(doc_id)
+        for batch in text_slices(batches, "text", SLICE):
+            packed, ends = shared.value.encode_many([t or "" for t in batch.column("text").to_pylist()])
+            if out is None:
+                name, out = open_output(folder, ".tokens")
+            out.write(np.insert(packed, ends, separator).astype("<u2").tobytes())
+            size += TOKEN_BYTES * (len(packed) + len(ends))
+            order += batch.column("doc_id").to_pylist()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": pa.array([name]), "bytes": pa.array([size], pa.int64()),
