@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lookalike.llm import bpe, graph_ann, line_dedup, manifest, merkle, ngram_join, phrases, pii, raking, token_scan, toxicity, warc
+from lookalike.llm import bpe, graph_ann, line_dedup, manifest, merkle, ngram_join, phrases, pii, raking, token_coder, token_scan, toxicity, warc
 from lookalike.llm.common import table
 
 
@@ -64,12 +64,18 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = f.read()
+    return token_coder.round_trip(table(spark, sf_dir, "documents"), model, end=0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_byte_level_bpe, op4_ngram_jaccard_join, op5_toxicity, op6_line_dedup,
                                   op7_document_fingerprints, op8_nearest_vectors, op9_mixing,
-                                  op10_pii, op11_phrases, op12_merkle_manifest, pipeline)}
+                                  op10_pii, op11_phrases, op12_merkle_manifest, op13_token_files, pipeline)}
 ORACLE_SQL = {"op2_warc": warc.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op6_line_dedup": line_dedup.SQL, "op7_document_fingerprints": merkle.SQL,
               "op11_phrases": phrases.SQL, "op12_merkle_manifest": manifest.SQL}
