@@ -3,17 +3,17 @@
 Texts are cut into words with array operations over whole record batches, and the words of a task
 get ids.  A task counts phrases in a ``HatTrie``: a shallow trie by word id whose children start as
 hash containers (packed ids of the remaining words -> count); a container that grows beyond
-``BURST`` entries bursts into a trie node with a container per next word.  When a task's trie holds
-``MAX_ENTRIES`` entries (or its word ids run out), it spills the largest subtrees whole, as runs
-sorted by phrase, written to the shared folder.  The runs of all tasks are merged per prefix
-partition: ranges of (lang, phrase), so that phrases with one beginning lie together and a beginning
-that is very frequent still is cut into several ranges.
-
-A first pass over the texts counts hashes of words and of pairs of words; those that reach
-``min_count`` travel as a bitmap of a fixed size (``FILTER_BITS``).  The tries then count only words and
-pairs that are in it, and phrases of three and four words all of whose pairs are.  A bit that is set
-without need (hashes that collide) only means a phrase that is counted in vain, so counts stay exact
-whatever the number of words.
+``BURST`` entries bursts into a trie node with a container per next word.  When a task's tries hold
+``MAX_ENTRIES`` entries (or too many words), they spill the largest subtrees whole, as runs sorted by
+phrase, written to the shared folder.  The runs of all tasks are merged per prefix partition: a
+partition holds the phrases whose first two words have one hash, so a word that begins a third of
+all phrases is spread by the words that follow it.
+
+What a trie counts is found before, in two passes over the texts that count hashes: of words and
+pairs of words; then of phrases of three and four words whose pairs all reach ``min_count``.  The
+hashes that reach it travel as a bitmap of a fixed size (``FILTER_BITS``).  A bit that is set without
+need (hashes that collide) only means a phrase that is counted in vain, so counts stay exact whatever
+the number of phrases.
 
 Scores: a candidate (2 to 4 words, a occurrences) cut after its first k words into parts of l and r
 occurrences scores floor(2000000 * a / (l + r)), in decimal arithmetic of 38 digits; the lowest
@@ -198,10 +198,11 @@ def _walk(child, prefix: int, shift: int) -> Iterator[tuple[np.ndarray, np.ndarr
 RUN = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
-def _runs(lang: str, trie: HatTrie, keep: int) -> Iterator[pa.RecordBatch]:
-    """Spilled subtrees of a trie as sorted runs."""
+def _runs(lang: str, trie: HatTrie, keep: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Spilled subtrees of a trie as sorted runs, with the hash of each phrase's prefix."""
     firsts, rests, counts = (np.concatenate(x) for x in zip(*trie.spill(keep)))
     table = pa.array(trie.words, pa.binary()).cast(pa.string())
+    hashes = word_hashes(trie.words, lang)
     for lo in range(0, len(firsts), 1 << 18):
         part = slice(lo, lo + (1 << 18))
         ids = [firsts[part], *[(rests[part] >> WORD_BITS * (2 - i)) & MASK for i in range(MAX_WORDS - 1)]]
@@ -210,7 +211,23 @@ def _runs(lang: str, trie: HatTrie, keep: int) -> Iterator[pa.RecordBatch]:
         phrase = pc.binary_join_element_wise(*used, " ", null_handling="skip")
         batch = pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), pa.array(sum((i > 0).astype(np.int32) for i in ids)),
                                             phrase, pa.array(counts[part])], schema=RUN)
-        yield batch.take(pc.sort_indices(phrase))
+        order = pc.sort_indices(phrase)
+        yield batch.take(order), mix(hashes[ids[0]], hashes[ids[1]])[order.to_numpy()]
+
+
+def _blobs(run: pa.RecordBatch, prefixes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, run): a sorted run cut by prefix partition, each part compressed."""
+    part = (prefixes % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    run, part = run.take(pa.array(order)), part[order]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(part) else []
+    out = []
+    for lo, hi in zip(first, [*first[1:], len(part)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, RUN, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(run.slice(lo, hi - lo))
+        out.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int64()), pa.array(out, pa.binary())], names=["part", "run"])
 
 
 def _pairs(ids: np.ndarray, piece: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,23 +236,35 @@ def _pairs(ids: np.ndarray, piece: np.ndarray, hashes: np.ndarray) -> tuple[np.n
     return at, mix(hashes[ids[at]], hashes[ids[at + 1]])
 
 
+def _longer(ids: np.ndarray, piece: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray, starts: int):
+    """Places (below ``starts``) and hashes of pairs, of three and of four words whose pairs are all
+    in the bitmap."""
+    at, hashed = _pairs(ids, piece, hashes)
+    by_place = np.zeros(len(ids) + 3, np.uint64)
+    by_place[at] = hashed
+    good = np.zeros(len(ids) + 3, bool)
+    good[at] = is_set(bitmap, hashed)
+    two = np.flatnonzero(good[:starts])
+    three = two[good[two + 1]]
+    four = three[good[three + 2]]
+    return ((two, by_place[two]), (three, mix(by_place[three], hashes[ids[three + 2]]) if len(three) else by_place[three]),
+            (four, mix(by_place[four], by_place[four + 2])))
+
+
 def _grams(ids: np.ndarray, piece: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray, starts: int):
-    """(first, rest, count) of the distinct phrases that begin at one of the first ``starts``
-    occurrences: words and pairs in the bitmap, longer phrases whose pairs are all in it."""
+    """(first, rest, count) of the distinct phrases in the bitmap that begin at one of the first
+    ``starts`` occurrences."""
     bits = 2 * WORD_BITS
     found, n = np.unique(ids[:starts], return_counts=True)
     good = is_set(bitmap, hashes[found])
     out = [(found[good], np.zeros(int(good.sum()), np.int64), n[good])]
-    at, hashed = _pairs(ids, piece, hashes)
-    good = np.zeros(len(ids) + 2, bool)
-    good[at] = is_set(bitmap, hashed)
-    at = np.flatnonzero(good[:starts])
+    (at, _), (three, hashed_3), (four, hashed_4) = _longer(ids, piece, hashes, bitmap, starts)
     found, n = np.unique(ids[at] << WORD_BITS | ids[at + 1], return_counts=True)
     out.append((found >> WORD_BITS, (found & MASK) << bits, n))
-    at = at[good[at + 1]]
+    at = three[is_set(bitmap, hashed_3)]
     found, n = np.unique(ids[at] << bits | ids[at + 1] << WORD_BITS | ids[at + 2], return_counts=True)
     out.append((found >> bits, (found & (1 << bits) - 1) << WORD_BITS, n))
-    at = at[good[at + 2]]
+    at = four[is_set(bitmap, hashed_4)]
     heads, head = np.unique(ids[at] << WORD_BITS | ids[at + 1], return_inverse=True)
     found, n = np.unique(head << bits | ids[at + 2] << WORD_BITS | ids[at + 3], return_counts=True)
     pair = heads[found >> bits]
@@ -274,23 +303,28 @@ def _unpack(blobs: pa.ChunkedArray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def frequent_bitmap(docs: DataFrame, min_count: int) -> np.ndarray:
-    """Bitmap of the hashes of words and pairs of words that occur ``min_count`` times.  Tasks send
-    their counts by ranges of the hashes, packed: a range's keys are the KEY_BYTES bytes of the hash
-    below the range's bits.  There are twice as many ranges as shuffle partitions."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    top = max(1, (2 * n - 1).bit_length())   # bits that tell a range
+def _parts(df: DataFrame) -> int:
+    """Ranges of hashes and prefix partitions: twice as many as shuffle partitions."""
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def frequent_bitmap(docs: DataFrame, min_count: int, shorter=None) -> np.ndarray:
+    """Bitmap of the hashes of words and pairs of words that occur ``min_count`` times; with a
+    broadcast of that, of phrases of three and four words whose pairs all do.  Tasks send their counts
+    by ranges of the hashes, packed: a range's keys are the KEY_BYTES bytes of the hash below the
+    range's bits."""
+    top = max(1, (_parts(docs) - 1).bit_length())   # bits that tell a range
     low = np.uint64(64 - top - 8 * KEY_BYTES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, ids, piece, hashes, starts in _chunks(batches):
-            n = np.bincount(ids[:starts], minlength=len(hashes))
-            at, hashed = _pairs(ids, piece, hashes)
-            pairs, many = np.unique(hashed[at < starts], return_counts=True)
-            held = np.flatnonzero(n)
-            keys, n = np.concatenate([hashes[held], pairs]), np.concatenate([n[held], many])
-            order = np.argsort(keys)
-            keys, n = keys[order] >> low, n[order]
+            if shorter is None:
+                at, hashed = _pairs(ids, piece, hashes)
+                hashed = [hashes[ids[:starts]], hashed[at < starts]]
+            else:
+                hashed = [h for _, h in _longer(ids, piece, hashes, shorter.value, starts)[1:]]
+            keys, n = np.unique(np.concatenate(hashed), return_counts=True)
+            keys = keys >> low
             part = (keys >> np.uint64(8 * KEY_BYTES)).astype(np.int64)
             first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
             rows = []
@@ -317,21 +351,34 @@ def frequent_bitmap(docs: DataFrame, min_count: int) -> np.ndarray:
 
 
 def runs(docs: DataFrame, bitmap) -> DataFrame:
-    """Sorted runs (lang, size, phrase, n) of the phrases that every task counted, and a row of size 0
-    with the number of all words of a language.  ``bitmap``: broadcast of ``frequent_bitmap``."""
+    """(part, run): the sorted runs (lang, size, phrase, n) of the phrases that every task counted, by
+    prefix partition, and a run of size 0 with the number of all words of a language.  ``bitmap``:
+    broadcast of ``frequent_bitmap``."""
+    parts = _parts(docs)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
+        totals: dict[str, int] = {}
+
+        def spill(lang: str, keep: int) -> Iterator[pa.RecordBatch]:
+            for run, prefixes in _runs(lang, tries[lang], keep):
+                yield _blobs(run, prefixes, parts)
         for lang, words, used, ids, piece, hashes, starts in _chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([starts], pa.int64())], schema=RUN)
+            totals[lang] = totals.get(lang, 0) + starts
             insert(tries.setdefault(lang, HatTrie()), words, used, *_grams(ids, piece, hashes, bitmap.value, starts))
             if sum(len(t.words) for t in tries.values()) > MAX_KNOWN:
                 for name in list(tries):
-                    yield from _runs(name, tries.pop(name), 0)
+                    yield from spill(name, 0)
+                    del tries[name]
             elif sum(t.entries for t in tries.values()) > MAX_ENTRIES:
                 for name, t in tries.items():
-                    yield from _runs(name, t, t.entries // 2)
-        for name, t in tries.items():
-            yield from _runs(name, t, 0)
+                    yield from spill(name, t.entries // 2)
+        for name in tries:
+            yield from spill(name, 0)
+        if totals:
+            run = pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals)),
+                                              pa.array(list(totals.values()))], schema=RUN)
+            yield _blobs(run, np.concatenate([word_hashes([b""], lang) for lang in totals]), parts)
 
     def insert(trie: HatTrie, words: pa.Array, used: np.ndarray, firsts, rests, counts) -> None:
         """Phrases over the words ``used`` (numbered from 1), with the trie's own ids."""
@@ -348,14 +395,17 @@ def runs(docs: DataFrame, bitmap) -> DataFrame:
             packed |= ids[(rests >> WORD_BITS * i) & MASK] << WORD_BITS * i
         trie.add(ids[firsts], packed, counts)
 
-    return written(_rows(docs).mapInArrow(count, "lang string, size int, phrase string, n long"), "phrase-runs")
+    return written(_rows(docs).mapInArrow(count, "part long, run binary"), "phrase-runs")
 
 
-def merged(spilled: DataFrame) -> DataFrame:
-    """(lang, size, phrase, n): the runs merged per prefix partition (ranges of (lang, phrase))."""
-    parts = int(spilled.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return spilled.repartitionByRange(parts, "lang", "phrase").groupBy("lang", "phrase").agg(
-        F.first("size").alias("size"), F.sum("n").alias("n"))
+def merged(spilled: DataFrame, min_count: int) -> DataFrame:
+    """(lang, size, phrase, n): the runs merged per prefix partition; of phrases, those that reach
+    ``min_count``."""
+    def merge(table: pa.Table) -> pa.Table:
+        held = pa.concat_tables([pa.ipc.open_stream(r.as_py()).read_all() for r in table.column("run")])
+        sums = held.group_by(["lang", "size", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "size", "phrase", "n"])
+        return sums.filter(pc.or_(pc.greater_equal(sums["n"], min_count), pc.equal(sums["size"], 0)))
+    return spilled.groupBy("part").applyInArrow(merge, "lang string, size int, phrase string, n long")
 
 
 def phrase_counts(docs: DataFrame, min_count: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -363,10 +413,11 @@ def phrase_counts(docs: DataFrame, min_count: int = 30) -> tuple[DataFrame, Data
     all words)."""
     spark = docs.sparkSession
     prepare(spark)
-    bitmap = spark.sparkContext.broadcast(frequent_bitmap(docs, min_count))  # 2 ** FILTER_BITS bits
-    spilled = runs(docs, bitmap)
-    counts = written(merged(spilled.where("size > 0")).where(F.col("n") >= min_count), "phrase-counts")
-    return counts, spilled.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    bitmap = frequent_bitmap(docs, min_count)
+    shorter = spark.sparkContext.broadcast(bitmap)   # 2 ** FILTER_BITS bits
+    bitmap = spark.sparkContext.broadcast(bitmap | frequent_bitmap(docs, min_count, shorter))
+    counts = written(merged(runs(docs, bitmap), min_count), "phrase-counts")
+    return counts.where("size > 0"), counts.where("size = 0").select("lang", "n")
 
 
 def collocations(docs: DataFrame, min_count: int = 30, inside_percent: int = 80, top: int = 2000) -> DataFrame:

@@ -99,7 +99,8 @@ def test_trie_bursts_and_spills_whole_subtrees():
     runs += list(phrases._runs("en", trie, 0))
     assert trie.entries == 0 and len(runs) > 1
     found = Counter()
-    for run in runs:
+    for run, prefixes in runs:
+        assert len(prefixes) == run.num_rows
         assert run.column("phrase").to_pylist() == sorted(run.column("phrase").to_pylist())
         for phrase, size, n in zip(run.column("phrase").to_pylist(), run.column("size").to_pylist(), run.column("n").to_pylist()):
             key = tuple(int(w[1:]) for w in phrase.split(" "))
@@ -113,3 +114,11 @@ def test_words_of_a_sliced_array():
     words, found, piece = phrases.cut_words(texts)
     assert [words[i].as_py() for i in found] == [b"a", b"b", b"b", b"c", b"b"]
     assert piece[0] == piece[1] < piece[2] < piece[3] == piece[4]
+
+
+def test_parts_of_a_run_hold_whole_prefixes():
+    run = pa.RecordBatch.from_pydict({"lang": ["en"] * 4, "size": pa.array([1, 2, 3, 2], pa.int32()), "phrase": ["a", "a b", "a b c", "b c"],
+                                      "n": [1, 2, 3, 4]}, schema=phrases.RUN)
+    blobs = phrases._blobs(run, np.array([7, 9, 9, 5], np.uint64), 4)
+    got = {p: pa.ipc.open_stream(r).read_all().column("phrase").to_pylist() for p, r in zip(*[c.to_pylist() for c in blobs.columns])}
+    assert got == {3: ["a"], 1: ["a b", "a b c", "b c"]}
