@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from lookalike.config import AnalysisConfig
 from lookalike.functions.columns import feature_columns, unpivot_features
+from lookalike.operators.boosting import BoostedModel
 from lookalike.operators import (classify, clean, evaluate, graph, impute, match, ml, outliers, profile, project,
                                  report, segments)
 from lookalike.plans import pipeline
@@ -651,7 +651,7 @@ def q_save_model(spark, d):
     path = _scratch(spark)
     writers.save_model(model, path, {"num_features": len(ENTITY_FEATURES)}, spark)
     # the model read back predicts what the model that was saved predicts
-    again = OneVsRestModel.load(f"{path}/model").transform(data).select("entity_id", F.col("prediction").alias("reloaded"))
+    again = BoostedModel.load(spark, f"{path}/model").transform(data).select("entity_id", F.col("prediction").alias("reloaded"))
     both = model.transform(data).select("entity_id", "prediction").join(again, "entity_id")
     return both.agg(F.count("*").alias("n_rows"), F.sum((F.col("prediction") == F.col("reloaded")).cast("long")).alias("n_equal"))
 
