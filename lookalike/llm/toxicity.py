@@ -1,239 +1,263 @@
 """Operator 5: toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-``fit`` learns from a bounded sample of labelled rows (``max_examples`` of each class, those with
-the smallest row hash): terms are words and word beginnings, kept when they are
-``min_lift`` times as frequent in toxic rows and the likelihood-ratio statistic of that reaches
-``min_g2``, or less where fewer terms were looked at (``lower_bound``).  The sample's TF-IDF vectors over
-the kept terms go to a block-max inverted index: postings by example, cut into blocks of examples,
-with the largest weight of each term in each block.  A query adds up the blocks' bounds, visits
-blocks from the highest bound down, scores their examples exactly, and stops when no other block
-can reach the k-th best cosine, so its neighbours are exact.  Votes are weighted by the squared
-cosine and by how many labelled rows an example stands for; the prior of the labelled rows joins
-as one further vote, which keeps scores calibrated when little evidence is found.  Examples
-without kept terms are indexed over all their words (``WordIndex``); texts without kept terms are
-compared with them by exact TF-IDF cosine, votes weighted by the inverse squared distance, so that
-a copy of an example outweighs texts of the same topic.  The nearest examples are returned as evidence.
+``fit`` learns from a bounded sample of labelled rows (``max_examples`` rows and ``max_bytes`` bytes of text
+of each class, those with the smallest row hash).  Terms are all words of the sample, and the
+beginnings of words that tell the classes apart.  A term's weight is (1 + log tf) * idf * class weight: the
+class weight is 1 for terms that are ``min_lift`` times as frequent in toxic rows with a
+likelihood-ratio statistic of ``min_g2`` (or less where fewer terms were looked at, ``lower_bound``), and
+``other_weight`` for all others.  So a text with a telling term is nearest to examples that share such
+terms, and any other text, whose weights all shrink alike, is compared by plain TF-IDF.
+
+All examples lie in one block-max inverted index over all terms: blocks of ``block`` examples that are
+alike, postings for rare terms, rows of weights for the ``common`` most frequent ones, and the largest
+weight of every common term in every block.  Queries run in batches.  The postings of their rare
+terms are added up exactly; a block's bound is the best of those sums plus the bound of the common
+terms.  A query first scores the blocks with its highest bounds whole, which gives a floor for its
+k-th best cosine, and then the blocks whose bound reaches that floor; the others can hold none of its
+neighbours, so these are exact.
+
+Votes are weighted by the inverse squared distance and by how many labelled rows an example stands
+for; the prior joins as one further vote, which keeps scores calibrated when little evidence is found:
+the share of toxic rows among labelled rows, or, for a text without a telling term, among those that
+have none either.  The nearest examples are returned as evidence.
 
 Edge cases: NULL or empty texts, and texts that share no word with an example, have no neighbours
-and get the (smoothed) rate of toxic rows among labelled rows without kept terms; without labelled rows every
-score is 0; equal texts get equal scores, and cosine ties go to the example with the smaller id;
-repeated labels of one document count once, toxic if any of them is; extra columns pass through,
-clashing output names replace the input's; empty tables give empty tables.
+and get the prior of texts without telling terms; without labelled rows every score is 0; equal
+texts get equal scores, and cosine ties go to the example with the smaller id; repeated labels of one
+document count once, toxic if any of them is; extra columns pass through, clashing output names
+replace the input's; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lookalike.llm.common import prepare, text_slices, written
 
 #: Signs beyond ASCII that separate words; ASCII signs and digits do so by BREAKS.
-_SIGNS = re.compile("[\x80-\xbf\u00d7\u00f7\u2000-\u2bff\u3000-\u303f\uff00-\uff20]")
+_SIGNS = re.compile("[\x80-\xbf×÷ -⯿　-〿＀-＠]")
 BREAKS = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
-#: Words whose terms a worker remembers.
-CACHE_ENTRIES = 200_000
-
-
-def words(text: str) -> list[bytes]:
-    """Lower-case words of a text in UTF-8."""
-    low = text.lower()
-    if not low.isascii():
-        low = _SIGNS.sub(" ", low)
-    return low.encode("utf-8", "replace").translate(BREAKS).split()
+LEAST_BYTES = 3             #: shorter words are no terms
+SLICE = 2 << 20             #: bytes of text that are cut into words at once
+BATCH = 64                  #: queries that are searched at once
+FIRST_BLOCKS = 4            #: blocks that every query scores first
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
     max_examples: int = 5_000     #: labelled rows per class that are learned from (documented bound)
-    max_terms: int = 50_000       #: kept terms, highest statistic first (bound of the broadcast)
-    prefixes: tuple[int, ...] = (4, 5, 6)  #: lengths of word beginnings that count as terms
-    min_g2: float = 24.0          #: likelihood ratio statistic that suffices for a kept term
-    min_lift: float = 8.0         #: times that a kept term must be more frequent in toxic rows
+    max_bytes: int = 32 << 20     #: bytes of their texts per class (documented bound)
+    max_terms: int = 50_000       #: terms of class weight 1, highest statistic first
+    prefixes: tuple[int, ...] = (4, 5, 6)  #: lengths of word beginnings that may be terms
+    min_g2: float = 24.0          #: likelihood ratio statistic that suffices for class weight 1
+    min_lift: float = 8.0         #: times that such a term must be more frequent in toxic rows
+    other_weight: float = 0.02    #: class weight of all other terms
     neighbours: int = 15
     prior_weight: float = 0.25    #: weight of the prior among the votes
     threshold: float = 0.3
+    common: int = 512             #: most frequent terms, kept as rows of weights
     block: int = 64               #: examples per block of the index
     evidence: int = 3
 
 
-def word_terms(word: str, prefixes: tuple[int, ...]) -> list[str]:
-    """Terms of a lower-case word: itself, and its beginnings (marked by a star)."""
-    return [word, *[word[:n] + "*" for n in prefixes if len(word) >= n]]
+def cut_words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, word number and text number of every occurrence) of all texts: lower-case, in
+    UTF-8, cut at everything that is no letter, LEAST_BYTES long or longer."""
+    low = [t.lower() for t in texts]
+    raw = [(t if t.isascii() else _SIGNS.sub(" ", t)).encode("utf-8", "replace") for t in low]
+    data = np.frombuffer(b" ".join(raw).translate(BREAKS), np.uint8)
+    inside = data != 32
+    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    stops = np.cumsum([len(r) + 1 for r in raw])
+    text = np.searchsorted(stops, first, side="right")
+    ends = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    long = (last - first) >= LEAST_BYTES
+    coded = words.filter(pa.array(long)).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), text[long]
+
+
+def counted(number: np.ndarray, text: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, occurrences) of the distinct words of every text, by text and word."""
+    keys, n = np.unique(text * max(words, 1) + number, return_counts=True)
+    return keys // max(words, 1), keys % max(words, 1), n
+
 
+def beginnings(word: bytes, lengths: tuple[int, ...]) -> list[bytes]:
+    """Beginnings of a word (in characters), marked by a star."""
+    text = word.decode("utf-8", "replace")
+    return [text[:n].encode() + b"*" for n in lengths if len(text) >= n]
 
-def term_counts(text: str, prefixes: tuple[int, ...]) -> Counter:
-    counts: Counter = Counter()
-    for word, n in Counter(words(text)).items():
-        if len(word) >= 3:
-            for term in word_terms(word.decode(), prefixes):
-                counts[term] += n
-    return counts
+
+class Terms:
+    """Numbers of terms, found by hash and compared: most frequent term first."""
+
+    def __init__(self, names: list[bytes]):
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.numbers, self.names = hashes[order], order, pa.array(names, pa.large_binary())
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Number of every word; -1 where it is no term."""
+        if not len(self.hashes) or not words:
+            return np.full(len(words), -1)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        got = self.numbers[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)]
+        same = pc.equal(self.names.take(pa.array(got)), pa.array(words, pa.large_binary())).to_numpy(zero_copy_only=False)
+        return np.where(same, got, -1)
 
 
 class BlockMaxIndex:
-    """Inverted index over unit vectors of examples 0..n-1, with the largest weight per block."""
-
-    def __init__(self, vectors: list[dict[int, float]], block: int):
-        self.size, self.block = len(vectors), block
-        self.blocks = -(-len(vectors) // block)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for i, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                postings.setdefault(term, []).append((i, weight))
-        self.lists = {}
-        for term, entries in postings.items():
-            ids = np.array([i for i, _ in entries])
-            weights = np.array([w for _, w in entries])
-            at, first = np.unique(ids // block, return_index=True)
-            self.lists[term] = (ids, ids // block, weights, at, np.maximum.reduceat(weights, first))
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[int, float]]:
-        """The k examples of largest cosine above 0 (fewer when fewer share a term), exactly."""
-        used = [(self.lists[t], w) for t, w in sorted(query.items()) if t in self.lists]
-        bound = np.zeros(self.blocks)
-        for (_, _, _, at, top), w in used:
-            bound[at] += w * top
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        ids, scores = np.empty(0, np.int64), np.empty(0)
-        done, step = 0, 4
-        # rounding of the sums: a bound counts as reached within 1e-12
-        while done < len(order) and (len(ids) < k or bound[order[done]] >= scores[k - 1] - 1e-12):
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[done:done + step]] = True
-            found = np.zeros(self.size)
-            for (own, blocks, weights, _, _), w in used:
-                here = chosen[blocks]
-                found[own[here]] += w * weights[here]
-            more = np.flatnonzero(found)
-            # cosines that differ by rounding only are ties: the smaller example goes first
-            ids, scores = np.concatenate([ids, more]), np.concatenate([scores, np.round(found[more], 12)])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            done, step = done + step, 4 * step
-        return list(zip(ids.tolist(), scores.tolist()))
-
-
-class WordIndex:
-    """Inverted index over all words of examples 0..n-1 (unit TF-IDF vectors)."""
-
-    def __init__(self, examples: pa.ChunkedArray, tf: pa.ChunkedArray):
-        """``examples``: the distinct words of each; ``tf``: how often each holds them."""
-        lists = pa.concat_arrays(examples.chunks)
-        self.size = len(lists)
-        coded = lists.flatten().dictionary_encode()
-        self.words = {w.encode(): i for i, w in enumerate(coded.dictionary.to_pylist())}
-        column = coded.indices.to_numpy(zero_copy_only=False)
-        own = np.repeat(np.arange(self.size, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
-        held = np.bincount(column, minlength=len(self.words))
-        self.idf = np.log((self.size + 1) / (held + 1)) + 1
-        self.unknown = math.log(self.size + 1) + 1
-        weights = (1 + np.log(pa.concat_arrays(tf.chunks).flatten().to_numpy(zero_copy_only=False))) * self.idf[column]
-        weights /= np.sqrt(np.bincount(own, weights * weights, minlength=self.size))[own]
-        order = np.argsort(column, kind="stable")
-        self.ids, self.weights = own[order], weights[order]
-        self.start = np.concatenate([[0], np.cumsum(held)])
-
-    def nearest(self, text: str, k: int) -> list[tuple[int, float]]:
-        """The k examples of largest cosine above 0 (fewer when fewer share a word), exactly."""
-        counts = Counter(w for w in words(text) if len(w) >= 3)
-        known = [(c, n) for w, n in counts.items() if (c := self.words.get(w)) is not None]
-        if not known:
-            return []
-        known.sort()  # one order of summation: equal texts get equal scores
-        column = np.array([c for c, _ in known])
-        query = (1 + np.log([n for _, n in known])) * self.idf[column]
-        rest = sum((self.unknown * (1 + math.log(n))) ** 2 for w, n in sorted(counts.items()) if w not in self.words)
-        query /= math.sqrt(float(query @ query) + rest)
-        first, last = self.start[column], self.start[column + 1]
-        parts = [slice(a, b) for a, b in zip(first.tolist(), last.tolist())]
-        found = np.bincount(np.concatenate([self.ids[p] for p in parts]),
-                            np.concatenate([self.weights[p] for p in parts]) * np.repeat(query, last - first), self.size)
-        found = np.minimum(np.round(found, 12), 1.0)
-        more = np.flatnonzero(found > 0)
-        if len(more) > k:
-            more = np.flatnonzero((found > 0) & (found >= np.partition(found, self.size - k)[self.size - k]))
-        best = more[np.lexsort((more, -found[more]))][:k]
-        return list(zip(best.tolist(), found[best].tolist()))
+    """Inverted index over unit vectors of examples, given as (example, term, weight); terms below
+    ``common`` are kept as rows of weights with their largest weight per block, the others as postings."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, examples: int, terms: int, common: int, block: int):
+        self.size, self.block, self.common = examples, block, min(common, terms)
+        often = term < self.common
+        rows = np.zeros((examples, self.common))
+        rows[example[often], term[often]] = weight[often]
+        # like examples side by side: by the nearest of a few of them
+        pivots = rows[np.linspace(0, examples - 1, min(examples, 16)).astype(int)]
+        nearest = (rows @ pivots.T).argmax(axis=1)
+        self.order = np.lexsort((np.arange(examples), nearest))       # example at every place
+        place = np.empty(examples, np.int64)
+        place[self.order] = np.arange(examples)
+        self.blocks = -(-examples // block)
+        self.padded = self.blocks * block
+        self.rows = np.zeros((self.blocks, block, self.common))
+        self.rows.reshape(self.padded, self.common)[:examples] = rows[self.order]
+        self.top = self.rows.max(axis=1).T.copy()                     # (common term, block)
+        by_term = np.lexsort((place[example[~often]], term[~often]))
+        self.places = place[example[~often]][by_term].astype(np.int32)
+        self.weights = weight[~often][by_term]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term[~often], minlength=terms))])
+
+    def nearest(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of the k nearest examples with a cosine above 0 of every query, exactly;
+        queries are unit vectors given as (query, term, weight)."""
+        often = term < self.common
+        dense = np.zeros((queries, self.common))
+        dense[query[often], term[often]] = weight[often]
+        query, term, weight = query[~often], term[~often], weight[~often]
+        held = self.start[term + 1] - self.start[term]
+        stops = np.cumsum(held)
+        at = np.repeat(self.start[term] - (stops - held), held) + np.arange(int(stops[-1]) if len(stops) else 0)
+        found = np.bincount(np.repeat(query * self.padded, held) + self.places[at], self.weights[at] * np.repeat(weight, held),
+                            queries * self.padded).astype(float).reshape(queries, self.blocks, self.block)
+        bound = found.max(axis=2) + dense @ self.top
+        first = np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS]
+        scored = np.zeros((queries, self.blocks), bool)
+        scored[np.arange(queries)[:, None], first] = True
+        visited = scored & (bound > 0)
+        self._score(found, dense, visited)
+        # a floor of the k-th best cosine, from the blocks scored so far; reached within 1e-9
+        seen = np.take_along_axis(found * visited[:, :, None], first[:, :, None], axis=1).reshape(queries, -1)
+        floor = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k] if seen.shape[1] >= k else np.zeros(queries)
+        more = ~scored & (bound > 0) & (bound >= floor[:, None] - 1e-9)
+        self._score(found, dense, more)
+        visited |= more
+        out = []
+        for q in range(queries):
+            blocks = np.flatnonzero(visited[q])
+            cosines = np.round(found[q, blocks].ravel(), 12)
+            examples = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
+            keep = cosines > 0
+            if keep.sum() > k:
+                keep &= cosines >= np.partition(cosines, len(cosines) - k)[len(cosines) - k]
+            examples, cosines = self.order[examples[keep]], np.minimum(cosines[keep], 1.0)
+            best_first = np.lexsort((examples, -cosines))[:k]
+            out.append((examples[best_first], cosines[best_first]))
+        return out
+
+    def _score(self, found: np.ndarray, dense: np.ndarray, wanted: np.ndarray) -> None:
+        """Add the common terms' part to the sums of the wanted (query, block) pairs."""
+        for b in np.flatnonzero(wanted.any(axis=0)):
+            queries = np.flatnonzero(wanted[:, b])
+            found[queries, b] += dense[queries] @ self.rows[b].T
 
 
 @dataclass
 class ToxicityModel:
     config: ToxicityConfig
-    terms: dict[str, int]            # kept term -> column
-    idf: np.ndarray
+    terms: Terms | None
+    weights: np.ndarray              # idf * class weight of every term
+    unknown: float                   # of a word that no example holds
+    telling: frozenset               # beginnings that are terms
     index: BlockMaxIndex | None
-    example_ids: list[int | None]
+    example_ids: list[int]
     labels: np.ndarray
     stands_for: np.ndarray           # labelled rows per example of its class
     prior: float                     # toxic share of the labelled rows
-    no_terms: float                  # toxic share of labelled rows without kept terms
-    bare: WordIndex | None = None    # examples without kept terms; they follow those of the index
-    _known: dict = field(default_factory=dict, repr=False)
+    tells: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))   # terms of class weight 1
+    plain_prior: float = 0.0         # toxic share (smoothed) of the labelled rows without such terms
     _heads: frozenset = field(default=frozenset(), repr=False)
 
     def __post_init__(self):
-        self._heads = frozenset(t.encode()[:3] for t in self.terms)
-
-    def __getstate__(self):
-        return self.__dict__ | {"_known": {}}
-
-    def _columns(self, word: bytes) -> tuple[int, ...]:
-        got = self._known.get(word)
-        if got is None:
-            if len(self._known) > CACHE_ENTRIES:
-                self._known.clear()
-            got = self._known[word] = tuple(
-                self.terms[t] for t in word_terms(word.decode(), self.config.prefixes) if t in self.terms)
-        return got
-
-    def vector(self, text: str) -> dict[int, float]:
-        """Unit TF-IDF vector (1 + log tf) over the kept terms."""
-        counts: dict[int, int] = {}
-        heads = self._heads
-        for word in [w for w in words(text) if w[:3] in heads]:  # no other word has a kept term
-            for c in self._columns(word):
-                counts[c] = counts.get(c, 0) + 1
-        return unit({c: (1 + math.log(n)) * self.idf[c] for c, n in counts.items()})
-
-    def score(self, text: str) -> tuple[float, list[tuple[int, float]]]:
-        """Score from 0 to 1 and the nearest examples (example, cosine)."""
-        vector = self.vector(text) if self.index else {}
-        near = self.index.nearest(vector, self.config.neighbours) if vector else []
-        if not near:
-            return self._bare_score(text)
-        votes = np.array([s * s * self.stands_for[i] for i, s in near])
-        share = float((votes * self.labels[[i for i, _ in near]]).sum())
-        # the prior's vote weighs as much as prior_weight average labelled rows
-        w = self.config.prior_weight * float(self.stands_for[:self.index.size].mean())
-        return (share + w * self.prior) / (float(votes.sum()) + w), near
-
-    def _bare_score(self, text: str) -> tuple[float, list[tuple[int, float]]]:
-        """Score of a text without kept terms, from the examples without them."""
-        first = self.index.size if self.index else 0
-        near = [(first + i, s) for i, s in self.bare.nearest(text, self.config.neighbours)] if self.bare else []
-        if not near:
-            return self.no_terms, []
-        votes = np.array([(s / (1.01 - s)) ** 2 * self.stands_for[i] for i, s in near])
-        share = float((votes * self.labels[[i for i, _ in near]]).sum())
-        w = self.config.prior_weight * float(self.stands_for[first:].mean())
-        return (share + w * self.no_terms) / (float(votes.sum()) + w), near
-
-
-def unit(vector: dict[int, float]) -> dict[int, float]:
-    norm = math.sqrt(sum(v * v for _, v in sorted(vector.items())))
-    return {c: float(v / norm) for c, v in vector.items()} if norm else {}
+        self._heads = frozenset(t[:3] for t in self.telling)
+
+    def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, weight) of the unit vectors of all texts, by text and term."""
+        words, number, text = cut_words(texts)
+        text, word, n = counted(number, text, len(words))
+        numbers = self.terms.find(words)
+        held = numbers[word]
+        value = (1 + np.log(n)) * np.where(held >= 0, self.weights[held], self.unknown)
+        norm = np.bincount(text, value * value, len(texts))
+        text_, term_, value_ = text[held >= 0], held[held >= 0], value[held >= 0]
+        # beginnings: occurrences of all words that begin so
+        begun = [(i, b) for i, w in enumerate(words) if w[:3] in self._heads for b in beginnings(w, self.config.prefixes) if b in self.telling]
+        if begun:
+            of = np.array([i for i, _ in begun])
+            term = self.terms.find([b for _, b in begun])
+            # (text, word) rows of the words with a beginning, once per beginning
+            slots = np.argsort(of, kind="stable")
+            per_word = np.bincount(of, minlength=len(words))
+            first = np.cumsum(per_word) - per_word
+            rows = np.flatnonzero(per_word[word])
+            many = per_word[word[rows]]
+            stops = np.cumsum(many)
+            at = np.repeat(first[word[rows]] - (stops - many), many) + np.arange(int(stops[-1]))
+            keys, inverse = np.unique(np.repeat(text[rows], many) * len(self.weights) + term[slots[at]], return_inverse=True)
+            total = np.bincount(inverse, np.repeat(n[rows], many))
+            more = (1 + np.log(total)) * self.weights[keys % len(self.weights)]
+            norm += np.bincount(keys // len(self.weights), more * more, len(texts))
+            text_ = np.concatenate([text_, keys // len(self.weights)])
+            term_ = np.concatenate([term_, keys % len(self.weights)])
+            value_ = np.concatenate([value_, more])
+            order = np.lexsort((term_, text_))
+            text_, term_, value_ = text_[order], term_[order], value_[order]
+        return text_, term_, value_ / np.sqrt(norm)[text_]
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Score from 0 to 1 and the nearest examples (example, cosine) of every text."""
+        if self.index is None:
+            return [(self.plain_prior, [])] * len(texts)
+        text, term, weight = self.vectors(texts)
+        prior = np.where(np.bincount(text, self.tells[term], len(texts)) > 0, self.prior, self.plain_prior).tolist()
+        out = []
+        w = self.config.prior_weight * float(self.stands_for.mean())
+        for lo in range(0, len(texts), BATCH):
+            hi = min(lo + BATCH, len(texts))
+            part = slice(*np.searchsorted(text, [lo, hi]))
+            near = self.index.nearest(text[part] - lo, term[part], weight[part], hi - lo, self.config.neighbours)
+            for (ids, cosines), p in zip(near, prior[lo:hi]):
+                votes = (cosines / (1.01 - cosines)) ** 2 * self.stands_for[ids]
+                share = float((votes * self.labels[ids]).sum())
+                out.append(((share + w * p) / (float(votes.sum()) + w), list(zip(ids.tolist(), cosines.tolist()))))
+        return out
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -250,76 +274,104 @@ def g2(a, n1: int, b, n0: int):
 
 
 def lower_bound(config: ToxicityConfig, terms: int) -> float:
-    """Statistic for a kept term: about one of ``terms`` terms that mean nothing reaches it."""
+    """Statistic for class weight 1: about one of ``terms`` terms that mean nothing reaches it."""
     return min(config.min_g2, NormalDist().inv_cdf(1 - 0.5 / max(terms, 2)) ** 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).  Counts of the classes
-    cover all labelled rows; terms and examples come from the bounded sample."""
-    spark = docs.sparkSession
-    prepare(spark)
-    marked = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-              .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("_toxic")))
-    totals = {r["_toxic"]: r["n"] for r in marked.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+def _examples(docs: DataFrame, marked: DataFrame, config: ToxicityConfig) -> DataFrame:
+    """(doc_id, _toxic, text) of the sampled labelled rows."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = None
     for value in (0, 1):  # bounded: max_examples rows of each class
         part = marked.where(F.col("_toxic") == value).orderBy(*order).limit(config.max_examples)
         sample = part if sample is None else sample.unionByName(part)
+    # one text per document id (repeated rows: the smallest text)
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+            .join(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "_toxic"), "doc_id")
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_toxic").alias("_toxic")))
+    rows = written(rows, "toxicity-sample")
+    # of each class, the first texts of max_bytes together (at most max_examples sizes, without texts)
+    sizes = rows.select("doc_id", "_toxic", F.octet_length("text").alias("_size"))
+    so_far = F.sum("_size").over(Window.partitionBy("_toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    kept = sizes.withColumn("_before", F.coalesce(so_far, F.lit(0))).where(F.col("_before") < config.max_bytes)
+    return rows.join(kept.select("doc_id"), "doc_id", "left_semi")
+
+
+def _counted_terms(rows: DataFrame, config: ToxicityConfig) -> DataFrame:
+    """(doc_id, _toxic, term, tf) arrays of the examples: words, and all beginnings (marked)."""
     prefixes = config.prefixes
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            got = [term_counts(v.as_py() or "", prefixes) for v in batch.column("text")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", SLICE):
+            words, number, text = cut_words(batch.column("text").to_pylist())
+            text, word, n = counted(number, text, len(words))
+            begun = [beginnings(w, prefixes) for w in words]
+            terms: list[dict[bytes, int]] = [{} for _ in range(batch.num_rows)]
+            for t, w, c in zip(text.tolist(), word.tolist(), n.tolist()):
+                for name in (words[w], *begun[w]):
+                    terms[t][name] = terms[t].get(name, 0) + c
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "_toxic": batch.column("_toxic"),
-                "term": pa.array([list(c) for c in got], pa.list_(pa.string())),
-                "tf": pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))})
+                "term": pa.array([list(c) for c in terms], pa.list_(pa.binary())),
+                "tf": pa.array([list(c.values()) for c in terms], pa.list_(pa.int32()))})
+    return written(rows.mapInArrow(run, "doc_id long, _toxic int, term array<binary>, tf array<int>"), "toxicity-terms")
 
-    # one text per document id (repeated rows: the smallest text), from the bounded sample alone
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-            .join(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "_toxic"), "doc_id")
-            .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_toxic").alias("_toxic"))
-            .mapInArrow(counted, "doc_id long, _toxic int, term array<string>, tf array<int>"))
-    rows = written(rows, "toxicity-sample")
+
+def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
+    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).  Counts of the classes
+    cover all labelled rows; terms and examples come from the bounded sample."""
+    spark = docs.sparkSession
+    prepare(spark)
+    marked = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+              .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("_toxic")))
+    totals = {r["_toxic"]: r["n"] for r in marked.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    prior = totals.get(1, 0) / max(sum(totals.values()), 1)
+    rows = _counted_terms(_examples(docs, marked, config), config)
     sizes = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 + n0:
-        return ToxicityModel(config, {}, np.zeros(0), None, [], np.zeros(0), np.zeros(0), 0.0, 0.0)
-    counts = rows.select("_toxic", F.explode("term").alias("term")).groupBy("term").agg(
-        F.sum("_toxic").alias("a"), F.count("*").alias("n"))
+        return ToxicityModel(config, None, np.zeros(0), 0.0, frozenset(), None, [], np.zeros(0), np.zeros(0), prior, plain_prior=prior)
+    counts = written(rows.select("_toxic", F.explode("term").alias("term")).groupBy("term").agg(
+        F.sum("_toxic").alias("a"), F.count("*").alias("n")), "toxicity-counts")
     bound = lower_bound(config, counts.count())
-    kept = [(r["term"], r["n"]) for r in counts
-            .withColumn("g2", g2(F.col("a"), n1, F.col("n") - F.col("a"), n0)).where(
-                (F.col("g2") >= bound) & (F.col("a") * F.lit(n0) >= config.min_lift * (F.col("n") - F.col("a")) * F.lit(n1)))
-            .orderBy(F.desc("g2"), "term").limit(config.max_terms).collect()] if n1 and n0 else []
-    terms = {t: i for i, (t, _) in enumerate(kept)}
-    idf = np.array([math.log((n1 + n0 + 1) / (n + 1)) + 1 for _, n in kept])
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string")
-    pairs = (rows.select("doc_id", "_toxic", F.explode(F.arrays_zip("term", "tf")).alias("e"))
-             .select("doc_id", "_toxic", F.col("e.term").alias("term"), F.col("e.tf").alias("tf"))
-             .join(F.broadcast(wanted), "term")  # at most max_terms rows
-             .groupBy("doc_id", "_toxic").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
-             .orderBy("doc_id").collect()) if terms else []  # at most 2 * max_examples rows
-    vectors = [unit({terms[t]: (1 + math.log(n)) * idf[terms[t]] for t, n in r["terms"]}) for r in pairs]
-    # the other examples, over all their words
-    other = rows.where(F.size(F.filter("term", lambda t: ~t.endswith("*"))) > 0)
-    if pairs:
-        other = other.join(F.broadcast(spark.createDataFrame([(r["doc_id"],) for r in pairs], "doc_id long")), "doc_id", "left_anti")
-    whole = F.filter(F.arrays_zip("term", "tf"), lambda e: ~e["term"].endswith("*"))
-    other = (other.select("doc_id", "_toxic", whole.alias("e")).select("doc_id", "_toxic", "e.term", "e.tf")
-             .orderBy("doc_id").toArrow())  # at most 2 * max_examples rows
-    labels_of = np.array([float(r["_toxic"]) for r in pairs] + other.column("_toxic").to_pylist())
-    weight = {v: totals.get(v, 0) / sizes[v] for v in sizes}
-    stands_for = np.array([weight[int(v)] for v in labels_of])
-    with_terms = Counter(r["_toxic"] for r in pairs)
-    empty1, empty0 = [(sizes.get(v, 0) - with_terms.get(v, 0)) * weight.get(v, 0) for v in (1, 0)]
-    prior = totals.get(1, 0) / sum(totals.values())
-    return ToxicityModel(config, terms, idf, BlockMaxIndex(vectors, config.block) if vectors else None,
-                         [r["doc_id"] for r in pairs] + other.column("doc_id").to_pylist(), labels_of, stands_for, prior,
-                         (empty1 + prior) / (empty1 + empty0 + 1),
-                         WordIndex(other.column("term"), other.column("tf")) if other.num_rows else None)
+    telling = [bytes(r["term"]) for r in counts
+               .withColumn("g2", g2(F.col("a"), n1, F.col("n") - F.col("a"), n0)).where(
+                   (F.col("g2") >= bound) & (F.col("a") * F.lit(n0) >= config.min_lift * (F.col("n") - F.col("a")) * F.lit(n1)))
+               .orderBy(F.desc("g2"), "term").limit(config.max_terms).collect()] if n1 and n0 else []
+    told = set(telling)
+    # all words, and the telling beginnings; bounded by the sample's bytes
+    ends = F.expr("endswith(term, X'2A')")
+    named = spark.createDataFrame([(bytearray(t),) for t in telling if t.endswith(b"*")], "term binary")
+    wanted = counts.where(~ends).unionByName(counts.join(F.broadcast(named), "term", "left_semi"))  # at most max_terms rows
+    table = wanted.select("term", "n").toArrow()
+    order = pc.sort_indices(table, [("n", "descending"), ("term", "ascending")])
+    names, held = table.column("term").take(order).to_pylist(), table.column("n").take(order).to_numpy()
+    full = math.log(n1 + n0 + 1)
+    tells = np.array([t in told for t in names], bool)
+    weights = (full - np.log(held + 1) + 1) * np.where(tells, 1.0, config.other_weight)
+    pairs = rows.select("doc_id", "_toxic", F.filter(F.arrays_zip("term", "tf"), lambda e: ~F.endswith(e["term"], F.lit(b"*"))).alias("e"))
+    pairs = pairs.select("doc_id", "_toxic", "e.term", "e.tf")
+    if any(t.endswith(b"*") for t in telling):
+        starred = (rows.select("doc_id", F.explode(F.arrays_zip("term", "tf")).alias("e")).select("doc_id", "e.*").where(ends)
+                   .join(F.broadcast(named), "term").groupBy("doc_id").agg(F.collect_list("term").alias("_t"), F.collect_list("tf").alias("_n")))
+        pairs = pairs.join(starred, "doc_id", "left").select(
+            "doc_id", "_toxic", F.concat("term", F.coalesce("_t", F.array().cast("array<binary>"))).alias("term"),
+            F.concat("tf", F.coalesce("_n", F.array().cast("array<int>"))).alias("tf"))
+    data = pairs.where(F.size("term") > 0).orderBy("doc_id").toArrow()  # bounded by the sample
+    terms = Terms(names)
+    lists = data.column("term").combine_chunks()
+    number = terms.find(lists.flatten().to_pylist())
+    example = np.repeat(np.arange(data.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    value = (1 + np.log(data.column("tf").combine_chunks().flatten().to_numpy(zero_copy_only=False))) * weights[number]
+    value /= np.sqrt(np.bincount(example, value * value, data.num_rows))[example]
+    toxic = data.column("_toxic").to_numpy().astype(float)
+    stands_for = np.array([totals.get(int(v), 0) / sizes[int(v)] for v in toxic])
+    # labelled rows without telling terms
+    told_1, told_0 = [float((stands_for * (toxic == v))[np.bincount(example, tells[number], data.num_rows) > 0].sum()) for v in (1, 0)]
+    plain = totals.get(1, 0) - told_1, totals.get(0, 0) - told_0
+    index = BlockMaxIndex(example, number, value, data.num_rows, len(names), config.common, config.block) if data.num_rows else None
+    return ToxicityModel(config, terms, weights, (full + 1) * config.other_weight, frozenset(t for t in telling if t.endswith(b"*")), index,
+                         data.column("doc_id").to_pylist(), toxic, stands_for, prior, tells, (plain[0] + prior) / (sum(plain) + 1))
 
 
 EVIDENCE = "array<struct<doc_id:bigint,cosine:double,label:int>>"
@@ -328,7 +380,7 @@ _ARROW_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.floa
 
 def score(df: DataFrame, model: ToxicityModel, column: str = "text", keep_text: bool = True) -> DataFrame:
     """Add score (double), predicted (int) and evidence (the nearest examples) to every row.  The
-    model is broadcast; its size is bounded by max_examples and max_terms."""
+    model is broadcast; its size is bounded by max_examples, max_bytes and max_terms."""
     prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     added = ("score", "predicted", "evidence")
@@ -339,8 +391,8 @@ def score(df: DataFrame, model: ToxicityModel, column: str = "text", keep_text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in text_slices(batches, column):
-            got = [m.score(v.as_py() or "") for v in batch.column(column)]
+        for batch in text_slices(batches, column, SLICE):
+            got = m.scores([v or "" for v in batch.column(column).to_pylist()])
             proof = [[{"doc_id": m.example_ids[i], "cosine": s, "label": int(m.labels[i])}
                       for i, s in near[:m.config.evidence]] for _, near in got]
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {

@@ -260,16 +260,49 @@ def test_prefixes_of_similar_sets_collide(percent):
 
 # ---------------- toxicity ----------------
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("common", [0, 7, 45])
+def test_nearest_examples_are_exact(common):
     rng = np.random.default_rng(0)
-    vectors = [toxicity.unit({int(t): float(w) for t, w in zip(rng.choice(40, 6, False), rng.random(6))}) for _ in range(500)]
-    index = toxicity.BlockMaxIndex(vectors, 16)
-    for _ in range(60):
-        q = toxicity.unit({int(t): float(w) for t, w in zip(rng.choice(45, 5, False), rng.random(5))})
-        every = [(round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors)]
+
+    def vectors(n, terms, size):
+        out = []
+        for _ in range(n):
+            v = dict(zip(rng.choice(terms, size, False).tolist(), rng.random(size).tolist()))
+            norm = sum(w * w for w in v.values()) ** 0.5
+            out.append({t: w / norm for t, w in sorted(v.items())})
+        return out
+
+    def triples(rows):
+        return (np.array([i for i, v in enumerate(rows) for _ in v], int), np.array([t for v in rows for t in v], int),
+                np.array([w for v in rows for w in v.values()]))
+    examples = vectors(500, 40, 6)
+    examples[7] = examples[300]
+    queries = [*vectors(60, 45, 5), examples[300], {}]
+    index = toxicity.BlockMaxIndex(*triples(examples), 500, 45, common, 16)
+    got = index.nearest(*triples(queries), len(queries), 10)
+    for q, (ids, cosines) in zip(queries, got):
+        every = [(round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), i) for i, v in enumerate(examples)]
         want = [(i, s) for s, i in sorted(every, key=lambda x: (-x[0], x[1])) if s > 0][:10]
-        got = index.nearest(q, 10)
-        assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-11)
+        assert cosines.tolist() == pytest.approx([s for _, s in want], abs=1e-11)
+        assert all(abs(dict((i, s) for s, i in every)[i] - c) < 1e-11 for i, c in zip(ids.tolist(), cosines.tolist()))
+    assert got[60][0][:2].tolist() == [7, 300] and len(got[61][0]) == 0
+
+
+def test_blocks_without_neighbours_are_skipped(monkeypatch):
+    """Groups of like examples: a query scores few blocks beyond the first ones."""
+    rng = np.random.default_rng(1)
+    example, term, weight = [], [], []
+    for i in range(2048):
+        own = np.concatenate([[i % 16], 20 + (i % 16) * 30 + rng.choice(30, 6, False)])
+        example += [i] * len(own)
+        term += own.tolist()
+        weight += [1 / len(own) ** 0.5] * len(own)
+    index = toxicity.BlockMaxIndex(np.array(example), np.array(term), np.array(weight), 2048, 500, 100, 64)
+    pairs, plain = [], index._score
+    monkeypatch.setattr(index, "_score", lambda found, dense, wanted: pairs.append(int(wanted.sum())) or plain(found, dense, wanted))
+    part = np.array(example) < 64
+    index.nearest(np.array(example)[part], np.array(term)[part], np.array(weight)[part], 64, 15)
+    assert sum(pairs) < 64 * index.blocks / 2
 
 
 def test_toxicity_learns_and_handles_edges(spark):
