@@ -1,16 +1,17 @@
-"""Exact quantiles (linear interpolation) for many features, without one task holding them all.
+"""Exact quantiles (linear interpolation) of many features by radix narrowing.
 
-Spark's exact ``percentile`` keeps a value→count map and merges it in the single final task of a
-global aggregate, which is fine for millions of values and fatal for billions.  Above
-``ONE_TASK_LIMIT`` values this module switches to a bucketed plan that stays exact:
+A double is read as a 64-bit integer of the same order (sign, exponent, mantissa), computed by
+exact arithmetic inside the query.  A pass counts the values of every feature by a digit of that integer, with
+partial aggregation, and running sums over the few digits tell in which cells the wanted ranks
+lie, for all features and ranks together.  The next pass looks at those cells only and splits them by the
+next digit.  As soon as the wanted cells hold at most ``LAST_VALUES`` values, the next pass counts the
+values themselves and is the last.  There is one plan at every size: ``len(SHIFTS)`` scans at
+most (sign, exponent and 8 bits of the mantissa; then 16, 16 and 12 bits), usually two; a task sees at
+most a feature's cells of one pass, and a value that a third of the rows hold is one row.
 
-1. approximate edges split each feature into ~``bucket_rows``-sized value ranges;
-2. rows are counted per (feature, bucket, value), with partial aggregation, so a value that holds a
-   third of the rows becomes one row;
-3. running sums over the small (feature, bucket) table give each bucket's rank offset;
-4. only the buckets that contain a wanted rank are ranked, over their *distinct* values.
-
-The result is a few numbers per feature, read back to the driver.
+Edge cases: NULLs don't count; NaN is larger than any number; -0.0 equals 0.0; a feature without
+values gives None; equal values and infinite ones are values like any other; an empty table gives
+None for every feature.
 """
 
 from __future__ import annotations
@@ -20,13 +21,28 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE_TASK_LIMIT = 20_000_000   # non-null values the built-in exact percentile may merge in one task
-BUCKET_ROWS = 1_000_000
-MAX_BUCKETS = 10_000
+#: Low bits that a pass leaves open.
+SHIFTS = (44, 28, 12, 0)
+#: Values in wanted cells that one more pass counts one by one.
+LAST_VALUES = 1_000_000
+
+
+def ordered_bits(v):
+    """64-bit integer of a double column in the order of the doubles; both zeros are 0."""
+    size = F.abs(v)
+    guess = F.floor(F.log2(size)).cast("double")
+    # the logarithm may be off by one at powers of two; powers and their quotients are exact
+    power = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(
+        (guess < 1023) & (F.pow(F.lit(2.0), F.least(guess + 1, F.lit(1023.0))) <= size), guess + 1).otherwise(guess)
+    fraction = (size / F.pow(F.lit(2.0), power) - 1.0) * float(1 << 52)
+    normal = (power.cast("bigint") + 1023) * F.lit(1 << 52) + fraction.cast("bigint")
+    below = (size * 2.0 ** 537 * 2.0 ** 537).cast("bigint")           # subnormal numbers
+    bits = F.when(size == float("inf"), F.lit(2047 << 52)).when(size < 2.0 ** -1022, below).otherwise(normal)
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v < 0, -bits).otherwise(bits)
 
 
 def quantiles(df: DataFrame, features: list[str], probs: list[float], approx: bool = False,
-              one_task_limit: int = ONE_TASK_LIMIT, bucket_rows: int = BUCKET_ROWS) -> dict:
+              last_values: int = LAST_VALUES) -> dict:
     """{feature: [q(p) for p in probs]} (None for a feature without values)."""
     if not features:
         return {}
@@ -35,69 +51,52 @@ def quantiles(df: DataFrame, features: list[str], probs: list[float], approx: bo
         row = df.agg(*[F.percentile_approx(f, F.array(*[F.lit(p) for p in probs]), 10000).alias(f)
                        for f in features]).first()
         return {f: (None if row[f] is None else [float(v) for v in row[f]]) for f in features}
-    counts = df.agg(*[F.count(f).alias(f) for f in features]).first()
-    if sum(counts[f] for f in features) <= one_task_limit:
-        row = df.agg(*[F.percentile(f, F.array(*[F.lit(p) for p in probs])).alias(f) for f in features]).first()
-        return {f: (None if row[f] is None else [float(v) for v in row[f]]) for f in features}
-    return _bucketed(df, features, probs, {f: counts[f] for f in features}, bucket_rows)
-
-
-def _bucketed(df: DataFrame, features: list[str], probs: list[float], counts: dict, bucket_rows: int) -> dict:
     spark = df.sparkSession
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("e")
-    ).select("e.*").filter(F.col("v").isNotNull())
-    nbs = {f: max(1, min(MAX_BUCKETS, math.ceil(counts[f] / bucket_rows))) for f in features}
-    edge_probs = {f: [i / nbs[f] for i in range(1, nbs[f])] for f in features}
-    # edges: one approximate-quantile aggregate per feature (d x nb numbers)
-    edges = {}
-    for f in features:
-        if nbs[f] > 1 and counts[f]:
-            acc = max(10000, 10 * nbs[f])
-            edges[f] = df.agg(F.percentile_approx(f, F.array(*[F.lit(p) for p in edge_probs[f]]), acc)
-                              .alias("e")).first()["e"]
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f).cast("double").alias("v"))
+                                           for i, f in enumerate(features)])).alias("e")).select("e.*").where(F.col("v").isNotNull())
+    values = values.withColumn("key", ordered_bits(F.col("v")))
+    by_feature = Window.partitionBy("feature")
+    # 0-based ranks around p (n - 1); a cell's first rank counts the values before it
+    around = F.array(*[f((F.col("n") - 1) * p).cast("bigint") for p in probs for f in (F.floor, F.ceil)])
+    cells, known, sizes = None, {}, {}
+    for at, shift in enumerate(SHIFTS):
+        last = shift == 0 or (cells is not None and sum(c["count"] for c in cells) <= last_values)
+        shift = 0 if last else shift
+        if cells is None:
+            inside = values.withColumn("before", F.lit(0).cast("bigint")).withColumn("cell", F.lit(0).cast("bigint"))
         else:
-            edges[f] = []
-    edge_map = F.create_map(*[x for f in features for x in (F.lit(f), F.array(*[F.lit(float(e)) for e in edges[f]])
-                                                             .cast("array<double>"))])
-    bucket = F.size(F.filter(edge_map[F.col("feature")], lambda e: e <= F.col("v")))
-    distinct = long.groupBy("feature", bucket.alias("bucket"), "v").agg(F.count(F.lit(1)).alias("c"))
-    per_bucket = distinct.groupBy("feature", "bucket").agg(F.sum("c").alias("n"))
-    wo = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("off", F.coalesce(F.sum("n").over(wo), F.lit(0)))
-    # wanted 0-based ranks: floor and ceil of p (n - 1) for every probability
-    wanted = []
-    for f in features:
-        n = counts[f]
-        if not n:
-            continue
-        for p in probs:
-            pos = p * (n - 1)
-            wanted += [(f, int(math.floor(pos))), (f, int(math.ceil(pos)))]
-    if not wanted:
-        return {f: None for f in features}
-    targets = spark.createDataFrame(sorted(set(wanted)), "feature string, r long")
-    located = (targets.join(offsets, "feature")
-               .filter((F.col("r") >= F.col("off")) & (F.col("r") < F.col("off") + F.col("n")))
-               .select("feature", "bucket", "r", (F.col("r") - F.col("off")).alias("local")))
-    wc = Window.partitionBy("feature", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (distinct.join(located.select("feature", "bucket").distinct(), ["feature", "bucket"], "left_semi")
-           .withColumn("cum", F.sum("c").over(wc)))
-    hits = (cum.join(located, ["feature", "bucket"])
-            .filter((F.col("local") >= F.col("cum") - F.col("c")) & (F.col("local") < F.col("cum")))
-            .select("feature", "r", "v").collect())
-    value = {(h["feature"], h["r"]): h["v"] for h in hits}
+            # at most 2 cells per feature and wanted quantile
+            wanted = spark.createDataFrame([(c["feature"], c["at"], c["first"]) for c in cells], "feature int, cell long, before long")
+            inside = values.withColumn("cell", F.shiftright("key", SHIFTS[at - 1])).join(F.broadcast(wanted), ["feature", "cell"])
+        counted = inside.groupBy("feature", "cell", "before", F.shiftright("key", shift).alias("at")).agg(
+            F.count(F.lit(1)).alias("count"), F.min("v").alias("v"))
+        running = Window.partitionBy("feature", "cell").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.withColumn("first", F.col("before") + F.coalesce(F.sum("count").over(running), F.lit(0)))
+        if cells is None:
+            counted = counted.withColumn("n", F.sum("count").over(by_feature))
+        else:
+            rows = spark.createDataFrame(sorted(sizes.items()), "feature int, n long")
+            counted = counted.join(F.broadcast(rows), "feature")
+        ranks = around
+        cells = counted.where(F.exists(ranks, lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("count")))).select(
+            "feature", "at", "first", "count", "n", "v").collect()
+        sizes = {c["feature"]: c["n"] for c in cells}
+        if last or not cells:
+            for c in cells:
+                known.setdefault(c["feature"], []).append((c["first"], c["first"] + c["count"], c["v"]))
+            break
     out = {}
-    for f in features:
-        n = counts[f]
-        if not n:
+    for i, f in enumerate(features):
+        if i not in sizes:
             out[f] = None
             continue
-        qs = []
+
+        def value(rank: int) -> float:
+            return next(v for lo, hi, v in known[i] if lo <= rank < hi)
+        out[f] = []
         for p in probs:
-            pos = p * (n - 1)
-            lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-            a, b = value[(f, lo)], value[(f, hi)]
-            qs.append(a + (b - a) * (pos - lo))
-        out[f] = qs
+            pos = p * (sizes[i] - 1)
+            lo, hi = math.floor(pos), math.ceil(pos)
+            a, b = value(lo), value(hi)
+            out[f].append(a if a == b else (hi - pos) * a + (pos - lo) * b)
     return out

@@ -286,19 +286,36 @@ def test_neighbor_graph_layout_separates_blobs(spark):
     assert np.abs(lay[["umap1", "umap2"]].to_numpy()).max() == pytest.approx(10.0)
 
 
-def test_bucketed_exact_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("last_values", [0, 500, 1_000_000])
+def test_narrowed_quantiles_match_numpy(spark, last_values):
     from lookalike.functions.quantiles import quantiles
     rng = np.random.default_rng(6)
     n = 6000
     a = rng.normal(size=n)
     b = np.where(rng.random(n) < 0.34, 0.0, rng.exponential(size=n))   # one value holds a third
-    rows = [(i, float(a[i]), None if i % 9 == 0 else float(b[i])) for i in range(n)]
-    df = spark.createDataFrame(rows, "entity_id long, a double, b double")
-    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
-    got = quantiles(df, ["a", "b"], probs, one_task_limit=0, bucket_rows=300)   # force the bucketed plan
-    assert np.allclose(got["a"], np.quantile(a, probs), rtol=0, atol=1e-12)
+    c = rng.choice([-1e300, -2.5, -0.0, 5e-324, 2.0 ** -1022, 1.0, 1.0 + 2 ** -52, 2.0, 1e300], n)
+    rows = [(i, float(a[i]), None if i % 9 == 0 else float(b[i]), float(c[i]), None, 7.0 if i == 3 else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "entity_id long, a double, b double, c double, d double, e double")
+    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    got = quantiles(df, ["a", "b", "c", "d", "e"], probs, last_values=last_values)
     bb = np.array([b[i] for i in range(n) if i % 9 != 0])
-    assert np.allclose(got["b"], np.quantile(bb, probs), rtol=0, atol=1e-12)
+    for values, found in ((a, got["a"]), (bb, got["b"]), (c, got["c"])):
+        want = np.quantile(values, probs)
+        assert np.allclose(found, want, rtol=1e-12, atol=1e-12) and found[0] == values.min() and found[-1] == values.max()
+    assert got["d"] is None and got["e"] == [7.0] * 7
+    assert quantiles(df.limit(0), ["a"], [0.5]) == {"a": None}
+
+
+def test_ordered_bits_equal_the_bits(spark):
+    from lookalike.functions.quantiles import ordered_bits
+    rng = np.random.default_rng(2)
+    v = np.concatenate([2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1021, 1024), 0), np.nextafter(2.0 ** np.arange(-1021, 1023), np.inf),
+                        rng.integers(0, 1 << 52, 500) * 5e-324, rng.normal(size=500), [0.0, np.inf]])
+    v = np.concatenate([v, -v])
+    want = np.abs(v).view(np.int64) * np.where(v < 0, -1, 1)
+    got = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, v double").select(
+        "i", ordered_bits(F.col("v")).alias("k")).orderBy("i").toPandas()["k"].to_numpy()
+    assert (got == want).all()
 
 
 def test_histogram_and_density_match_numpy(spark):
