@@ -233,7 +233,7 @@ def silhouette(vecs: DataFrame, labels: DataFrame, features: str = "features",
         F.col("k").alias("grp"), "entity_id", "segment", "features")
     seg_type = base.schema["segment"].dataType
     tasks = block_pair_tasks(base, block_rows)
-    schema = T.StructType([T.StructField("grp", T.IntegerType()), T.StructField("a_id", T.LongType()),
+    schema = T.StructType([T.StructField("grp", T.IntegerType()), T.StructField("a_id", base.schema["entity_id"].dataType),
                            T.StructField("a_seg", seg_type), T.StructField("b_seg", seg_type),
                            T.StructField("sum_d", T.DoubleType()), T.StructField("cnt", T.LongType())])
 

@@ -498,3 +498,44 @@ def test_output_rounding_is_half_up(spark):
     from lookalike.plans.catalog import _round
     df = spark.createDataFrame([(1.0040,), (2.3341,), (0.125,), (1.005,), (0.1 + 0.2,)], "v double")
     assert [r["v"] for r in _round(df, 2).collect()] == [1.0, 2.33, 0.13, 1.01, 0.3]
+
+
+# ---------------- ids of any type ----------------
+
+def test_string_ids_in_silhouette_and_donor_search(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 1, (30, 2)), rng.normal(6, 1, (30, 2))])
+    names = [f"0{i}g" if i % 2 else f"00{i}" for i in range(60)]
+    seg = [0] * 30 + [1] * 30
+    for ids in (names, list(range(60))):
+        kind = "string" if ids is names else "long"
+        vecs = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, x)], f"entity_id {kind}, features array<double>")
+        labels = spark.createDataFrame([(2, i, s) for i, s in zip(ids, seg)], f"k int, entity_id {kind}, segment int")
+        got = evaluate.silhouette(vecs, labels, block_rows=16).first()["silhouette"]
+        if kind == "string":
+            first = got
+        assert got == pytest.approx(first)
+    rows = [(n, None if i % 7 == 0 else float(a), float(b) if i % 11 else None, None) for i, (n, (a, b)) in enumerate(zip(names, x))]
+    df = spark.createDataFrame(rows, "entity_id string, a double, b double, c double")
+    same = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "entity_id long, a double, b double, c double")
+    named = {r.entity_id: (r.a, r.b, r.c) for r in impute.knn_impute(df, ["a", "b", "c"], k=3).collect()}
+    numbered = {names[r.entity_id]: (r.a, r.b, r.c) for r in impute.knn_impute(same, ["a", "b", "c"], k=3).collect()}
+    assert named == numbered and all(v[0] is not None and v[1] is not None for v in named.values())
+
+
+def test_a_run_keeps_ids_with_zeros_and_letters(spark):
+    from conftest import SF001
+    from lookalike.plans import pipeline
+    from lookalike.sources import tables
+    cfg = AnalysisConfig(sweep_ks=(2, 3), candidate_ks=(3,), first_k=3, kmeans_starts=1, forest_trees=10,
+                         isolation_trees=20, folds=3, pseudo_label_k=3)
+    ef = tables.entity_features(spark, SF001).drop("name")
+    named = ef.withColumn("entity_id", F.concat(F.lit("0"), F.col("entity_id").cast("string"), F.lit("g")))
+    grid = {"learning_rate": [0.2], "max_depth": [2, 3], "n_estimators": [5, 10], "subsample": [0.8]}
+    res = pipeline.run_segmentation(named, cfg, grid=grid, methods=("precise",))
+    row = res.summary.first()
+    assert row.errors == "" and row.n_rows == ef.count()
+    ids = {r.entity_id for r in res.artefacts["assignments_3"].collect()}
+    assert all(i.startswith("0") and i.endswith("g") for i in ids) and len(ids) == ef.count()
+    assert res.artefacts["class_attributions"].count() == 3 * row.n_selected_features
+    assert abs(sum(r.importance for r in res.artefacts["model_importance"].collect()) - 1) < 1e-9
