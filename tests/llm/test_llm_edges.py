@@ -239,9 +239,10 @@ def test_links_beside_an_unrelated_leader(spark):
     assert [r["component_id"] for r in got] == [0, 1, 1, 1]
 
 
-@pytest.mark.parametrize("percent", [60, 80, 85, 100])
+@pytest.mark.parametrize("percent", [1, 30, 50, 60, 70, 80, 85, 95, 100])
 def test_prefixes_of_similar_sets_collide(percent):
-    """The bound behind the index, on random sets with worst-case differences."""
+    """The bound behind the index, on random sets with worst-case differences; the first token that
+    two sets share leaves both of them enough tokens."""
     rng = random.Random(percent)
     for _ in range(3000):
         size = rng.randrange(1, 60)
@@ -250,12 +251,42 @@ def test_prefixes_of_similar_sets_collide(percent):
         for _ in range(rng.randrange(0, size)):
             b = b | {rng.randrange(1000)} if rng.random() < 0.5 else b - {min(b)} if len(b) > 1 else b
         a = set(a)
-        if ngram_join.SAMPLE + percent <= 100 or 100 * len(a & b) < percent * len(a | b):
+        if 100 * len(a & b) < percent * len(a | b):
             continue
         order = list(range(1000))
         rng.shuffle(order)
-        pick = lambda s: sorted(sorted(s)[:ngram_join.sample_size(len(s))], key=order.__getitem__)[:ngram_join.prefix_size(len(s), percent)]
-        assert set(pick(a)) & set(pick(b))
+        sample = lambda s: sorted(sorted(s)[:ngram_join.sample_size(len(s), percent)], key=order.__getitem__)
+        pick = lambda s: sample(s)[:ngram_join.prefix_size(len(s), percent)]
+        shared = set(pick(a)) & set(pick(b))
+        assert shared
+        first = min(shared, key=order.__getitem__)
+        rest = min(len(s) - s.index(first) for s in (sample(a), sample(b)))
+        larger = max(len(a), len(b))
+        assert rest >= max(1, -(-(ngram_join.sample_percent(percent) + percent - 100) * larger // 100))
+
+
+@pytest.mark.parametrize("percent", [50, 60, 70, 80, 85, 95])
+def test_links_equal_brute_force_at_every_threshold(spark, percent):
+    rng = random.Random(percent)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(25):  # pairs of chosen similarity, and small sets
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([2, 5, 9, 40, 80]))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            other = list(words)
+            for _ in range(rng.randrange(0, 1 + len(words) // 8)):
+                other[rng.randrange(len(other))] = rng.choice(vocabulary)
+            texts.append(" ".join(other[:rng.randrange(len(other) // 2, len(other)) + 1]))
+    # sets whose similarity is exactly one half: words of one gram each
+    texts += [" ".join(f"x{i}_{j}" for j in range(13)) + end for i in range(5) for end in ("", " " + " ".join(f"y{i}_{j}" for j in range(10)))]
+    got = ngram_join.join_components(docs(spark, texts), 4, percent).orderBy("doc_id").collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in got] == brute_components(texts, 4, percent)
+
+
+def test_thresholds_out_of_range_are_refused(spark):
+    with pytest.raises(ValueError):
+        ngram_join.join_components(docs(spark, ["a b c d"]), 4, 0)
 
 
 # ---------------- toxicity ----------------
