@@ -139,6 +139,7 @@ class BlockMaxIndex:
         self.padded = self.blocks * block
         self.rows = np.zeros((self.blocks, block, self.common))
         self.rows.reshape(self.padded, self.common)[:examples] = rows[self.order]
+        del rows
         self.top = self.rows.max(axis=1).T.copy()                     # (common term, block)
         by_term = np.lexsort((place[example[~often]], term[~often]))
         self.places = place[example[~often]][by_term].astype(np.int32)
@@ -345,7 +346,8 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     wanted = counts.where(~ends).unionByName(counts.join(F.broadcast(named), "term", "left_semi"))  # at most max_terms rows
     table = wanted.select("term", "n").toArrow()
     order = pc.sort_indices(table, [("n", "descending"), ("term", "ascending")])
-    names, held = table.column("term").take(order).to_pylist(), table.column("n").take(order).to_numpy()
+    named_terms = table.column("term").take(order).combine_chunks()
+    names, held = named_terms.to_pylist(), table.column("n").take(order).to_numpy()
     full = math.log(n1 + n0 + 1)
     tells = np.array([t in told for t in names], bool)
     weights = (full - np.log(held + 1) + 1) * np.where(tells, 1.0, config.other_weight)
@@ -360,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     data = pairs.where(F.size("term") > 0).orderBy("doc_id").toArrow()  # bounded by the sample
     terms = Terms(names)
     lists = data.column("term").combine_chunks()
-    number = terms.find(lists.flatten().to_pylist())
+    number = pc.index_in(lists.flatten(), value_set=named_terms).to_numpy(zero_copy_only=False).astype(np.int64)
     example = np.repeat(np.arange(data.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
     value = (1 + np.log(data.column("tf").combine_chunks().flatten().to_numpy(zero_copy_only=False))) * weights[number]
     value /= np.sqrt(np.bincount(example, value * value, data.num_rows))[example]
