@@ -1,10 +1,11 @@
 """Operator 7: document fingerprints as Merkle trees over sections, paragraphs and spans.
 
 Paragraphs are the lines of a text.  A paragraph is cut into sentences and these into spans of up
-to ``SPAN_WORDS`` words; a span's hash is the leaf.  A paragraph's hash covers its leaves in order
-(and its exact text), a section's hash covers its paragraphs, the root covers the sections.  A
-section ends after a blank paragraph, or after a paragraph whose hash starts with one of two hex
-digits: boundaries depend on content alone, so an edit moves no boundary beyond its own section.
+to ``SPAN_WORDS`` words; a span's hash is a leaf, and one more leaf, the hash of the whole line, stands for
+the blanks and signs between the spans.  A paragraph's node is the hash of its leaves in order, a
+section's that of its paragraphs' nodes, the root that of the sections' nodes.  A section ends after a
+blank paragraph, or after a paragraph whose node starts with one of two hex digits: boundaries depend
+on content alone, so an edit moves no boundary beyond its own section.
 
 The fingerprint is a string: root ``#`` sections joined by ``|``; a section is its hash ``=`` its
 paragraphs joined by ``,``; a paragraph is its hash followed by ``.leaf`` for every leaf.  Equal
@@ -40,12 +41,22 @@ def _leaves(paragraph):
                        lambda s: F.substring(F.md5(s), 1, LEAF_HEX))
 
 
+def _let(value, body):
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _paragraph(paragraph):
-    """hash.leaf.leaf...; a blank paragraph ends a section, as do two of sixteen hash values."""
-    node = F.substring(F.md5(F.concat(F.lit("p"), paragraph)), 1, NODE_HEX)
-    text = F.array_join(F.concat(F.array(node), _leaves(paragraph)), ".")
-    ends = (F.btrim(paragraph) == "") | F.substring(node, 1, 1).isin("0", "1")
-    return F.concat(text, F.when(ends, F.lit("|")).otherwise(F.lit(",")))
+    """node.leaf.leaf...; a blank paragraph ends a section, as do two of sixteen hash values."""
+    def with_node(leaves, node):
+        ends = (F.btrim(paragraph) == "") | F.substring(node, 1, 1).isin("0", "1")
+        return F.concat(node, F.when(leaves == "", F.lit("")).otherwise(F.concat(F.lit("."), leaves)),
+                        F.when(ends, F.lit("|")).otherwise(F.lit(",")))
+
+    def with_leaves(leaves):
+        whole = F.concat(F.lit("p"), leaves, F.lit("."), F.md5(paragraph))
+        return _let(F.substring(F.md5(whole), 1, NODE_HEX), lambda node: with_node(leaves, node))
+    return _let(F.array_join(_leaves(paragraph), "."), with_leaves)
 
 
 def fingerprint(text):
@@ -55,7 +66,9 @@ def fingerprint(text):
     section = lambda s: F.concat(
         F.substring(F.md5(F.array_join(F.regexp_extract_all(s, F.lit(f"(?:^|,)([0-9a-f]{{{NODE_HEX}}})"), F.lit(1)), ",")), 1, NODE_HEX),
         F.lit("="), F.rtrim(s, F.lit(",")))
-    return F.concat(F.md5(F.concat(F.lit("r"), text)), F.lit("#"), F.array_join(F.transform(sections, section), "|"))
+    nodes = lambda body: F.regexp_extract_all(body, F.lit(f"(?:^|[|])([0-9a-f]{{{NODE_HEX}}})="), F.lit(1))
+    return _let(F.array_join(F.transform(sections, section), "|"),
+                lambda body: F.concat(F.md5(F.concat(F.lit("r"), F.array_join(nodes(body), ","))), F.lit("#"), body))
 
 
 def root(fp):
@@ -104,9 +117,8 @@ def with_next(df: DataFrame, columns: list[str], ids: str = "doc_id") -> DataFra
     """Add ``next_<c>`` for each column: its value in the next row by descending id (after the last:
     the first).  Rows are dealt to windows of IDS_PER_WINDOW ids; the first row of every window is
     also dealt to the window before it, so that no window spans all rows."""
-    order = [F.desc("_id"), F.asc("_tie")]
-    rows = df.withColumns({"_id": F.coalesce(F.col(ids).cast("long"), F.lit(LOWEST)),
-                           "_tie": F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])})
+    order = [F.desc("_id"), *[F.asc(c) for c in columns]]
+    rows = df.withColumn("_id", F.coalesce(F.col(ids).cast("long"), F.lit(LOWEST)))
     rows = rows.withColumn("_window", F.floor(F.col("_id") / IDS_PER_WINDOW))
     # windows in use and the window that comes before each (the one with the next larger ids);
     # one row per window, numbered within blocks of windows and across the blocks
@@ -123,12 +135,12 @@ def with_next(df: DataFrame, columns: list[str], ids: str = "doc_id") -> DataFra
     if used.count() <= BROADCAST_HEADS:  # two numbers each; a shuffle join beyond
         heads = F.broadcast(heads)
     own = rows.withColumn("_copy", F.lit(0))
-    # of rows with the head's id, the one with the smallest tie comes first
+    # of rows with the head's id, the one with the smallest values comes first
     copies = rows.join(heads, F.col("_id") == F.col("_head")).withColumn("_window", F.col("_to")).drop("_head", "_to")
     both = own.unionByName(copies.withColumn("_copy", F.lit(1)))
     over = Window.partitionBy("_window").orderBy("_copy", *order)
     return (both.withColumns({f"next_{c}": F.lead(c).over(over) for c in columns})
-            .where(F.col("_copy") == 0).drop("_id", "_tie", "_window", "_copy"))
+            .where(F.col("_copy") == 0).drop("_id", "_window", "_copy"))
 
 
 def edited(text, following):
@@ -153,14 +165,16 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def _sql_fingerprint(text: str) -> str:
-    paragraph = (f"list_aggregate(list_concat([substring(md5('p' || p), 1, {NODE_HEX})], "
-                 f"list_transform(regexp_extract_all(p, '{SPAN}'), lambda s: substring(md5(s), 1, {LEAF_HEX}))), 'string_agg', '.') || "
-                 f"CASE WHEN trim(p) = '' OR substring(md5('p' || p), 1, 1) IN ('0', '1') THEN '|' ELSE ',' END")
+    leaves = f"coalesce(list_aggregate(list_transform(regexp_extract_all(p, '{SPAN}'), lambda s: substring(md5(s), 1, {LEAF_HEX})), 'string_agg', '.'), '')"
+    paragraph = (f"list_transform([{leaves}], lambda l: list_transform([substring(md5('p' || l || '.' || md5(p)), 1, {NODE_HEX})], lambda n: "
+                 "n || CASE WHEN l = '' THEN '' ELSE '.' || l END || "
+                 "CASE WHEN trim(p) = '' OR substring(n, 1, 1) IN ('0', '1') THEN '|' ELSE ',' END)[1])[1]")
     rows = f"list_aggregate(list_transform(string_split({text}, chr(10)), lambda p: {paragraph}), 'string_agg', '')"
     section = (f"substring(md5(list_aggregate(regexp_extract_all(s, '(?:^|,)([0-9a-f]{{{NODE_HEX}}})', 1), 'string_agg', ',')), 1, {NODE_HEX}) "
                f"|| '=' || rtrim(s, ',')")
-    return (f"md5('r' || {text}) || '#' || list_aggregate(list_transform(list_filter(string_split({rows}, '|'), "
-            f"lambda s: s <> ''), lambda s: {section}), 'string_agg', '|')")
+    body = (f"list_aggregate(list_transform(list_filter(string_split({rows}, '|'), lambda s: s <> ''), lambda s: {section}), 'string_agg', '|')")
+    return (f"list_transform([{body}], lambda b: md5('r' || list_aggregate(regexp_extract_all(b, '(?:^|[|])([0-9a-f]{{{NODE_HEX}}})=', 1), "
+            "'string_agg', ',')) || '#' || b)[1]")
 
 
 def _sql_likeness(a: str, b: str) -> str:

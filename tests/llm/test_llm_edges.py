@@ -177,7 +177,9 @@ def test_branches_locate_an_edit(spark):
     other = lines[:20] + ["This one was rewritten."] + lines[21:]
     df = spark.createDataFrame([("\n".join(lines), "\n".join(other))], "a string, b string")
     row = df.select(merkle.changed(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("x")).first()
-    assert row["x"] == [hashlib.md5(("p" + lines[20]).encode()).hexdigest()[:12]]
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    leaves = ".".join(md5(s)[:8] for s in re.findall(merkle.SPAN, lines[20]))
+    assert row["x"] == [md5(f"p{leaves}.{md5(lines[20])}")[:12]]
 
 
 # ---------------- n-gram join ----------------
