@@ -539,3 +539,20 @@ def test_a_run_keeps_ids_with_zeros_and_letters(spark):
     assert all(i.startswith("0") and i.endswith("g") for i in ids) and len(ids) == ef.count()
     assert res.artefacts["class_attributions"].count() == 3 * row.n_selected_features
     assert abs(sum(r.importance for r in res.artefacts["model_importance"].collect()) - 1) < 1e-9
+
+
+def test_region_blocks_form_later_pairs_alone(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, f"r{i % 9}" if i % 13 else None, i % 2, rng.normal(size=3).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "entity_id long, region string, grp int, features array<double>")
+    tasks, several = similarity.region_pair_tasks(df, 50, later_only=True)
+    pairs = {(r.grp, r.ablk, r.bblk) for r in tasks.where("is_left").select("grp", "ablk", "bblk").distinct().collect()}
+    assert not several and all(a <= b for _, a, b in pairs) and any(a < b for _, a, b in pairs)
+    _, several = similarity.region_pair_tasks(df, 10, later_only=True)
+    assert several
+    want = None
+    for block_rows in (7, 50, 4096):
+        got = topk_similarity(df, k=3, group_col="grp", region_rule="lt", per_region=True, min_sim=-1.0, block_rows=block_rows).toPandas()
+        keys = sorted(zip(got.a_id, got.b_id))
+        want = want or keys
+        assert keys == want and len(set(keys)) == len(keys) and (got.a_region < got.b_region).all()
