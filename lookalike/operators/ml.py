@@ -1,7 +1,8 @@
-"""MLlib stages: M1 pseudo_labels, M2 forest_importance, M4 pca_scores, M5 pca_loadings,
+"""Fitted stages: M1 pseudo_labels, M2 forest_importance, M4 pca_scores, M5 pca_loadings,
 M8 kmeans_sweep, M13 assign_segments, M14 gmm_segments.
 
-Features enter MLlib once as a dense vector (``VectorAssembler``, ``handleInvalid="error"``:
+k-means fits of all k and starts share their scans (``operators.centers``).  Features enter MLlib
+once as a dense vector (``VectorAssembler``, ``handleInvalid="error"``:
 NULLs must be imputed first); the vector frame is cached for the repeated fits.
 """
 
@@ -10,13 +11,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lookalike.config import DEFAULT, AnalysisConfig
+from lookalike.operators import centers
+from lookalike.operators.centers import CentreModel
 from lookalike.operators.scale import fit_standardizer
 from lookalike.operators.segments import segment_profiles
 
@@ -40,56 +43,33 @@ def standardized_vectors(df: DataFrame, features: list[str], keep: list[str] = (
 
 @dataclass
 class SweepResult:
-    models: dict = field(default_factory=dict)     # k -> KMeansModel (best of the starts)
+    models: dict = field(default_factory=dict)     # k -> CentreModel (best of the starts)
     costs: dict = field(default_factory=dict)      # k -> within-cluster sum of squares
 
     def labels(self, vecs: DataFrame) -> DataFrame:
-        """Long (k, entity_id, segment) for every fitted k (one transform per k, unioned)."""
-        out = None
-        for k, m in sorted(self.models.items()):
-            part = m.transform(vecs).select(F.lit(k).cast("int").alias("k"), "entity_id",
-                                             F.col("prediction").cast("int").alias("segment"))
-            out = part if out is None else out.unionByName(part)
-        return out
+        """Long (k, entity_id, segment) for every fitted k."""
+        return centers.labels(vecs, self.models, VEC)
 
     def curve(self, spark) -> DataFrame:
         return spark.createDataFrame(sorted((int(k), float(c)) for k, c in self.costs.items()), "k int, inertia double")
 
 
-def kmeans_sweep(vecs: DataFrame, ks=None, starts: int | None = None, cfg: AnalysisConfig = DEFAULT,
-                 parallelism: int = 4) -> SweepResult:
-    """M8: for each k, the best of ``starts`` k-means|| fits (lowest training cost).
-
-    The input is cached once and reused by all fits; the (k, start) fits are independent
-    distributed jobs, submitted ``parallelism`` at a time (as CrossValidator does) so that
-    small jobs do not leave the cluster idle.  Ties in cost keep the earliest start.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    ks = list(ks or (*cfg.sweep_ks, *cfg.candidate_ks))
-    starts = starts or cfg.kmeans_starts
-    vecs = vecs.select("entity_id", VEC).cache()
-
-    def fit(job):
-        k, s = job
-        m = KMeans(k=k, seed=cfg.seed + s, featuresCol=VEC, maxIter=cfg.kmeans_iterations).fit(vecs)
-        return k, s, m.summary.trainingCost, m
-
-    jobs = [(k, s) for k in ks for s in range(starts)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fitted = list(pool.map(fit, jobs))
-    vecs.unpersist()
+def kmeans_sweep(vecs: DataFrame, ks=None, starts: int | None = None, cfg: AnalysisConfig = DEFAULT) -> SweepResult:
+    """M8: for each k, the best of ``starts`` k-means++ fits (lowest cost; ties: the earliest start),
+    all fitted in shared scans."""
+    ks = sorted(set(ks or (*cfg.sweep_ks, *cfg.candidate_ks)))
+    fitted, _ = centers.fit_all(vecs, ks, starts or cfg.kmeans_starts, cfg.seed, cfg.kmeans_iterations, VEC)
     res = SweepResult()
-    for k, s, cost, m in sorted(fitted, key=lambda t: (t[0], t[2], t[1])):
+    for (k, s), m in sorted(fitted.items(), key=lambda t: (t[0][0], t[1].cost, t[0][1])):
         if k not in res.models:
-            res.costs[k], res.models[k] = cost, m
+            res.costs[k], res.models[k] = m.cost, m
     return res
 
 
 def pseudo_labels(vecs: DataFrame, k: int | None = None, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """M1: KMeans(k=5, seed) labels used as classification targets."""
     k = k or cfg.pseudo_label_k
-    m = KMeans(k=k, seed=cfg.seed, featuresCol=VEC, maxIter=cfg.kmeans_iterations).fit(vecs)
+    m = kmeans_sweep(vecs, [k], 1, cfg).models[k]
     return m.transform(vecs).select("entity_id", VEC, F.col("prediction").cast("double").alias("label"))
 
 
@@ -109,10 +89,9 @@ class PcaResult:
     model: object
     features: list
     n_components: int
-    full: object = None
 
     def ratios(self, spark) -> DataFrame:
-        ev = (self.full or self.model).explainedVariance.toArray().tolist()
+        ev = self.model.explainedVariance.toArray().tolist()
         return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(ev)], "component int, ratio double")
 
     def loadings(self, spark) -> DataFrame:
@@ -131,7 +110,7 @@ def pca_fit(vecs: DataFrame, features: list[str], share: float | None = None, cf
     """M4/M5/M6: PCA on standardized vectors; keeps the fewest components whose cumulative
     explained-variance ratio reaches ``share`` (the Gramian is a single tree-aggregate pass)."""
     share = cfg.variance_share if share is None else share
-    full = PCA(k=len(features), inputCol=VEC, outputCol="pca").fit(vecs)
+    full = PCA(k=len(features), inputCol=VEC, outputCol="pca").fit(vecs)   # one fit: fewer components are its first ones
     ev = full.explainedVariance.toArray()
     cum, n = 0.0, len(ev)
     for i, v in enumerate(ev):
@@ -139,8 +118,7 @@ def pca_fit(vecs: DataFrame, features: list[str], share: float | None = None, cf
         if cum >= share:
             n = i + 1
             break
-    model = PCA(k=n, inputCol=VEC, outputCol="pca").fit(vecs)
-    return PcaResult(model, list(features), n, full)
+    return PcaResult(full, list(features), n)
 
 
 def gmm_segments(vecs: DataFrame, k: int, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
@@ -149,7 +127,7 @@ def gmm_segments(vecs: DataFrame, k: int, cfg: AnalysisConfig = DEFAULT) -> Data
     return m.transform(vecs).select("entity_id", F.col("prediction").cast("int").alias("segment"))
 
 
-def assign_segments(df: DataFrame, model: KMeansModel, vecs: DataFrame, features: list[str]):
+def assign_segments(df: DataFrame, model: CentreModel, vecs: DataFrame, features: list[str]):
     """Labels for one k joined to the source rows (J1), plus the segment profile.
     Returns (labelled rows, long profile)."""
     lab = model.transform(vecs).select("entity_id", F.col("prediction").cast("int").alias("segment"))
