@@ -141,17 +141,24 @@ _SEP = r"[ ,.\-]{1,3}"
 #: Three or more digit words (or digits) in a row, at least one of them a word; a leading "plus" may stand before.
 _SPELLED = re.compile(rf"(?:\bplus {{1,3}})?(?<!\w)(?:(?:{_WORD})(?!\w)|[0-9]{{1,4}}(?= ))(?:(?:{_SEP}|[ ]?[()][ ]?)(?:(?:{_WORD})(?!\w)|[0-9]{{1,4}}(?!\w))){{2,}}", re.I)
 _SPELLED_PART = re.compile(rf"\bplus {{1,3}}|(?<!\w)(?:{_WORD})(?!\w)", re.I)
+_SPELLED_WORD = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.I)
+_NUMBER = re.compile(r"[0-9]+")
 # Letters written for digits inside numbers.
 DIGIT_LETTERS = {"O": "0", "o": "0", "Q": "0", "I": "1", "l": "1", "|": "1", "Z": "2", "S": "5", "B": "8"}
 _MIXED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OoQIl|ZSB](?:[ ().-]{0,2}[0-9OoQIl|ZSB]){8,}(?![A-Za-z0-9])")
+#: A bar with a blank or sign beside it parts two numbers.
+_BORDER = re.compile(r"(?:(?<![0-9OoQIlZSB])|(?=\|[^0-9OoQIlZSB])|(?=\|\Z))\|")
+_LOOSE_END = re.compile(r"(?:[ ().-]+[OoQIlZSB]+)+\Z")
+_LOOSE_START = re.compile(r"\A(?:[OoQIlZSB]+[ ().-]+)+")
 # Words for the at sign and the dot (English, German, French, Spanish).
 _AT = r"at|ät|klammeraffe|arobase|arroba"
 DOT_WORDS = ("dot", "punkt", "point", "punto", "period")
 _DOT = "|".join(DOT_WORDS)
 _BRACKET_AT = re.compile(rf"[ ]{{0,3}}[\[({{<][ ]{{0,2}}(?:{_AT}|@)[ ]{{0,2}}[\])}}>][ ]{{0,3}}", re.I)
 _BRACKET_DOT = re.compile(rf"[ ]{{0,3}}[\[({{<][ ]{{0,2}}(?:{_DOT}|\.)[ ]{{0,2}}[\])}}>][ ]{{0,3}}", re.I)
-#: name AT word DOT word ...: the bare words count only together, or beside a real sign.
-_BARE_DOT = re.compile(rf"[ _]{{1,3}}(?:{_DOT}|\.)[ _]{{1,3}}|{_BRACKET_DOT.pattern}", re.I)
+#: name AT word DOT word ...: the bare words count only together, or beside a real sign; a dot between
+#: blanks only before a small letter or a digit, as a sentence starts with neither.
+_BARE_DOT = re.compile(rf"[ _]{{1,3}}(?:{_DOT})[ _]{{1,3}}|[ _]{{1,3}}\.[ _]{{1,3}}(?-i:(?=[a-z0-9]))|{_BRACKET_DOT.pattern}", re.I)
 _BARE = re.compile(rf"(?<=[A-Za-z0-9])(?:[ _]{{1,3}}(?:{_AT}|@)[ _]{{1,3}}|@)(?=[A-Za-z0-9-])(?P<d>[A-Za-z0-9-]+(?:(?:{_BARE_DOT.pattern}|\.)[A-Za-z0-9-]+)+)", re.I)
 _NAME_DOT = re.compile(rf"(?<=[A-Za-z0-9])[ _]{{1,3}}(?:{_DOT})[ _]{{1,3}}(?=[A-Za-z0-9._%+-]+@)", re.I)
 _NUMBER_DOT = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:[ _]{{1,3}}(?:{_DOT})[ _]{{1,3}}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
@@ -186,11 +193,17 @@ def look_alikes(text: str) -> list[tuple[int, int, str]]:
 
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
-    """Runs of digit words become digits without separators between two words."""
+    """Runs of digit words become digits without separators between two words.  A run has three digit
+    words, or two and no more numbers, or starts with one after a plus: an article beside a number
+    is no digit."""
     edits = []
     if _words(text).isdisjoint(_DIGIT_KEYS):
         return edits
     for run in _SPELLED.finditer(text):
+        said = len(_SPELLED_WORD.findall(run.group()))
+        dialled = text[run.start() - 1:run.start()] == "+" and _SPELLED_WORD.match(text, run.start())
+        if said < 3 and not dialled and (said < 2 or said < len(_NUMBER.findall(run.group()))):
+            continue
         last = None
         for m in _SPELLED_PART.finditer(text, *run.span()):
             word = m.group().lower()
@@ -205,15 +218,21 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
 
 
 def digit_letters(text: str) -> list[tuple[int, int, str]]:
-    """Letters inside long numbers that stand for digits (at least six in ten characters are digits)."""
+    """Letters inside long numbers that stand for digits (at least six in ten characters are digits).
+    A letter at an end of the number touches it, and a bar touches digits on both sides: what
+    follows a blank is a word or a table's border."""
     edits = []
     if not _BESIDE.search(text):
         return edits
     for m in _MIXED.finditer(text):
-        run = m.group()
-        signs = [c for c in run if c.isalnum() or c == "|"]
-        if sum(c.isdigit() for c in signs) * 10 >= 6 * len(signs):
-            edits += [(m.start() + i, m.start() + i + 1, DIGIT_LETTERS[c]) for i, c in enumerate(run) if c in DIGIT_LETTERS]
+        for run in _BORDER.split(m.group()):
+            at = m.start() + m.group().index(run)
+            run_end = _LOOSE_END.sub("", run)
+            kept = _LOOSE_START.sub("", run_end)
+            at += len(run_end) - len(kept)
+            signs = [c for c in kept if c.isalnum() or c == "|"]
+            if len(signs) >= 9 and sum(c.isdigit() for c in signs) * 10 >= 6 * len(signs):
+                edits += [(at + i, at + i + 1, DIGIT_LETTERS[c]) for i, c in enumerate(kept) if c in DIGIT_LETTERS]
     return edits
 
 
