@@ -19,6 +19,7 @@ one document below all others; extra columns don't matter; an empty table gives
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -48,7 +49,8 @@ def occurrences(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
 @dataclass
 class LineRuns:
-    """Store of line hashes: sorted runs by level (tables bucketed by the hash)."""
+    """Store of line hashes: sorted runs by level (tables bucketed by the hash).  ``save`` leaves a
+    manifest in the store's folder; ``open`` goes on from it in a later session."""
 
     spark: SparkSession
     fanout: int = 4
@@ -105,6 +107,23 @@ class LineRuns:
                     self.spark.sql(f"DROP TABLE {table}")  # the files stay: readers may still be at work
                 level.clear()
 
+    def save(self) -> str:
+        """Write the manifest of the runs (levels, buckets); returns the folder that ``open`` takes."""
+        text = json.dumps({"name": self.name, "fanout": self.fanout, "buckets": self.buckets, "levels": self.levels, "written_runs": self.written_runs})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest")
+        return self.folder
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> LineRuns:
+        """The store saved in ``folder``: its tables are registered again over their files."""
+        held = json.loads(spark.read.text(f"{folder}/manifest").head()[0])
+        store = cls(spark, held["fanout"], held["levels"], held["name"], held["written_runs"])
+        store.folder, store.buckets = folder, held["buckets"]
+        for table in (t for level in store.levels for t in level):
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (h BINARY, doc BIGINT, n_docs BIGINT) USING parquet "
+                      f"CLUSTERED BY (h) SORTED BY (h) INTO {store.buckets} BUCKETS LOCATION '{folder}/{table}'")
+        return store
+
     def close(self) -> None:
         """Forget the tables (the files lie in the checkpoint folder, which its owner clears)."""
         for level in self.levels:
@@ -153,7 +172,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
 
     The lines of a text that stay keep their order; where nothing is dropped the text is unchanged
     (a NULL text becomes empty)."""
-    gone, _ = dropped_lines(docs, min_chars, min_docs, **options)
+    gone, store = dropped_lines(docs, min_chars, min_docs, **options)
+    store.close()  # what goes is in written tables of its own
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     rows = docs.select(*keep, text_or_empty().alias("text"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("_doc"),

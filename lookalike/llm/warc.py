@@ -10,9 +10,8 @@ read once whatever the ranges.
 Of records with equal payloads (at least ``min_payload`` bytes) the one with the largest id is the
 response, the others revisit it.  Edge cases: a NULL payload counts as empty; a NULL url becomes
 "urn:page:<id>"; blanks and line breaks in urls are percent-encoded; rows with a NULL id are
-refused by default (an error names the column); with ``null_ids`` they are written as records named by
-their digest, read back with a NULL id, and a response only when no row with an id has their payload;
-rows with equal ids and equal payloads
+written as records named by their digest, read back with a NULL id, and a response only when no row
+with an id has their payload (``null_ids=False`` refuses them with an error that names the column); rows with equal ids and equal payloads
 are written once each, the response first; payloads that contain gzip or WARC bytes do no harm, as a
 task goes on after a member's end; extra columns don't matter; an empty table gives no archives and
 an empty result.
@@ -88,7 +87,7 @@ def decide(pages: DataFrame, min_payload: int = 0, ids: str = "page_id", payload
 
 
 def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, ids: str = "page_id", url: str = "url",
-                   payload: str = "html", null_ids: bool = False) -> DataFrame:
+                   payload: str = "html", null_ids: bool = True) -> DataFrame:
     """Write a record per row to archives below ``folder`` (a URI all tasks can reach); returns the
     manifest (file, bytes, records), which is kept, so nothing is written twice."""
     spark = pages.sparkSession
@@ -206,7 +205,7 @@ def read_archives(files: DataFrame, block_bytes: int = BLOCK_BYTES, payloads: bo
     return byte_ranges(files.select("file", "bytes"), block_bytes).mapInArrow(read, RECORD)
 
 
-def round_trip(pages: DataFrame, null_ids: bool = False) -> DataFrame:
+def round_trip(pages: DataFrame, null_ids: bool = True) -> DataFrame:
     """Query form: write every page, read the archives back."""
     folder = shared_folder(pages.sparkSession, "warc")
     found = read_archives(write_archives(pages, folder, null_ids=null_ids), payloads=False)

@@ -402,7 +402,9 @@ def test_warc_edges(spark):
     assert warc.round_trip(empty).count() == 0
     nameless = spark.createDataFrame([(None, "u", "x")], "page_id long, url string, html string")
     with pytest.raises(Exception, match="must not be NULL"):
-        warc.round_trip(nameless).collect()
+        warc.round_trip(nameless, null_ids=False).collect()
+    one = warc.round_trip(nameless).collect()
+    assert [(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in one] == [(None, 1, "response", None)]
 
 
 # ---------------- nearest vectors ----------------
