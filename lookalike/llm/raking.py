@@ -16,13 +16,15 @@ they are rows of a DataFrame, and a round is a chain of window sums over them.
 Edge cases: NULL in any dimension is a value of its own; documents without words have no tokens,
 take the factor of their cell, and cells without tokens get the smallest probability; a value with
 target 0 is never sampled, a target value that no document has is left out; targets that no
-weights can reach (empty combinations) end after ``max_rounds`` with the rest in ``max_error``;
+weights can reach (empty combinations) end after ``max_rounds`` with a warning and the rest in
+``max_error``;
 repeated rows are sampled alike; extra columns pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -105,6 +107,8 @@ def rake(cells: DataFrame, config: RakingConfig = RakingConfig(), dims: tuple[st
                 live = live.withColumn("weight", F.when(total[d] > 0, F.col("weight") * F.col(f"t_{d}") / total[d]).otherwise(F.lit(0.0)))
         done += config.rounds_per_step
         live = written(live, "raking-cells")
+    if error is not None and error > config.tolerance:
+        warnings.warn(f"raking ended after {done} rounds with an error of {error:.3g}", stacklevel=2)
     live = live.withColumn("factor", F.col("weight") / F.col("tokens"))
     rate = F.col("factor") / F.lit(_full_factor(live, config, float(everything)))
     return live.select(*dims, "tokens", "weight", "factor", F.least(rate, F.lit(1.0)).alias("probability"),
@@ -138,24 +142,27 @@ def draw(*parts):
 
 
 def mix(docs: DataFrame, config: RakingConfig = RakingConfig(), topic=None) -> DataFrame:
-    """``docs`` with n_tokens, topic, weight of its cell, probability, kept."""
+    """``docs`` with n_tokens, topic, weight of its cell, probability, shortfall of its cell (tokens
+    that a capped cell lacks), max_error of the raking, kept."""
     prepare(docs.sparkSession)
-    added = ("n_tokens", "topic", "weight", "probability", "kept")
+    added = ("n_tokens", "topic", "weight", "probability", "shortfall", "max_error", "kept")
     text = text_or_empty()
     rows = (docs.select(*[c for c in docs.columns if c not in added], token_count(text).alias("n_tokens"),
                         (topic_of(text) if topic is None else topic).alias("topic")))
     cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "raking-tokens")
     raked = rake(cells, config)
-    raked = written(raked.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "weight", "probability"), "raked-cells")
+    raked = written(raked.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "weight", "probability", "shortfall", "max_error"),
+                    "raked-cells")
     same = [rows[d].eqNullSafe(raked[f"_{d}"]) for d in DIMENSIONS]
-    floor = raked.agg(F.min("probability")).first()[0]
+    floor, error = raked.agg(F.min("probability"), F.max("max_error")).first()
     out = rows.join(raked, same[0] & same[1] & same[2], "left")
     probability = F.coalesce("probability", F.lit(float(floor or 0.0)))
     return out.select(*rows.columns, F.coalesce("weight", F.lit(0.0)).alias("weight"), probability.alias("probability"),
+                      F.coalesce("shortfall", F.lit(0.0)).alias("shortfall"), F.lit(float(error or 0.0)).alias("max_error"),
                       (draw(F.col("doc_id").cast("string"), F.md5(text_or_empty())) < probability).alias("kept"))
 
 
 def digest(docs: DataFrame, config: RakingConfig = RakingConfig()) -> DataFrame:
-    """Query form: doc_id, source, lang, topic, n_tokens, probability, kept."""
+    """Query form: doc_id, source, lang, topic, n_tokens, probability, shortfall, max_error, kept."""
     out = mix(docs.select("doc_id", "text", "source", "lang"), config)
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "shortfall", "max_error", "kept")
