@@ -51,7 +51,7 @@ _SIGNS = re.compile("[\x80-\xbf×÷ -⯿　-〿＀-＠]")
 BREAKS = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 LEAST_BYTES = 3             #: shorter words are no terms
 SLICE = 2 << 20             #: bytes of text that are cut into words at once
-BATCH = 64                  #: queries that are searched at once
+BATCH = 32                  #: queries that are searched at once
 FIRST_BLOCKS = 4            #: blocks that every query scores first
 
 
@@ -67,7 +67,7 @@ class ToxicityConfig:
     neighbours: int = 15
     prior_weight: float = 0.25    #: weight of the prior among the votes
     threshold: float = 0.3
-    common: int = 512             #: most frequent terms, kept as rows of weights
+    common: int = 256             #: most frequent terms, kept as rows of weights
     block: int = 64               #: examples per block of the index
     evidence: int = 3
 
@@ -108,7 +108,7 @@ class Terms:
     def __init__(self, names: list[bytes]):
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.numbers, self.names = hashes[order], order, pa.array(names, pa.large_binary())
+        self.hashes, self.numbers, self.names = hashes[order], order.astype(np.int32), pa.array(names, pa.large_binary())
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Number of every word; -1 where it is no term."""
@@ -141,10 +141,10 @@ class BlockMaxIndex:
         self.rows.reshape(self.padded, self.common)[:examples] = rows[self.order]
         del rows
         self.top = self.rows.max(axis=1).T.copy()                     # (common term, block)
-        by_term = np.lexsort((place[example[~often]], term[~often]))
-        self.places = place[example[~often]][by_term].astype(np.int32)
-        self.weights = weight[~often][by_term]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term[~often], minlength=terms))])
+        place, rare = place[example[~often]].astype(np.int32), term[~often]
+        by_term = np.lexsort((place, rare))
+        self.places, self.weights = place[by_term], weight[~often][by_term]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(rare, minlength=terms))]).astype(np.int32)
 
     def nearest(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(examples, cosines) of the k nearest examples with a cosine above 0 of every query, exactly;
@@ -154,10 +154,12 @@ class BlockMaxIndex:
         dense[query[often], term[often]] = weight[often]
         query, term, weight = query[~often], term[~often], weight[~often]
         held = self.start[term + 1] - self.start[term]
-        stops = np.cumsum(held)
-        at = np.repeat(self.start[term] - (stops - held), held) + np.arange(int(stops[-1]) if len(stops) else 0)
-        found = np.bincount(np.repeat(query * self.padded, held) + self.places[at], self.weights[at] * np.repeat(weight, held),
-                            queries * self.padded).astype(float).reshape(queries, self.blocks, self.block)
+        stops = np.cumsum(held, dtype=np.int32)
+        at = np.repeat(self.start[term] - (stops - held), held)
+        at += np.arange(len(at), dtype=np.int32)
+        places = np.repeat((query * self.padded).astype(np.int32), held)
+        places += self.places[at]
+        found = np.bincount(places, self.weights[at] * np.repeat(weight, held), queries * self.padded).astype(float).reshape(queries, self.blocks, self.block)
         bound = found.max(axis=2) + dense @ self.top
         first = np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS]
         scored = np.zeros((queries, self.blocks), bool)
@@ -362,18 +364,19 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     data = pairs.where(F.size("term") > 0).orderBy("doc_id").toArrow()  # bounded by the sample
     terms = Terms(names)
     lists = data.column("term").combine_chunks()
-    number = pc.index_in(lists.flatten(), value_set=named_terms).to_numpy(zero_copy_only=False).astype(np.int64)
-    example = np.repeat(np.arange(data.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    number = pc.index_in(lists.flatten(), value_set=named_terms).to_numpy(zero_copy_only=False).astype(np.int32)
+    example = np.repeat(np.arange(data.num_rows, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    ids, toxic = data.column("doc_id").to_pylist(), data.column("_toxic").to_numpy().astype(float)
     value = (1 + np.log(data.column("tf").combine_chunks().flatten().to_numpy(zero_copy_only=False))) * weights[number]
-    value /= np.sqrt(np.bincount(example, value * value, data.num_rows))[example]
-    toxic = data.column("_toxic").to_numpy().astype(float)
+    del data, lists
+    value /= np.sqrt(np.bincount(example, value * value, len(ids)))[example]
     stands_for = np.array([totals.get(int(v), 0) / sizes[int(v)] for v in toxic])
     # labelled rows without telling terms
-    told_1, told_0 = [float((stands_for * (toxic == v))[np.bincount(example, tells[number], data.num_rows) > 0].sum()) for v in (1, 0)]
+    told_1, told_0 = [float((stands_for * (toxic == v))[np.bincount(example, tells[number], len(ids)) > 0].sum()) for v in (1, 0)]
     plain = totals.get(1, 0) - told_1, totals.get(0, 0) - told_0
-    index = BlockMaxIndex(example, number, value, data.num_rows, len(names), config.common, config.block) if data.num_rows else None
+    index = BlockMaxIndex(example, number, value, len(ids), len(names), config.common, config.block) if ids else None
     return ToxicityModel(config, terms, weights, (full + 1) * config.other_weight, frozenset(t for t in telling if t.endswith(b"*")), index,
-                         data.column("doc_id").to_pylist(), toxic, stands_for, prior, tells, (plain[0] + prior) / (sum(plain) + 1))
+                         ids, toxic, stands_for, prior, tells, (plain[0] + prior) / (sum(plain) + 1))
 
 
 EVIDENCE = "array<struct<doc_id:bigint,cosine:double,label:int>>"
