@@ -31,6 +31,7 @@ replace the input's; empty tables give empty tables.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,7 +45,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lookalike.llm.common import prepare, text_slices, written
+from lookalike.llm.common import prepare, shared_folder, text_slices, written
+from lookalike.llm.files import open_input, open_output
 
 #: Signs beyond ASCII that separate words; ASCII signs and digits do so by BREAKS.
 _SIGNS = re.compile("[\x80-\xbf×÷ -⯿　-〿＀-＠]")
@@ -320,7 +322,7 @@ def _counted_terms(rows: DataFrame, config: ToxicityConfig) -> DataFrame:
     return written(rows.mapInArrow(run, "doc_id long, _toxic int, term array<binary>, tf array<int>"), "toxicity-terms")
 
 
-def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> FittedModel:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).  Counts of the classes
     cover all labelled rows; terms and examples come from the bounded sample."""
     spark = docs.sparkSession
@@ -333,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     sizes = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 + n0:
-        return ToxicityModel(config, None, np.zeros(0), 0.0, frozenset(), None, [], np.zeros(0), np.zeros(0), prior, plain_prior=prior)
+        return FittedModel(_empty(config, prior))
     counts = written(rows.select("_toxic", F.explode("term").alias("term")).groupBy("term").agg(
         F.sum("_toxic").alias("a"), F.count("*").alias("n")), "toxicity-counts")
     bound = lower_bound(config, counts.count())
@@ -341,18 +343,10 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
                .withColumn("g2", g2(F.col("a"), n1, F.col("n") - F.col("a"), n0)).where(
                    (F.col("g2") >= bound) & (F.col("a") * F.lit(n0) >= config.min_lift * (F.col("n") - F.col("a")) * F.lit(n1)))
                .orderBy(F.desc("g2"), "term").limit(config.max_terms).collect()] if n1 and n0 else []
-    told = set(telling)
     # all words, and the telling beginnings; bounded by the sample's bytes
     ends = F.expr("endswith(term, X'2A')")
     named = spark.createDataFrame([(bytearray(t),) for t in telling if t.endswith(b"*")], "term binary")
     wanted = counts.where(~ends).unionByName(counts.join(F.broadcast(named), "term", "left_semi"))  # at most max_terms rows
-    table = wanted.select("term", "n").toArrow()
-    order = pc.sort_indices(table, [("n", "descending"), ("term", "ascending")])
-    named_terms = table.column("term").take(order).combine_chunks()
-    names, held = named_terms.to_pylist(), table.column("n").take(order).to_numpy()
-    full = math.log(n1 + n0 + 1)
-    tells = np.array([t in told for t in names], bool)
-    weights = (full - np.log(held + 1) + 1) * np.where(tells, 1.0, config.other_weight)
     pairs = rows.select("doc_id", "_toxic", F.filter(F.arrays_zip("term", "tf"), lambda e: ~F.endswith(e["term"], F.lit(b"*"))).alias("e"))
     pairs = pairs.select("doc_id", "_toxic", "e.term", "e.tf")
     if any(t.endswith(b"*") for t in telling):
@@ -361,10 +355,37 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
         pairs = pairs.join(starred, "doc_id", "left").select(
             "doc_id", "_toxic", F.concat("term", F.coalesce("_t", F.array().cast("array<binary>"))).alias("term"),
             F.concat("tf", F.coalesce("_n", F.array().cast("array<int>"))).alias("tf"))
-    data = pairs.where(F.size("term") > 0).orderBy("doc_id").toArrow()  # bounded by the sample
-    terms = Terms(names)
+    folder = shared_folder(spark, "toxicity-model")
+
+    def build(terms: pa.Table, examples: pa.Table) -> pa.Table:
+        uri, out = open_output(folder, ".model")
+        with out:
+            pickle.dump(_build(terms, examples, config, telling, totals, sizes, prior), out, protocol=5)
+        return pa.table({"uri": pa.array([uri])})
+    # one task: the sample is bounded in rows and bytes, and neither it nor the index passes the driver
+    one = F.lit(0).alias("_one")
+    made = wanted.select(one, "term", "n").groupBy("_one").cogroup(
+        pairs.where(F.size("term") > 0).select(one, "doc_id", "_toxic", "term", "tf").groupBy("_one")).applyInArrow(build, "uri string").head()
+    return FittedModel(None, made["uri"]) if made else FittedModel(_empty(config, prior))
+
+
+def _empty(config: ToxicityConfig, prior: float) -> ToxicityModel:
+    return ToxicityModel(config, None, np.zeros(0), 0.0, frozenset(), None, [], np.zeros(0), np.zeros(0), prior, plain_prior=prior)
+
+
+def _build(terms: pa.Table, examples: pa.Table, config: ToxicityConfig, telling: list[bytes], totals: dict, sizes: dict,
+           prior: float) -> ToxicityModel:
+    """The model from the sample's terms (term, n) and examples (doc_id, _toxic, term, tf)."""
+    told = set(telling)
+    named = terms.column("term").take(pc.sort_indices(terms, [("n", "descending"), ("term", "ascending")])).combine_chunks()
+    held = terms.column("n").take(pc.sort_indices(terms, [("n", "descending"), ("term", "ascending")])).to_numpy()
+    names = named.to_pylist()
+    full = math.log(sum(sizes.values()) + 1)
+    tells = np.array([t in told for t in names], bool)
+    weights = (full - np.log(held + 1) + 1) * np.where(tells, 1.0, config.other_weight)
+    data = examples.take(pc.sort_indices(examples, [("doc_id", "ascending")])).combine_chunks()
     lists = data.column("term").combine_chunks()
-    number = pc.index_in(lists.flatten(), value_set=named_terms).to_numpy(zero_copy_only=False).astype(np.int32)
+    number = pc.index_in(lists.flatten(), value_set=named).to_numpy(zero_copy_only=False).astype(np.int32)
     example = np.repeat(np.arange(data.num_rows, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
     ids, toxic = data.column("doc_id").to_pylist(), data.column("_toxic").to_numpy().astype(float)
     value = (1 + np.log(data.column("tf").combine_chunks().flatten().to_numpy(zero_copy_only=False))) * weights[number]
@@ -375,19 +396,39 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     told_1, told_0 = [float((stands_for * (toxic == v))[np.bincount(example, tells[number], len(ids)) > 0].sum()) for v in (1, 0)]
     plain = totals.get(1, 0) - told_1, totals.get(0, 0) - told_0
     index = BlockMaxIndex(example, number, value, len(ids), len(names), config.common, config.block) if ids else None
-    return ToxicityModel(config, terms, weights, (full + 1) * config.other_weight, frozenset(t for t in telling if t.endswith(b"*")), index,
-                         ids, toxic, stands_for, prior, tells, (plain[0] + prior) / (sum(plain) + 1))
+    return ToxicityModel(config, Terms(names), weights, (full + 1) * config.other_weight, frozenset(t for t in telling if t.endswith(b"*")),
+                         index, ids, toxic, stands_for, prior, tells, (plain[0] + prior) / (sum(plain) + 1))
+
+
+_LOADED: dict[str, ToxicityModel] = {}
+
+
+@dataclass
+class FittedModel:
+    """A fitted model: its file in the shared folder, or the model itself when nothing was learned.
+    Workers open the file once; the driver only when asked for the model."""
+    held: ToxicityModel | None
+    uri: str | None = None
+
+    @property
+    def model(self) -> ToxicityModel:
+        if self.uri is None:
+            return self.held
+        if self.uri not in _LOADED:
+            _LOADED.clear()
+            with open_input(self.uri) as source:
+                _LOADED[self.uri] = pickle.load(source)
+        return _LOADED[self.uri]
 
 
 EVIDENCE = "array<struct<doc_id:bigint,cosine:double,label:int>>"
 _ARROW_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
 
-def score(df: DataFrame, model: ToxicityModel, column: str = "text", keep_text: bool = True) -> DataFrame:
-    """Add score (double), predicted (int) and evidence (the nearest examples) to every row.  The
-    model is broadcast; its size is bounded by max_examples, max_bytes and max_terms."""
+def score(df: DataFrame, fitted: FittedModel, column: str = "text", keep_text: bool = True) -> DataFrame:
+    """Add score (double), predicted (int) and evidence (the nearest examples) to every row.  Workers
+    open the model's file; its size is bounded by max_examples, max_bytes and max_terms."""
     prepare(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)
     added = ("score", "predicted", "evidence")
     fields = [f for f in df.schema.fields if f.name not in added and (keep_text or f.name != column)]
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
@@ -395,7 +436,7 @@ def score(df: DataFrame, model: ToxicityModel, column: str = "text", keep_text:
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = fitted.model
         for batch in text_slices(batches, column, SLICE):
             got = m.scores([v or "" for v in batch.column(column).to_pylist()])
             proof = [[{"doc_id": m.example_ids[i], "cosine": s, "label": int(m.labels[i])}
