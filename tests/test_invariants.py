@@ -556,3 +556,22 @@ def test_region_blocks_form_later_pairs_alone(spark):
         keys = sorted(zip(got.a_id, got.b_id))
         want = want or keys
         assert keys == want and len(set(keys)) == len(keys) and (got.a_region < got.b_region).all()
+
+
+@pytest.mark.parametrize("metric,rule,floor", [("cosine", "any", None), ("cosine", "ne", 0.2), ("euclidean", "any", None)])
+def test_bounded_search_skips_pairs_and_loses_no_row(spark, metric, rule, floor):
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(12, 6)) * 6
+    x = np.vstack([m + rng.normal(0, 0.3, (50, 6)) for m in middles] + [np.zeros((2, 6))])
+    rows = [(f"0{i}", f"r{i % 5}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "entity_id string, region string, features array<double>")
+    options = {"k": 4, "region_rule": rule, "min_sim": floor, "metric": metric}
+    plain = topk_similarity(df, block_rows=600, **options).toPandas()
+    stats = {}
+    got = topk_similarity(df, block_rows=40, stats=stats, **options).toPandas()
+    key = ["a_id", "b_id"]
+    a, b = (t.sort_values(key).reset_index(drop=True) for t in (plain, got))
+    assert len(a) == len(b) and np.allclose(sorted(a.similarity), sorted(b.similarity), atol=1e-9)
+    same = set(map(tuple, a[key].to_numpy())) ^ set(map(tuple, b[key].to_numpy()))
+    assert len(same) <= 8          # ties at the k-th place that differ by rounding (the two zero vectors)
+    assert stats["scored"] < 0.7 * stats["block_pairs"], stats
