@@ -27,6 +27,7 @@ class AnalysisConfig:
     high_r: float = 0.8
     # selection / reduction
     forest_trees: int = 100
+    forest_depth: int = 30                  # deepest tree that can be grown (the original grows until pure)
     pseudo_label_k: int = 5
     importance_share: float = 0.8
     variance_share: float = 0.8

@@ -75,8 +75,9 @@ def pseudo_labels(vecs: DataFrame, k: int | None = None, cfg: AnalysisConfig = D
 
 def forest_importance(labelled: DataFrame, features: list[str], cfg: AnalysisConfig = DEFAULT,
                       label: str = "label") -> DataFrame:
-    """M2: importances of a 100-tree random forest on the pseudo labels, as (feature, importance)."""
-    rf = RandomForestClassifier(numTrees=cfg.forest_trees, seed=cfg.seed, featuresCol=VEC, labelCol=label)
+    """M2: importances of a 100-tree random forest of full depth on the pseudo labels, as (feature,
+    importance)."""
+    rf = RandomForestClassifier(numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth, seed=cfg.seed, featuresCol=VEC, labelCol=label)
     model = rf.fit(labelled)
     imp = model.featureImportances.toArray().tolist()
     spark = labelled.sparkSession

@@ -479,6 +479,9 @@ FROM z LEFT JOIN lab ON lab.node = z.entity_id LEFT JOIN edge ON edge.a = z.enti
 LEFT JOIN lab l2 ON l2.node = edge.core"""
     q["read_geojson"] = f"""SELECT c_custkey AS entity_id, c_mktsegment AS segment, {R('c_acctbal', MONEY)} AS x,
        {R('CAST(c_nationkey AS DOUBLE)')} AS y FROM customer"""
+    q["write_geojson_lines"] = """SELECT '{"type":"Feature","properties":{"entity_id":' || c_custkey || ',"segment":"' || c_mktsegment
+       || '"},"geometry":{"type":"Point","coordinates":[' || CAST(c_acctbal AS DOUBLE) || ',' || CAST(c_nationkey AS DOUBLE) || ']}}' AS value
+       FROM customer"""
     q["run_summary"] = "SELECT CAST(6 AS BIGINT) AS n_input_features, CAST(count(*) AS BIGINT) AS n_rows FROM customer"
     q["ingest_gzip_text"] = "SELECT trim(unnest(string_split(text, chr(10)))) AS value FROM documents"
     return q
