@@ -176,6 +176,8 @@ def usable(df: DataFrame, ids: str = "vec_id", column: str = "embedding") -> Dat
     return rows.where(F.size("v") == common["n"]) if common else rows
 
 
+#: Blocks of queries that pass a shard while it is open in one task.
+BLOCKS_PER_WAVE = 64
 INDEX = "shard int, ids array<array<long>>, vectors binary, extra binary, edges binary, start array<long>"
 
 
@@ -233,27 +235,37 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, config: GraphConfi
     """(query_id, rank, vec_id, score): the k best found for every row of ``queries`` (id, v)."""
     spark = index.sparkSession
     prepare(spark)
-    shards = [r["shard"] for r in index.select("shard").collect()]  # one number per shard
+    top = index.agg(F.max("shard")).first()[0]
     n = queries.count()
     blocks = max(1, -(-n // config.query_rows))
+    waves = max(1, -(-blocks // BLOCKS_PER_WAVE))
+    # a task meets a shard's row first and then the blocks of queries of one wave, one at a time
+    shard = F.explode(F.sequence(F.lit(0), F.lit(top if top is not None else 0)))
     packed = (queries.distinct().withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
               .groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-              .withColumn("shard", F.explode(F.array(*[F.lit(s) for s in shards]) if shards else F.lit(None).cast("array<int>"))))
+              .select(shard.alias("shard"), F.pmod("block", F.lit(waves)).cast("int").alias("wave"), F.lit(1).alias("turn"), "rows"))
+    opened = index.withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1)))).withColumn("turn", F.lit(0))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    pairs = packed.join(index, "shard").repartition(tasks, F.xxhash64("shard", "block"))
+    pairs = (opened.unionByName(packed, allowMissingColumns=True).withColumn("_task", F.xxhash64("shard", "wave"))
+             .repartition(tasks, "_task").sortWithinPartitions("shard", "wave", "turn").drop("_task"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                shard = Shard(row["ids"], row["vectors"], row["extra"], row["edges"], row["start"])
-                asked = [r["id"] for r in row["rows"]]
-                vectors = np.array([r["v"] for r in row["rows"]], np.float64)
-                got = list(shard.search(asked, vectors, k, max(config.search_beam, 2 * k)))
-                if got:
-                    q, v, s = zip(*got)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())],
-                                                     names=["query_id", "vec_id", "score"])
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("shard", "wave", "turn")]))
+            for i, (shard, wave, turn) in enumerate(keys):
+                if turn == 0:
+                    row = batch.select(["ids", "vectors", "extra", "edges", "start"]).slice(i, 1).to_pylist()[0]
+                    held, current = (shard, wave), Shard(**row)
+                elif held == (shard, wave):     # numbers without a shard have no row
+                    asked = batch.column("rows").slice(i, 1).flatten()
+                    ids = asked.field("id").to_pylist()
+                    vectors = asked.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                    got = list(current.search(ids, vectors, k, max(config.search_beam, 2 * k)))
+                    if got:
+                        q, v, s = zip(*got)
+                        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())],
+                                                         names=["query_id", "vec_id", "score"])
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
