@@ -206,32 +206,40 @@ def best_cluster_count(scores: DataFrame, score: str = "score") -> DataFrame:
 
 # ---------- exact silhouette (blocked, never one pair per row) ----------
 
-def _label_distance_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+def _label_distance_sums(a: pd.DataFrame, b: pd.DataFrame, ks: list[int]) -> pd.DataFrame:
+    """(grp, a_id, a_seg, b_seg, sum_d, cnt) for every k, from one block of distances."""
+    none = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("grp", "a_id", "a_seg", "b_seg", "sum_d", "cnt")})
+    if a.empty or b.empty:
+        return none
     A = np.vstack(a["features"].to_numpy()).astype(np.float64)
     B = np.vstack(b["features"].to_numpy()).astype(np.float64)
     D = euclidean(A, B)
-    same = a["entity_id"].to_numpy()[:, None] == b["entity_id"].to_numpy()[None, :]
-    D[same] = 0.0
-    b_lab = b["segment"].to_numpy()
+    a_ids = a["entity_id"].to_numpy()
+    D[a_ids[:, None] == b["entity_id"].to_numpy()[None, :]] = 0.0
     outs = []
-    for lab in pd.unique(b_lab):
-        m = b_lab == lab
-        outs.append(pd.DataFrame({"a_id": a["entity_id"].to_numpy(), "a_seg": a["segment"].to_numpy(),
-                                  "b_seg": lab, "sum_d": D[:, m].sum(1), "cnt": int(m.sum())}))
-    return pd.concat(outs, ignore_index=True)
+    for k in ks:
+        a_lab, b_lab = a[f"_s{k}"].to_numpy(), b[f"_s{k}"].to_numpy()
+        own = ~pd.isna(a_lab)
+        for lab in pd.unique(b_lab[~pd.isna(b_lab)]):
+            m = b_lab == lab
+            outs.append(pd.DataFrame({"grp": k, "a_id": a_ids[own], "a_seg": a_lab[own], "b_seg": lab, "sum_d": D[np.ix_(own, m)].sum(1),
+                                      "cnt": int(m.sum())}))
+    return pd.concat(outs, ignore_index=True) if outs else none
 
 
 def silhouette(vecs: DataFrame, labels: DataFrame, features: str = "features",
                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """M10 exact mode: mean (b - a) / max(a, b) with Euclidean distance, per k.
 
-    Block-pair tasks emit, per left row, one (distance sum, count) per right-block label;
-    a groupBy merges them.  A singleton cluster scores 0 (the usual convention).
-    labels: (k, entity_id, segment).
+    Block-pair tasks compute each distance once and emit, per left row and k, one (distance sum,
+    count) per right-block label; a groupBy merges them.  A singleton cluster scores 0 (the usual
+    convention).  labels: (k, entity_id, segment).
     """
-    base = labels.join(vecs.select("entity_id", F.col(features).alias("features")), "entity_id").select(
-        F.col("k").alias("grp"), "entity_id", "segment", "features")
-    seg_type = base.schema["segment"].dataType
+    ks = sorted(r["k"] for r in labels.select("k").distinct().collect())   # a number per k
+    seg_type = labels.schema["segment"].dataType
+    wide = labels.groupBy("entity_id").agg(*[F.max(F.when(F.col("k") == k, F.col("segment"))).alias(f"_s{k}") for k in ks],
+                                           F.lit(0).alias("grp"))
+    base = wide.join(vecs.select("entity_id", F.col(features).alias("features")), "entity_id")
     tasks = block_pair_tasks(base, block_rows)
     schema = T.StructType([T.StructField("grp", T.IntegerType()), T.StructField("a_id", base.schema["entity_id"].dataType),
                            T.StructField("a_seg", seg_type), T.StructField("b_seg", seg_type),
@@ -239,9 +247,7 @@ def silhouette(vecs: DataFrame, labels: DataFrame, features: str = "features",
 
     def task(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf["is_left"].to_numpy(dtype=bool)
-        res = _label_distance_sums(pdf[left], pdf[~left])
-        res.insert(0, "grp", int(key[0]))
-        return res
+        return _label_distance_sums(pdf[left], pdf[~left], ks)
 
     sums = apply_in_groups(tasks, ["grp", "ablk", "bblk"], task, schema)
     per = sums.groupBy("grp", "a_id", "a_seg", "b_seg").agg(F.sum("sum_d").alias("s"), F.sum("cnt").alias("c"))

@@ -575,3 +575,24 @@ def test_bounded_search_skips_pairs_and_loses_no_row(spark, metric, rule, floor)
     same = set(map(tuple, a[key].to_numpy())) ^ set(map(tuple, b[key].to_numpy()))
     assert len(same) <= 8          # ties at the k-th place that differ by rounding (the two zero vectors)
     assert stats["scored"] < 0.7 * stats["block_pairs"], stats
+
+
+def test_silhouette_of_partial_labels(spark):
+    """Each k is scored over the rows that it labels, whatever the blocks."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 2))
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entity_id long, features array<double>")
+    rows = [(2, i, i % 2) for i in range(40)] + [(3, i, i % 3) for i in range(30)]
+    labels = spark.createDataFrame(rows, "k int, entity_id long, segment int")
+
+    def plain(n, k):
+        d = np.sqrt(((x[:n, None] - x[None, :n]) ** 2).sum(2))
+        lab, out = np.arange(n) % k, []
+        for i in range(n):
+            own = d[i][lab == lab[i]].sum() / ((lab == lab[i]).sum() - 1)
+            other = min(d[i][lab == c].mean() for c in range(k) if c != lab[i])
+            out.append((other - own) / max(own, other))
+        return float(np.mean(out))
+    for block_rows in (3, 4096):
+        got = {r.k: r.silhouette for r in evaluate.silhouette(vecs, labels, block_rows=block_rows).collect()}
+        assert got == pytest.approx({2: plain(40, 2), 3: plain(30, 3)})
