@@ -29,6 +29,10 @@ class StandardizerModel:
         return df.select(*[F.col(f"`{c}`") for c in keep], *scaled)
 
 
+#: Groups whose moments may be read back (a few numbers per feature each).
+GROUPS_READ = 1000
+
+
 def fit_standardizer(df: DataFrame, features: list[str]) -> StandardizerModel:
     """One aggregate over all features; the result is 2 numbers per feature."""
     if not features:
@@ -44,11 +48,14 @@ def fit_standardizer(df: DataFrame, features: list[str]) -> StandardizerModel:
 def fit_standardizer_by_group(df: DataFrame, features: list[str], group: str):
     """One aggregate per group (count, mean and population M2 of every feature) combined on the
     driver with the pairwise update of Chan et al.: the overall standardizer *and* the group
-    sizes from a single pass.  The group count is small (segments), so is the collected result."""
+    sizes from a single pass.  Beyond GROUPS_READ groups the model comes from one aggregate over all
+    rows instead, and no sizes are returned."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, f in enumerate(features):
         aggs += [F.count(f).alias(f"c{i}"), F.avg(f).alias(f"m{i}"), F.var_pop(f).alias(f"v{i}")]
-    rows = df.groupBy(group).agg(*aggs).collect()
+    rows = df.groupBy(group).agg(*aggs).limit(GROUPS_READ + 1).collect()
+    if len(rows) > GROUPS_READ:
+        return fit_standardizer(df, features), None
     means, stds = [], []
     for i in range(len(features)):
         n, mean, m2 = 0, 0.0, 0.0

@@ -596,3 +596,12 @@ def test_silhouette_of_partial_labels(spark):
     for block_rows in (3, 4096):
         got = {r.k: r.silhouette for r in evaluate.silhouette(vecs, labels, block_rows=block_rows).collect()}
         assert got == pytest.approx({2: plain(40, 2), 3: plain(30, 3)})
+
+
+def test_many_groups_are_not_read_back(spark):
+    from lookalike.operators import scale
+    df = spark.createDataFrame([(i, i % 1100, float(i % 17)) for i in range(2200)], "entity_id long, segment int, x double")
+    model, sizes = scale.fit_standardizer_by_group(df, ["x"], "segment")
+    few, counted = scale.fit_standardizer_by_group(df.withColumn("segment", F.col("segment") % 7), ["x"], "segment")
+    assert sizes is None and sum(counted.values()) == 2200
+    assert model.means == pytest.approx(few.means) and model.stds == pytest.approx(few.stds)
