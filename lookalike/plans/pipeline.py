@@ -105,13 +105,22 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
     """
     if k_policy not in ("f1", "silhouette") or features_from not in ("selected", "pca"):
         raise ValueError("k_policy must be f1|silhouette and features_from selected|pca")
+    base = df.cache()
+    try:
+        return _stages(base, cfg, out, grid, ids, k_policy, features_from, methods)
+    finally:
+        base.unpersist()
+
+
+def _stages(base: DataFrame, cfg: AnalysisConfig, out: str | None, grid: dict | None, ids: tuple[str, ...], k_policy: str,
+            features_from: str, methods: tuple[str, ...]) -> RunResult:
+    """The stages of ``run_segmentation`` on its cached input."""
     t0 = time.time()
-    spark = df.sparkSession
+    spark = base.sparkSession
     art: dict = {}
     errors: dict = {}
     metrics: dict = {}
     try:
-        base = df.cache()
         n_rows = base.count()
         if n_rows == 0:
             raise StageError("empty input")
@@ -259,7 +268,6 @@ def run_segmentation(df: DataFrame, cfg: AnalysisConfig = DEFAULT, out: str | No
         "f1_weighted": float(metrics["f1_weighted"]) if metrics else float("nan"),
         "errors": ";".join(f"{k}: {v[:200]}" for k, v in sorted(errors.items())),
     })
-    base.unpersist()
     return RunResult(summary, art)
 
 
