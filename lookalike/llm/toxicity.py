@@ -400,25 +400,19 @@ def _build(terms: pa.Table, examples: pa.Table, config: ToxicityConfig, telling:
                          index, ids, toxic, stands_for, prior, tells, (plain[0] + prior) / (sum(plain) + 1))
 
 
-_LOADED: dict[str, ToxicityModel] = {}
-
-
 @dataclass
 class FittedModel:
-    """A fitted model: its file in the shared folder, or the model itself when nothing was learned.
-    Workers open the file once; the driver only when asked for the model."""
+    """A fitted model: its file in the shared folder, or the model itself when nothing was learned."""
     held: ToxicityModel | None
     uri: str | None = None
 
-    @property
-    def model(self) -> ToxicityModel:
+    def load(self) -> ToxicityModel:
+        """The model, read from its file.  Tasks let go of it when they end: idle workers of later
+        stages should not hold it."""
         if self.uri is None:
             return self.held
-        if self.uri not in _LOADED:
-            _LOADED.clear()
-            with open_input(self.uri) as source:
-                _LOADED[self.uri] = pickle.load(source)
-        return _LOADED[self.uri]
+        with open_input(self.uri) as source:
+            return pickle.load(source)
 
 
 EVIDENCE = "array<struct<doc_id:bigint,cosine:double,label:int>>"
@@ -426,7 +420,7 @@ _ARROW_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.floa
 
 
 def score(df: DataFrame, fitted: FittedModel, column: str = "text", keep_text: bool = True) -> DataFrame:
-    """Add score (double), predicted (int) and evidence (the nearest examples) to every row.  Workers
+    """Add score (double), predicted (int) and evidence (the nearest examples) to every row.  Tasks
     open the model's file; its size is bounded by max_examples, max_bytes and max_terms."""
     prepare(df.sparkSession)
     added = ("score", "predicted", "evidence")
@@ -436,7 +430,7 @@ def score(df: DataFrame, fitted: FittedModel, column: str = "text", keep_text: b
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = fitted.model
+        m = fitted.load()
         for batch in text_slices(batches, column, SLICE):
             got = m.scores([v or "" for v in batch.column(column).to_pylist()])
             proof = [[{"doc_id": m.example_ids[i], "cosine": s, "label": int(m.labels[i])}
@@ -445,6 +439,8 @@ def score(df: DataFrame, fitted: FittedModel, column: str = "text", keep_text: b
                 "score": pa.array([s for s, _ in got], pa.float64()),
                 "predicted": pa.array([int(s >= m.config.threshold) for s, _ in got], pa.int32()),
                 "evidence": pa.array(proof, _ARROW_EVIDENCE)})
+        del m
+        pa.default_memory_pool().release_unused()
     return df.mapInArrow(run, schema)
 
 

@@ -21,7 +21,7 @@ def test_a_copy_of_an_example_without_kept_terms_is_found(spark):
     docs = spark.createDataFrame(list(enumerate([*clean, *bad, odd, odd, odd + " today", "nothing shared here"])), "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0) for i in range(200)] + [(i, 1) for i in range(200, 261)], "doc_id long, toxic int")
     fitted = toxicity.fit(docs, labels)
-    model = fitted.model
+    model = fitted.load()
     assert model.weights[model.terms.find([b"idiot"])[0]] > 1 > model.weights[model.terms.find([b"unusual"])[0]]
     got = {r["doc_id"]: r for r in toxicity.score(docs, fitted).where("doc_id >= 259").collect()}
     assert [got[i]["predicted"] for i in (261, 262, 263)] == [1, 1, 0]
@@ -33,7 +33,7 @@ def test_small_classes_keep_terms(spark):
     rows = [(i, f"some text number{i} here" + (" moron" if i < 5 else "")) for i in range(64)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 9)) for i in range(64)], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels).model
+    model = toxicity.fit(docs, labels).load()
     assert model.weights[model.terms.find([b"moron"])[0]] > 1
 
 
@@ -114,7 +114,7 @@ def test_scores_equal_brute_force(spark, common):
     config = toxicity.ToxicityConfig(common=common, block=8)
     fitted = toxicity.fit(docs, labels, config)
     want, telling = plain_scores(texts, examples, config)
-    assert {t.decode() for t in fitted.model.telling} == {t for t in telling if t.endswith("*")} and len(telling) > 3
+    assert {t.decode() for t in fitted.load().telling} == {t for t in telling if t.endswith("*")} and len(telling) > 3
     got = [r["score"] for r in toxicity.score(docs, fitted).orderBy("doc_id").collect()]
     assert np.abs(np.array(got) - np.array(want)).max() < 1e-6
 
@@ -123,5 +123,5 @@ def test_the_sample_is_bounded_in_bytes(spark):
     rows = [(i, f"alpha beta w{i % 7} " + "x" * 100) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels, toxicity.ToxicityConfig(max_bytes=1000)).model
+    model = toxicity.fit(docs, labels, toxicity.ToxicityConfig(max_bytes=1000)).load()
     assert 2 * 8 <= len(model.example_ids) <= 2 * 10
