@@ -32,7 +32,7 @@ from lookalike.llm import pretokens
 from lookalike.llm.common import prepare, text_slices
 
 #: Pre-tokens whose ids a worker remembers: those met since the memory last filled, and as many before.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 100_000
 #: Bytes of text that are encoded at once.
 SLICE = 4 << 20
 
