@@ -144,4 +144,5 @@ def document_token_counts(docs: DataFrame, codec: ByteBPE, separator: int, block
     files = write_token_files(docs, codec, separator, shared_folder(docs.sparkSession, "tokens"))
     names = files.select("file", F.posexplode("doc_ids").alias("position", "doc_id"))
     counts = count_tokens(files, separator, block_bytes)
-    return counts.join(names, ["file", "position"]).select("doc_id", F.col("position").cast("bigint"), F.col("n_tokens").cast("bigint"))
+    # a row per document on both sides: few bytes on disk, but too many rows for the driver to broadcast
+    return counts.join(names.hint("merge"), ["file", "position"]).select("doc_id", F.col("position").cast("bigint"), F.col("n_tokens").cast("bigint"))

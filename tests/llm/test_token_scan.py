@@ -61,3 +61,15 @@ def test_document_counts(spark):
     assert token_scan.document_token_counts(empty, codec, 999).count() == 0
     with pytest.raises(ValueError):
         token_scan.write_token_files(docs, codec, 1 << 16, "file:///tmp")
+
+
+def test_the_rows_of_documents_are_not_broadcast(spark):
+    codec = ByteBPE.from_ranks({bytes([b]): b for b in range(256)}, r"\S+|\s+")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    got = token_scan.document_token_counts(docs, codec, 999)
+    assert got.count() == 300
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "strategy=merge" in plan
+    got.collect()
+    joins = [line for line in got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Join [" in line]
+    assert "SortMergeJoin" in joins[0]
