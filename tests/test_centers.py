@@ -51,3 +51,22 @@ def test_fewer_distinct_rows_than_centres(spark):
     x = np.array([[0.0, 0.0]] * 20 + [[1.0, 1.0]] * 3)
     sweep = ml.kmeans_sweep(frame(spark, x), [4], 2, AnalysisConfig())
     assert len(sweep.models[4].centres) == 2 and sweep.costs[4] == 0.0
+
+
+def test_rows_are_packed_once_and_dealt_to_the_cores(spark):
+    x = np.random.default_rng(5).normal(size=(300, 4))
+    rows = frame(spark, x).coalesce(1).select(ml.vector_to_array(ml.VEC).alias("x"))
+    packed = centers.packed(rows)
+    got = packed.collect()
+    assert packed.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and len(got) < 100
+    back = np.vstack([np.frombuffer(r["x"], float).reshape(-1, r["d"]) for r in got])
+    assert sorted(map(tuple, back)) == sorted(map(tuple, x))
+    assert all((p == q).all() for p, q in zip(centers.draw_centres(packed, 3, 2, 1), centers.draw_centres(rows, 3, 2, 1)))
+
+
+def test_sums_of_several_models_and_of_ties(spark):
+    x = np.array([[0.0, 0.0], [1.0, 0.0], [2.0, 0.0], [5.0, 1.0]])
+    table, total = np.array([[0.0, 0.0], [2.0, 0.0], [5.0, 1.0]]), np.zeros((3, 4))
+    centers._add_up(total, x, table, [0, 2, 3])    # models of 2 centres and of 1
+    assert total[:, 0].tolist() == [2, 2, 4] and total[0, 2:].tolist() == [1, 0] and total[1, 2:].tolist() == [7, 1]
+    assert total[:2, 1].sum() == 1 + 9 + 1 and total[2, 1] == 26 + 17 + 10
