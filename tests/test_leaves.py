@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lookalike.operators import leaves, similarity
+from lookalike.operators import impute, leaves, similarity
 from lookalike.operators.similarity import topk_similarity
 
 
@@ -65,3 +65,30 @@ def test_blocks_grow_with_the_rows(spark):
     got = topk_similarity(df, k=2, block_rows=8, stats=stats)
     assert got.count() == 3000
     assert stats["block_pairs"] <= (3 * similarity.MOST_BLOCKS) ** 2      # 188 blocks of 8 rows before
+
+
+def donors(n, rng, missing):
+    x = np.round(rng.normal(size=(n, 4)), 2)
+    x[50:200] = x[10]
+    x[rng.random(x.shape) < missing] = np.nan
+    x[:3] = np.nan
+    return pd.DataFrame({"entity_id": rng.permutation(n), **{c: x[:, i] for i, c in enumerate("abcd")}})
+
+
+@pytest.mark.parametrize("missing,infinite", [(0.05, False), (0.4, False), (0.1, True)])
+def test_donor_search_equals_the_dense_one(missing, infinite, monkeypatch):
+    rng = np.random.default_rng(5)
+    t = donors(1300, rng, missing)
+    if infinite:
+        t.loc[7, "b"] = np.inf
+    incomplete = t[t[list("abcd")].isna().any(axis=1)]
+    key = ["entity_id", "feature", "dist", "donor"]
+    want = impute._dense_block(incomplete, t, 5, list("abcd")).sort_values(key, ignore_index=True)
+    calls, dense = [], impute._dense_candidates
+    monkeypatch.setattr(impute, "_dense_candidates", lambda *a: calls.append(1) or dense(*a))
+    monkeypatch.setattr(impute, "KNN_BLOCK_ROWS", 500)
+    monkeypatch.setattr(impute, "SET_PAIRS", 1)
+    got = impute._donor_candidates(incomplete, t, 5, list("abcd")).sort_values(key, ignore_index=True)
+    kept = got.groupby(["entity_id", "feature"]).head(5).reset_index(drop=True)     # the window's work
+    pd.testing.assert_frame_equal(kept[want.columns], want, check_exact=True)
+    assert bool(calls) == infinite
