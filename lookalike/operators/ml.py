@@ -77,7 +77,9 @@ def forest_importance(labelled: DataFrame, features: list[str], cfg: AnalysisCon
                       label: str = "label") -> DataFrame:
     """M2: importances of a 100-tree random forest of full depth on the pseudo labels, as (feature,
     importance)."""
-    rf = RandomForestClassifier(numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth, seed=cfg.seed, featuresCol=VEC, labelCol=label)
+    # every row's node in every tree is kept between levels, not looked for from the roots again
+    rf = RandomForestClassifier(numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth, seed=cfg.seed, featuresCol=VEC, labelCol=label,
+                                cacheNodeIds=True)
     model = rf.fit(labelled)
     imp = model.featureImportances.toArray().tolist()
     spark = labelled.sparkSession
