@@ -100,10 +100,11 @@ def fit_iqr(df: DataFrame, features: list[str], cfg: AnalysisConfig = DEFAULT, a
     return IqrBounds(out)
 
 
-def iqr_bounds(df: DataFrame, features: list[str], cfg: AnalysisConfig = DEFAULT, approx: bool = False) -> DataFrame:
+def iqr_bounds(df: DataFrame, features: list[str], cfg: AnalysisConfig = DEFAULT, approx: bool = False,
+               bounds: IqrBounds | None = None) -> DataFrame:
     """(feature, q1, q3, lower, upper, n_outliers, outlier_percent) — quartiles in one
     aggregate, counts in a second one that uses them as literals."""
-    b = fit_iqr(df, features, cfg, approx)
+    b = bounds or fit_iqr(df, features, cfg, approx)
     if not b.bounds:
         return df.sparkSession.createDataFrame([], "feature string, q1 double, q3 double, lower double, "
                                                    "upper double, n_outliers long, outlier_percent double")

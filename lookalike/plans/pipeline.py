@@ -44,24 +44,24 @@ def preprocess(df: DataFrame, cfg: AnalysisConfig = DEFAULT, features: list[str]
     feats = features or project.split_columns(df)["feature"]
     number = lambda f: F.col(f).cast("double")
     table = df.select("entity_id", *[F.when(~F.isnan(number(f)), number(f)).alias(f) for f in feats])  # NaN: missing
+    table = cut_lineage(table)               # the source is read once
     art = {}
     art["missing_profile"] = profile.missing_profile(table, feats)
     table, feats = clean.drop_sparse_features(table, feats, cfg)
     table, feats = clean.drop_low_variance(table, feats, cfg)
-    pre = cut_lineage(table)
+    pre = table
     split = {r["feature"]: r["method"] for r in clean.split_by_missing(pre, feats, cfg).collect()}
     knn_cols = [f for f in feats if split[f] == "knn"]
     iter_cols = [f for f in feats if split[f] == "iterative"]
     miss = pre.agg(*[F.count(F.when(F.col(f).isNull(), 1)).alias(f) for f in feats]).first()
     table = pre
     if knn_cols and any(miss[f] for f in knn_cols):
-        table = impute.knn_impute(table, knn_cols, cfg=cfg)
+        table = cut_lineage(impute.knn_impute(table, knn_cols, cfg=cfg))     # searched once: what follows reads rows again
     if iter_cols:
-        table = impute.iterative_impute(table, iter_cols, cfg)
+        table = cut_lineage(impute.iterative_impute(table, iter_cols, cfg))
     table = clean.median_fill(table, feats)
-    table = cut_lineage(table)
     bounds = clean.fit_iqr(table, feats, cfg)
-    art["iqr_bounds"] = clean.iqr_bounds(table, feats, cfg)
+    art["iqr_bounds"] = clean.iqr_bounds(table, feats, cfg, bounds=bounds)
     art["anomalous_entities"] = clean.anomalous_entities(table, feats, cfg, bounds=bounds)
     table = bounds.winsorize(table)
     table = cut_lineage(table)

@@ -30,3 +30,28 @@ def test_extreme_rows_go_on_rescaled(spark):
     q1, mid, q3 = np.quantile(gone, [0.25, 0.5, 0.75], axis=0)
     want = np.array(sorted(map(tuple, (gone - mid) / np.where(q3 > q1, q3 - q1, 1.0))))
     assert np.array(sorted(key(got) - kept)) == pytest.approx(want, abs=1e-6)
+
+
+def test_donors_are_searched_once(spark, monkeypatch):
+    """What follows the imputation reads its rows from a checkpoint; the source is read once, too."""
+    rng = np.random.default_rng(12)
+    rows = [(i, *(None if rng.random() < share else float(v) for v, share in zip(rng.normal(size=3), (0.05, 0.3, 0.0)))) for i in range(120)]
+    read, searched = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counting(counter):
+        def passed(batches):
+            for batch in batches:
+                counter.add(batch.num_rows)
+                yield batch
+        return passed
+    df = spark.createDataFrame(rows, "entity_id long, a double, b double, c double")
+    df = df.mapInArrow(counting(read), df.schema)
+    knn = pipeline.impute.knn_impute
+
+    def impute(table, *args, **kw):
+        out = knn(table, *args, **kw)
+        return out.mapInArrow(counting(searched), out.schema)
+    monkeypatch.setattr(pipeline.impute, "knn_impute", impute)
+    pre = pipeline.preprocess(df, AnalysisConfig(isolation_trees=5))
+    assert pre.table.count() == 120
+    assert read.value == 120 and searched.value == 120
